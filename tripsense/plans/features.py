@@ -39,6 +39,8 @@ from tripsense.operators.trip_aggregates import (
 from tripsense.operators.trip_frame import hot_frame, normal_frame
 
 
+_PERSIST = False
+
 FAMILY_ORDER = ("primitive", "kurtosis", "abs_mean", "trend", "mean_change", "hilbert_hann",
                 "last_n", "rolling_mean", "rolling_std", "iqr", "quantiles")
 
@@ -100,6 +102,8 @@ def _join_pieces(pieces: list[DataFrame], key: str) -> DataFrame:
 def _normal_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
     """Bounded trips: one hash exchange on the key, then narrow branches joined on the key."""
     part = rows.repartition(spec.key)
+    if _PERSIST:
+        part = part.persist()
     pieces = []
     aggs = trip_aggs(spec)
     if aggs:
@@ -166,6 +170,21 @@ def trip_features(df: DataFrame, spec: TripSpec | None = None, max_group_rows: i
     return out.select(spec.key, *output_names(spec))
 
 
+def trip_features_labelled(df: DataFrame, spec: TripSpec | None = None, label: str = S.LABEL,
+                           label_order: tuple = (), **kw) -> DataFrame:
+    """B12 with an embedded label column (P11, N2): features plus the last non-NULL label per trip.
+
+    When ``label`` is not a column of ``df`` this is :func:`trip_features`.
+    """
+    from tripsense.operators.labels import join_labels, last_label
+    spec = spec or TripSpec()
+    feats = trip_features(df.drop(label) if label in df.columns else df, spec, **kw)
+    if label not in df.columns:
+        return feats
+    order = list(label_order) or list(spec.order)
+    return join_labels(feats, last_label(df, spec.key, label, order), spec.key, label)
+
+
 def family(df: DataFrame, families: tuple, spec: TripSpec | None = None, **kw) -> DataFrame:
     return trip_features(df, spec, families=families, **kw)
 

@@ -101,18 +101,24 @@ def cross_validate(train: DataFrame, feature_cols: Sequence[str], family: str =
         grid += pm.build()
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid,
                         evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
-                        foldCol="fold", parallelism=parallelism, seed=seed)
+                        foldCol="fold", numFolds=folds, parallelism=parallelism, seed=seed)
     model = cv.fit(data)
     return model, list(zip(draws, model.avgMetrics))
 
 
 def fit_final(train: DataFrame, feature_cols: Sequence[str], params: dict, family: str = "gbt",
-              label: str = S.LABEL, key: str = S.KEY) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the 80 % training part of a seeded hold-out split (M2, M5); return the model and
-    the scored validation rows (``key, y_true, y_pred``)."""
+              label: str = S.LABEL, key: str = S.KEY, validation_tol: float = 0.01) -> tuple[PipelineModel, DataFrame]:
+    """Final fit with a seeded 80/20 hold-out split (M2). For boosted trees the 20 % part is the
+    early-stopping set (M5: ``validationIndicatorCol``; Spark stops on validation loss rather
+    than after 50 rounds without AUC gain). Returns the model and the scored hold-out rows
+    (``key, y_true, y_pred``)."""
     split = holdout(train, key).withColumn(label, F.col(label).cast("double"))
     split = with_missing_flags(split, feature_cols)
-    model = build_pipeline(feature_cols, family, label, params).fit(split.filter(~F.col("is_test")))
+    if family == "gbt":
+        p = dict(params, validationIndicatorCol="is_test", validationTol=validation_tol)
+        model = build_pipeline(feature_cols, family, label, p).fit(split)
+    else:
+        model = build_pipeline(feature_cols, family, label, params).fit(split.filter(~F.col("is_test")))
     val = model.transform(split.filter(F.col("is_test")))
     return model, val.select(key, F.col(label).cast("int").alias("y_true"),
                              vector_to_array("probability")[1].alias("y_pred"))
