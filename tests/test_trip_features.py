@@ -175,3 +175,11 @@ def test_mean_change_rate(trips):
         chg = chg[np.isfinite(chg) & (chg != 0)]
         exp = chg.mean() if len(chg) else None
         assert _close(got.loc[k, "y_mean_change_rate"], exp)
+
+
+def test_hot_path_hilbert_matches_numpy(trips):
+    """The distributed (Bluestein + four-step) FFT path of huge trips equals numpy's FFT."""
+    pdf, df = trips
+    hot = trip_features(df, SPEC, families=("hilbert_hann",), max_group_rows=0).toPandas().set_index("k")
+    exp = _expected(pdf)
+    _compare(hot, exp, [c for c in hot.columns if c.endswith("_hilbert_mean")])
