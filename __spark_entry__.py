@@ -21,7 +21,7 @@ from tripsense.operators import profile as P
 from tripsense.operators.labels import duplicate_labels, join_labels, last_label
 from tripsense.operators.sampling import holdout, kfold, under_sample
 from tripsense.plans import oracle_sql as O
-from tripsense.plans.features import mean_change_rate, top_features, trip_features, trip_last_n_long
+from tripsense.plans.features import mean_change_rate, trip_features, trip_features_for, trip_last_n_long
 from tripsense.sources.csv import union_by_name
 from tripsense.sources.tables import (
     EVENTS_SPEC,
@@ -76,7 +76,7 @@ def q_last_n(spark, sf_dir):
 
 
 def q_features_top(spark, sf_dir):
-    return _norm(top_features(trip_features(_v1(spark, sf_dir), LINEITEM_SPEC), key="l_suppkey"))
+    return _norm(trip_features_for(_v1(spark, sf_dir), S.TOP_100_FEATURES, LINEITEM_SPEC))
 
 
 def q_last_label(spark, sf_dir):

@@ -183,3 +183,15 @@ def test_hot_path_hilbert_matches_numpy(trips):
     hot = trip_features(df, SPEC, families=("hilbert_hann",), max_group_rows=0).toPandas().set_index("k")
     exp = _expected(pdf)
     _compare(hot, exp, [c for c in hot.columns if c.endswith("_hilbert_mean")])
+
+
+def test_requested_columns_only(trips):
+    """trip_features_for builds only what is asked for and equals the full transform's columns."""
+    from tripsense.plans.features import trip_features_for
+    pdf, df = trips
+    names = ["x_median", "y_iqr", S.quantile_name(0.95, "x"), "y_hilbert_mean", "x_mad_last_4_sec",
+             "y_mean_change_last_2_sec", "MA5_x_std", "x_skew"]
+    part = trip_features_for(df, names, SPEC).toPandas().set_index("k")
+    assert list(part.columns) == names
+    full = trip_features(df, SPEC).toPandas().set_index("k")
+    _compare(part, full, names)

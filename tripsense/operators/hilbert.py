@@ -148,7 +148,7 @@ def hilbert_envelope_table(rows: DataFrame, key: str, pos: str, length: str, val
 def hilbert_hot(frame: DataFrame, spec: TripSpec) -> DataFrame:
     """``<s>_hilbert_mean`` of every signal for the trips of a hot frame (columns ``_i``, ``_n``)."""
     out = None
-    for s in spec.signals:
+    for s in [s for s in spec.signals if spec.wants(f"{s}_hilbert_mean")]:
         t = hilbert_envelope_table(frame, spec.key, "_i", "_n", s).withColumnRenamed("_env", f"{s}_hilbert_mean")
         out = t if out is None else out.join(t, spec.key)
     return out

@@ -70,10 +70,14 @@ def last_n_wide(long: DataFrame, spec: TripSpec) -> DataFrame:
     by n; the names are then read out of it in one projection.
     """
     stats = [f"{c}_{a}" for c in spec.channels for a in S.LAST_N_AGGS] + [f"{s}_mean_change" for s in spec.signals]
+    ns = [n for n in spec.last_n if any(spec.wants(m) for m in S.last_n_names(n, spec.channels, spec.signals))]
+    used = [st for st in stats if any(spec.wants(f"{st}_last_{n}_sec") for n in ns)]
+    long = long.filter(F.col("n").isin(ns))
     packed = long.groupBy(spec.key).agg(F.expr(
-        "map_from_entries(collect_list(struct(n, struct(" + ", ".join(q(s) for s in stats) + ")))) AS _ln"))
+        "map_from_entries(collect_list(struct(n, struct(" + ", ".join(q(s) for s in used) + ")))) AS _ln"))
     cols = {}
     for n in spec.last_n:
         for name, stat in zip(S.last_n_names(n, spec.channels, spec.signals), stats):
-            cols[name] = f"_ln[{n}].{q(stat)}"
+            if spec.wants(name):
+                cols[name] = f"_ln[{n}].{q(stat)}"
     return packed.selectExpr(q(spec.key), *named(cols))

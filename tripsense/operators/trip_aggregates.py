@@ -54,6 +54,9 @@ class TripSpec:
     windows: tuple = S.ROLLING_WINDOWS
     quantiles: tuple = S.QUANTILES
     families: tuple = field(default=ALL_FAMILIES)
+    #: output columns actually needed (empty: all of ``families``); lets packed/unpivoted
+    #: intermediates skip what Spark's column pruning cannot see through
+    wanted: tuple = ()
 
     def __post_init__(self):
         if self.mean_change not in MEAN_CHANGE_MODES:
@@ -80,16 +83,19 @@ class TripSpec:
     def order_sql(self) -> str:
         return ", ".join(q(c) for c in self.order)
 
+    def wants(self, name: str) -> bool:
+        return not self.wanted or name in self.wanted
+
     def percentiles_of(self, c: str) -> tuple:
         """Probabilities needed for channel ``c`` (median, IQR, quantiles), sorted."""
         ps = set()
-        if self.has("primitive"):
+        if self.has("primitive") and self.wants(f"{c}_median"):
             ps.add(0.5)
         if c in self.signals:
-            if self.has("iqr"):
+            if self.has("iqr") and self.wants(f"{c}_iqr"):
                 ps.update((0.25, 0.75))
             if self.has("quantiles"):
-                ps.update(self.quantiles)
+                ps.update(p for p in self.quantiles if self.wants(S.quantile_name(p, c)))
         return tuple(sorted(ps))
 
     def percentile_channels(self) -> list[str]:
@@ -306,11 +312,12 @@ def percentile_outputs(spec: TripSpec) -> dict[str, str]:
         return percentile_value_sql(c, spec.percentiles_of(c).index(p), p)
     out = {}
     if spec.has("primitive"):
-        out.update({f"{c}_median": at(c, 0.5) for c in spec.channels})
+        out.update({f"{c}_median": at(c, 0.5) for c in spec.channels if spec.wants(f"{c}_median")})
     if spec.has("iqr"):
-        out.update({f"{s}_iqr": f"{at(s, 0.75)} - {at(s, 0.25)}" for s in spec.signals})
+        out.update({f"{s}_iqr": f"{at(s, 0.75)} - {at(s, 0.25)}" for s in spec.signals if spec.wants(f"{s}_iqr")})
     if spec.has("quantiles"):
-        out.update({S.quantile_name(p, s): at(s, p) for p in spec.quantiles for s in spec.signals})
+        out.update({S.quantile_name(p, s): at(s, p) for p in spec.quantiles for s in spec.signals
+                    if spec.wants(S.quantile_name(p, s))})
     return out
 
 

@@ -115,11 +115,13 @@ def _normal_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
         pieces.append(last_n_wide(last_n_long(last_rows(part, spec), spec), spec))
     if spec.has("hilbert_hann"):
         order = ", ".join(q(c) for c in spec.order)
+        sig = [s for s in spec.signals if spec.wants(f"{s}_hilbert_mean")]
         arrays = {f"_arr_{s}": f"transform(sort_array(collect_list(struct({order}, {q(s)} AS _v))), e -> e._v)"
-                  for s in spec.signals}
-        hil = _agg(part, spec.key, arrays)
-        pieces.append(hil.select(spec.key, *[hilbert_mean_udf(F.col(f"_arr_{s}")).alias(f"{s}_hilbert_mean")
-                                             for s in spec.signals]))
+                  for s in sig}
+        if arrays:
+            hil = _agg(part, spec.key, arrays)
+            pieces.append(hil.select(spec.key, *[hilbert_mean_udf(F.col(f"_arr_{s}")).alias(f"{s}_hilbert_mean")
+                                                 for s in sig]))
     pct_channels = {c: spec.percentiles_of(c) for c in spec.percentile_channels()}
     if pct_channels:
         pct = percentile_table(part, spec.key, pct_channels, ranks="window")
@@ -143,7 +145,7 @@ def _hot_features(rows: DataFrame, spec: TripSpec, block_rows: int) -> DataFrame
     if spec.has("last_n"):
         rows_rd = frame.filter(f"_n - _i <= {max(spec.last_n)}").selectExpr("*", "_n - _i AS _rd")
         pieces.append(last_n_wide(last_n_long(rows_rd, spec), spec))
-    if spec.has("hilbert_hann"):
+    if spec.has("hilbert_hann") and any(spec.wants(f"{s}_hilbert_mean") for s in spec.signals):
         pieces.append(hilbert_hot(frame, spec))
     pct_channels = {c: spec.percentiles_of(c) for c in spec.percentile_channels()}
     if pct_channels:
@@ -162,12 +164,17 @@ def trip_features(df: DataFrame, spec: TripSpec | None = None, max_group_rows: i
     The result does not depend on the input partitioning or row order.
     """
     spec = dataclasses.replace(spec or TripSpec(), **spec_kwargs)
+    if spec.wanted:
+        fams = [f for f in spec.families if set(output_names(dataclasses.replace(spec, families=(f,), wanted=())))
+                & set(spec.wanted)]
+        spec = dataclasses.replace(spec, families=tuple(fams))
     base = prepare(df, spec)
     normal, hot, _ = split_hot_keys(base, spec.key, max_group_rows)
     out = _normal_features(normal, spec)
     if hot is not None:
         out = out.unionByName(_hot_features(hot, spec, block_rows or max_group_rows))
-    return out.select(spec.key, *output_names(spec))
+    names = [n for n in output_names(spec) if spec.wants(n)]
+    return out.select(spec.key, *names)
 
 
 def trip_features_labelled(df: DataFrame, spec: TripSpec | None = None, label: str = S.LABEL,
@@ -194,6 +201,17 @@ def top_features(features: DataFrame, names=S.TOP_100_FEATURES, key: str = S.KEY
     return features.select(key, *names)
 
 
+def trip_features_for(df: DataFrame, names=S.TOP_100_FEATURES, spec: TripSpec | None = None, **kw) -> DataFrame:
+    """Only the listed feature columns (e.g. the 100 model inputs), in the given order.
+
+    Families without a requested column are not built at all, and the packed
+    or unpivoted intermediates (last-n, quantiles, Hilbert) carry only what is
+    requested, unlike computing all 696 columns and cutting them afterwards.
+    """
+    spec = dataclasses.replace(spec or TripSpec(), wanted=tuple(names))
+    return trip_features(df, spec, **kw).select(spec.key, *names)
+
+
 def empty_features(spark, spec: TripSpec | None = None) -> DataFrame:
     spec = spec or TripSpec()
     fields = [T.StructField(spec.key, T.LongType())] + [T.StructField(n, T.DoubleType()) for n in output_names(spec)]

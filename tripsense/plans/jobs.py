@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripsense import schema as S
 from tripsense.operators.labels import drop_unlabelled, join_labels, last_label
-from tripsense.plans.features import top_features, trip_features
+from tripsense.plans.features import trip_features_for
 from tripsense.plans.modeling import (
     cross_validate,
     fit_final,
@@ -32,7 +32,7 @@ def train(spark: SparkSession, telemetry: DataFrame, labels: DataFrame, model_ro
     """Features -> last label per trip -> search by 5-fold AUC -> final fit -> save."""
     order = [c for c in label_order if c in labels.columns]
     lab = last_label(labels, S.KEY, S.LABEL, order)
-    feats = top_features(trip_features(telemetry))
+    feats = trip_features_for(telemetry, FEATURES)
     data, unlabelled = drop_unlabelled(join_labels(feats, lab))
     _, results = cross_validate(data, FEATURES, family, trials=trials)
     best, best_auc = max(results, key=lambda r: r[1])
@@ -45,7 +45,7 @@ def predict(spark: SparkSession, telemetry: DataFrame, model_root: str, output:
             family: str = "gbt") -> DataFrame:
     """Features of every trip scored by the latest saved model; written as CSV when ``output``."""
     model = load_model(latest_model_path(f"{model_root.rstrip('/')}/{family}"))
-    pred = score(model, top_features(trip_features(telemetry)), FEATURES)
+    pred = score(model, trip_features_for(telemetry, FEATURES), FEATURES)
     if output:
         write_predictions(pred, output)
     return pred
