@@ -306,10 +306,12 @@ def hilbert_arrays(spec: TripSpec) -> dict[str, str]:
             for s in spec.signals}
 
 
-def percentile_outputs(spec: TripSpec) -> dict[str, str]:
-    """Median, IQR and quantile columns from the order statistics of :func:`percentile_aggs`."""
+def percentile_outputs(spec: TripSpec, from_arrays: bool = False) -> dict[str, str]:
+    """Median, IQR and quantile columns from the order statistics of :func:`percentile_aggs`
+    (or, ``from_arrays``, from ``_pq_<c>`` arrays of Spark's ``percentile`` aggregate)."""
     def at(c, p):
-        return percentile_value_sql(c, spec.percentiles_of(c).index(p), p)
+        j = spec.percentiles_of(c).index(p)
+        return f"_pq_{c}[{j}]" if from_arrays else percentile_value_sql(c, j, p)
     out = {}
     if spec.has("primitive"):
         out.update({f"{c}_median": at(c, 0.5) for c in spec.channels if spec.wants(f"{c}_median")})
