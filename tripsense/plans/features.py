@@ -170,11 +170,11 @@ def trip_features(df: DataFrame, spec: TripSpec | None = None, max_group_rows: i
         spec = dataclasses.replace(spec, families=tuple(fams))
     base = prepare(df, spec)
     normal, hot, _ = split_hot_keys(base, spec.key, max_group_rows)
-    out = _normal_features(normal, spec)
-    if hot is not None:
-        out = out.unionByName(_hot_features(hot, spec, block_rows or max_group_rows))
     names = [n for n in output_names(spec) if spec.wants(n)]
-    return out.select(spec.key, *names)
+    out = _normal_features(normal, spec).select(spec.key, *names)
+    if hot is not None:
+        out = out.unionByName(_hot_features(hot, spec, block_rows or max_group_rows).select(spec.key, *names))
+    return out
 
 
 def trip_features_labelled(df: DataFrame, spec: TripSpec | None = None, label: str = S.LABEL,
