@@ -1,0 +1 @@
+"""Grouped, skew-aware DataFrame operators: trip features, labels, sampling, evaluation, profiling."""

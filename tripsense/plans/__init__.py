@@ -1,0 +1 @@
+"""Whole plans: the feature transform, model training/scoring, the batch job and the SQL oracle."""

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The original job reads finite folders of CSV files and has no streaming
+source, watermark, window or state. A trip's features need the whole trip,
+so the batch operators of :mod:`tripsense.plans.features` are the complete
+surface; nothing here would have a counterpart to match.
+"""
