@@ -40,6 +40,8 @@ from tripsense.operators.trip_frame import hot_frame, normal_frame
 
 
 
+_MERGED = True
+
 FAMILY_ORDER = ("primitive", "kurtosis", "abs_mean", "trend", "mean_change", "hilbert_hann",
                 "last_n", "rolling_mean", "rolling_std", "iqr", "quantiles")
 
@@ -99,34 +101,40 @@ def _join_pieces(pieces: list[DataFrame], key: str) -> DataFrame:
 
 
 def _normal_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
-    """Bounded trips: one hash exchange on the key, then narrow branches joined on the key."""
+    """Bounded trips: one hash exchange on the key, then branches joined on the key.
+
+    ``_MERGED`` folds the exact percentiles and the Hilbert trip arrays into the
+    main per-trip aggregate (one exchange fewer each); otherwise they are
+    separate narrow branches.
+    """
     part = rows.repartition(spec.key)
     pieces = []
     aggs = trip_aggs(spec)
-    if aggs:
-        main = _agg(normal_frame(part, spec), spec.key, aggs)
+    order = ", ".join(q(c) for c in spec.order)
+    sig = [s for s in spec.signals if spec.wants(f"{s}_hilbert_mean")] if spec.has("hilbert_hann") else []
+    arrays = {f"_arr_{s}": f"transform(sort_array(collect_list(struct({order}, {q(s)} AS _v))), e -> e._v)"
+              for s in sig}
+    pct_channels = {c: spec.percentiles_of(c) for c in spec.percentile_channels()}
+    # bounded keys: Spark's exact percentile aggregate (its buffer holds one trip's values,
+    # at most max_group_rows); measured faster than value-rank windows. Hot keys use ranks.
+    pcts = {f"_pq_{c}": f"percentile({q(c)}, array({', '.join(repr(p) for p in ps)}))"
+            for c, ps in pct_channels.items()}
+    extra = {**arrays, **pcts} if _MERGED else {}
+    if aggs or extra:
+        main = _agg(normal_frame(part, spec), spec.key, {**aggs, **extra})
         if spec.moments:
             main = main.selectExpr("*", *named(moment_outputs(spec)))
         pieces.append(main)
     if spec.has("last_n"):
         pieces.append(last_n_wide(last_n_long(last_rows(part, spec), spec), spec))
-    if spec.has("hilbert_hann"):
-        order = ", ".join(q(c) for c in spec.order)
-        sig = [s for s in spec.signals if spec.wants(f"{s}_hilbert_mean")]
-        arrays = {f"_arr_{s}": f"transform(sort_array(collect_list(struct({order}, {q(s)} AS _v))), e -> e._v)"
-                  for s in sig}
+    if not _MERGED:
         if arrays:
-            hil = _agg(part, spec.key, arrays)
-            pieces.append(hil.select(spec.key, *[hilbert_mean_udf(F.col(f"_arr_{s}")).alias(f"{s}_hilbert_mean")
-                                                 for s in sig]))
-    pct_channels = {c: spec.percentiles_of(c) for c in spec.percentile_channels()}
-    if pct_channels:
-        # bounded keys: Spark's exact percentile aggregate (its buffer holds one trip's values,
-        # at most max_group_rows); measured faster than value-rank windows. Hot keys use ranks.
-        arrays = {f"_pq_{c}": f"percentile({q(c)}, array({', '.join(repr(p) for p in ps)}))"
-                  for c, ps in pct_channels.items()}
-        pieces.append(_agg(part, spec.key, arrays))
+            pieces.append(_agg(part, spec.key, arrays))
+        if pcts:
+            pieces.append(_agg(part, spec.key, pcts))
     out = _join_pieces(pieces, spec.key)
+    if arrays:
+        out = out.withColumns({f"{s}_hilbert_mean": hilbert_mean_udf(F.col(f"_arr_{s}")) for s in sig})
     if pct_channels:
         out = out.selectExpr("*", *named(percentile_outputs(spec, from_arrays=True)))
     return out
