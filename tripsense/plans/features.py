@@ -126,7 +126,8 @@ def _normal_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
             main = main.selectExpr("*", *named(moment_outputs(spec)))
         pieces.append(main)
     if spec.has("last_n"):
-        pieces.append(last_n_wide(last_n_long(last_rows(part, spec), spec), spec))
+        # from the unshuffled rows: the top-n filter runs as a partial group limit before the exchange
+        pieces.append(last_n_wide(last_n_long(last_rows(rows, spec), spec), spec))
     if not _MERGED:
         if arrays:
             pieces.append(_agg(part, spec.key, arrays))
