@@ -195,3 +195,10 @@ def test_requested_columns_only(trips):
     assert list(part.columns) == names
     full = trip_features(df, SPEC).toPandas().set_index("k")
     _compare(part, full, names)
+
+
+def test_mean_change_rate_hot_path(trips):
+    pdf, df = trips
+    normal = mean_change_rate(df, SPEC).toPandas().set_index("k").sort_index()
+    hot = mean_change_rate(df, SPEC, max_group_rows=10).toPandas().set_index("k").sort_index()
+    _compare(hot, normal, list(normal.columns))

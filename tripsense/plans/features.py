@@ -259,7 +259,7 @@ def mean_change_rate(df: DataFrame, spec: TripSpec | None = None, max_group_rows
     if hot is not None:
         from tripsense.operators.keyed import block_with_halo, ranked_positions
         blocked = block_with_halo(ranked_positions(hot, spec.key, list(spec.order)), max_group_rows, 1)
-        hot_part = rates(blocked.filter("true"), f"{k}, _blk", "_i")
+        hot_part = rates(blocked, f"{k}, _blk", "_i")
         # the halo row only serves as the predecessor of the block's first row
         out = out.unionByName(hot_part)
     return out
