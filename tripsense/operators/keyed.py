@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from tripsense.session import materialize
 
-#: rows per key above which a key is treated as hot
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
+#: rows per key above which a key is treated as hot. A bounded trip is held in one task by the
+#: exact percentile and Hilbert buffers (~12 channels x 8-40 bytes per row: ~120 MB at this size);
+#: real trips are far shorter (hours of 1 Hz samples), larger keys take the distributed hot path.
+DEFAULT_MAX_GROUP_ROWS = 250_000
 #: largest per-key table that is broadcast (rows); beyond it a shuffle join is used
 MAX_BROADCAST_ROWS = 2_000_000
 #: bits of ``monotonically_increasing_id`` that hold the row position in a partition

@@ -15,9 +15,10 @@ layout (the same mapping is used by the SQL oracle):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripsense.operators.keyed import join_small
 from tripsense.operators.trip_aggregates import TripSpec
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -55,8 +56,8 @@ def event_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as trips of one signal, ``second`` counted from the user's first event."""
     ev = table(spark, sf_dir, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    first = ev.groupBy("user_id").agg(F.min(us).alias("_t0"))
-    return (ev.join(first, "user_id")
+    first = ev.groupBy("user_id").agg(F.min(us).alias("_t0"))  # one row per user, partial aggregate
+    return (join_small(ev, first, "user_id")
             .select("user_id", "event_id", ((us - F.col("_t0")) / F.lit(1e6)).alias("second"), "value"))
 
 
@@ -79,8 +80,3 @@ def scored_documents(spark: SparkSession, sf_dir: str, label: str = "quality") -
     return (lab.join(docs, "doc_id")
             .select("doc_id", F.col(label).cast("int").alias("y_true"), F.col("n_chars").cast("double").alias("y_pred")))
 
-
-def window_second(df: DataFrame, key: str, ts: str) -> DataFrame:
-    """Seconds since the first sample of each key (window form, used by the streaming adapter)."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.withColumn("second", (us - F.min(us).over(Window.partitionBy(key))) / F.lit(1e6))
