@@ -202,3 +202,17 @@ def test_mean_change_rate_hot_path(trips):
     normal = mean_change_rate(df, SPEC).toPandas().set_index("k").sort_index()
     hot = mean_change_rate(df, SPEC, max_group_rows=10).toPandas().set_index("k").sort_index()
     _compare(hot, normal, list(normal.columns))
+
+
+def test_one_key_with_a_third_of_the_rows(trips, spark):
+    """One hot trip (a third of all rows) beside normal trips: both paths, then their union."""
+    pdf, _ = trips
+    big = pdf[pdf["k"] == 5]
+    rep = pd.concat([big.assign(j=big["j"] + 1000 * r, t=big["t"] + 600.0 * r) for r in range(2)])
+    data = pd.concat([pdf, rep.assign(k=11)])
+    share = (data["k"] == 11).mean()
+    assert 0.3 < share < 0.5
+    df = spark.createDataFrame(data)
+    normal = trip_features(df, SPEC).toPandas().set_index("k").sort_index()
+    mixed = trip_features(df, SPEC, max_group_rows=200, block_rows=64).toPandas().set_index("k").sort_index()
+    _compare(mixed, normal, list(normal.columns))
