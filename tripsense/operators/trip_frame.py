@@ -30,14 +30,19 @@ def _mean_channels(spec: TripSpec) -> list[str]:
     return list(spec.signals) if spec.rolling_windows else []
 
 
-def _rolling_steps(df: DataFrame, spec: TripSpec, part: str, order: str) -> DataFrame:
+def _change_flags(spec: TripSpec, wo: str) -> list[str]:
+    """1 where a signal differs from the previous sample (marks windows of equal values)."""
+    return [f"CASE WHEN lag({q(s)}) OVER ({wo}) <=> {q(s)} THEN 0 ELSE 1 END AS _chg_{s}" for s in spec.signals]
+
+
+def _rolling_steps(df: DataFrame, spec: TripSpec, part: str, order: str, flags_done: bool = False) -> DataFrame:
     if not spec.rolling_windows:
         return df
     wo = f"PARTITION BY {part} ORDER BY {order}"
     run = f"({wo} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     sig = list(spec.signals)
-    df = df.selectExpr("*", *[f"CASE WHEN lag({q(s)}) OVER ({wo}) <=> {q(s)} THEN 0 ELSE 1 END AS _chg_{s}"
-                              for s in sig])
+    if not flags_done:
+        df = df.selectExpr("*", *_change_flags(spec, wo))
     cols = []
     for s in sig:
         d = f"({q(s)} - _mean_{s})"
@@ -77,12 +82,15 @@ def _deviations(df: DataFrame, spec: TripSpec) -> DataFrame:
 def normal_frame(base: DataFrame, spec: TripSpec) -> DataFrame:
     """Frame for bounded trips: all helper columns from windows partitioned by the key."""
     k = q(spec.key)
-    cols = [f"row_number() OVER (PARTITION BY {k} ORDER BY {spec.order_sql}) - 1 AS _i",
-            f"count(1) OVER (PARTITION BY {k}) AS _n"]
+    wo = f"PARTITION BY {k} ORDER BY {spec.order_sql}"
+    # same ordered window as the position: one sort, one window operator
+    cols = [f"row_number() OVER ({wo}) - 1 AS _i", f"count(1) OVER (PARTITION BY {k}) AS _n"]
+    if spec.rolling_windows:
+        cols += _change_flags(spec, wo)
     cols += [f"avg({q(c)}) OVER (PARTITION BY {k}) AS _mean_{c}" for c in _mean_channels(spec)]
     frame = base.selectExpr("*", *cols)
     frame = _deviations(frame, spec)
-    return _rolling_steps(frame, spec, k, spec.order_sql)
+    return _rolling_steps(frame, spec, k, spec.order_sql, flags_done=True)
 
 
 def hot_frame(hot_rows: DataFrame, spec: TripSpec, block_rows: int) -> DataFrame:

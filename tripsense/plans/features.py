@@ -112,7 +112,9 @@ def _normal_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
     aggs = trip_aggs(spec)
     order = ", ".join(q(c) for c in spec.order)
     sig = [s for s in spec.signals if spec.wants(f"{s}_hilbert_mean")] if spec.has("hilbert_hann") else []
-    arrays = {f"_arr_{s}": f"transform(sort_array(collect_list(struct({order}, {q(s)} AS _v))), e -> e._v)"
+    # merged: the frame carries the trip position _i, a cheaper sort key than the order columns
+    pos = "_i" if _MERGED else order
+    arrays = {f"_arr_{s}": f"transform(sort_array(collect_list(struct({pos}, {q(s)} AS _v))), e -> e._v)"
               for s in sig}
     pct_channels = {c: spec.percentiles_of(c) for c in spec.percentile_channels()}
     # bounded keys: Spark's exact percentile aggregate (its buffer holds one trip's values,
