@@ -226,6 +226,10 @@ def q_gbt_score(spark, sf_dir):
     return score(model, feats, cols, key="l_suppkey")
 
 
+HOT_ROWS = 100   # every lineitem trip exceeds this, so all take the hot path
+HOT_BLOCK = 128  # rows per window block of a hot trip (several blocks per trip)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "vector_norm": q_vector_norm,
@@ -241,6 +245,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trip_last_n": q_last_n,
         "trip_rolling_mean": _family("rolling_mean"),
         "trip_rolling_std": _family("rolling_std"),
+        # the distributed path for trips above max_group_rows, forced for every supplier
+        # (527-695 rows each): range-partitioned positions, blocked windows, ranked quantiles
+        "trip_primitive_hot": _family("primitive", max_group_rows=HOT_ROWS, block_rows=HOT_BLOCK),
+        "trip_rolling_std_hot": _family("rolling_std", max_group_rows=HOT_ROWS, block_rows=HOT_BLOCK),
         "trip_iqr": _family("iqr"),
         "trip_quantiles": _family("quantiles"),
         "trip_features_top": q_features_top,
@@ -319,6 +327,8 @@ def oracle_sql() -> dict[str, str]:
         "trip_last_n": t(O.last_n_long_sql(k1, o1, ch, sig)),
         "trip_rolling_mean": t(O.rolling_cte(k1, o1, sig, "mean")),
         "trip_rolling_std": t(O.rolling_cte(k1, o1, sig, "std")),
+        "trip_primitive_hot": t(O.primitive_cte(k1, ch)),
+        "trip_rolling_std_hot": t(O.rolling_cte(k1, o1, sig, "std")),
         "trip_iqr": t(O.iqr_cte(k1, sig)),
         "trip_quantiles": t(O.quantiles_cte(k1, sig)),
         "trip_features_top": O.top_features_sql(),

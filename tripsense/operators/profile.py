@@ -1,4 +1,4 @@
-"""Data profiling operators of the exploration notebooks."""
+"""Data profiling operators for data exploration."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def trip_lengths(df: DataFrame, key: str = S.KEY) -> DataFrame:
 
 
 def length_profile(df: DataFrame, key: str = S.KEY) -> DataFrame:
-    """count / mean / stddev / min / max of the rows per trip (A24, the ``describe`` of the notebook),
+    """count / mean / stddev / min / max of the rows per trip (A24, a typed ``describe``),
     as typed columns instead of strings."""
     lengths = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return lengths.agg(F.count(F.lit(1)).alias("trips"), F.avg("n").alias("mean_rows"),
@@ -62,7 +62,7 @@ def histogram(features: DataFrame, columns: Sequence[str], bins: int = S.HISTOGR
 
     Bins span [min, max] of each column; the last bin is closed. Output:
     ``column, bin, lo, hi, count, density`` with density = count / (n width),
-    the ``normed=True`` form of the notebook. NULLs are skipped.
+    the normalised (``normed=True``) form. NULLs are skipped.
     """
     structs = ", ".join(f"struct('{c}' AS column, CAST({q(c)} AS DOUBLE) AS x)" for c in columns)
     long = features.selectExpr(f"inline(array({structs}))").filter("x IS NOT NULL AND NOT isnan(x)")
