@@ -8,7 +8,6 @@ because the two engines add in different orders.
 
 from __future__ import annotations
 
-import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession

@@ -43,64 +43,3 @@ def slope_or_zero(y: str | Column, x: str | Column) -> Column:
     return (F.when(F.regr_count(yc, xc) == 0, F.lit(None).cast("double"))
             .otherwise(F.coalesce(F.regr_slope(yc, xc), F.lit(0.0))))
 
-
-# --------------------------------------------------------------------------
-# Moments from sums of deviations.
-#
-# With d = x - m for a per-row reference m (the group mean, known from a window
-# or a joined per-key table), the group needs only plain sums
-#   n, sum(d), sum(d^2), sum(d^3), sum(d^4)
-# which are cheap, mergeable and numerically stable (two-pass scheme). The
-# central sums about the exact mean m + delta, delta = sum(d)/n, are
-#   M2 = S2 - n delta^2
-#   M3 = S3 - 3 delta S2 + 2 n delta^3
-#   M4 = S4 - 4 delta S3 + 6 delta^2 S2 - 3 n delta^4
-# --------------------------------------------------------------------------
-def deviation_sums(x: Column, ref: Column, prefix: str, order: int = 4) -> dict[str, Column]:
-    """Aggregates n, min, max, S1..S<order> of d = x - ref, named ``<prefix>_<stat>``."""
-    d = x - ref
-    out = {f"{prefix}_n": F.count(x), f"{prefix}_min": F.min(x), f"{prefix}_max": F.max(x),
-           f"{prefix}_d1": F.sum(d), f"{prefix}_d2": F.sum(d * d)}
-    if order >= 3:
-        out[f"{prefix}_d3"] = F.sum(d * d * d)
-    if order >= 4:
-        out[f"{prefix}_d4"] = F.sum(d * d * d * d)
-    return out
-
-
-def _central(prefix: str):
-    n = F.col(f"{prefix}_n").cast("double")
-    s1, s2 = F.col(f"{prefix}_d1"), F.col(f"{prefix}_d2")
-    delta = s1 / n
-    m2 = F.greatest(s2 - n * delta * delta, F.lit(0.0))
-    return n, delta, s2, m2
-
-
-def std_from_sums(prefix: str) -> Column:
-    n, _, _, m2 = _central(prefix)
-    return F.when(n >= 2, F.sqrt(m2 / (n - 1)))
-
-
-def skew_from_sums(prefix: str) -> Column:
-    """pandas' bias-corrected skewness G1 from deviation sums; NULL if n < 3, 0 if constant."""
-    n, delta, s2, m2 = _central(prefix)
-    s3 = F.col(f"{prefix}_d3")
-    m3 = s3 - F.lit(3.0) * delta * s2 + F.lit(2.0) * n * delta * delta * delta
-    g1 = F.sqrt(n) * m3 / F.pow(m2, 1.5)
-    return (F.when(n < 3, F.lit(None).cast("double"))
-            .when(F.col(f"{prefix}_min") == F.col(f"{prefix}_max"), F.lit(0.0))
-            .when(m2 == 0, F.lit(0.0))
-            .otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
-
-
-def kurt_from_sums(prefix: str) -> Column:
-    """pandas' bias-corrected excess kurtosis G2; NULL if n < 4, 0 if constant."""
-    n, delta, s2, m2 = _central(prefix)
-    s3, s4 = F.col(f"{prefix}_d3"), F.col(f"{prefix}_d4")
-    m4 = (s4 - F.lit(4.0) * delta * s3 + F.lit(6.0) * delta * delta * s2
-          - F.lit(3.0) * n * delta * delta * delta * delta)
-    g2 = n * m4 / (m2 * m2) - 3
-    return (F.when(n < 4, F.lit(None).cast("double"))
-            .when(F.col(f"{prefix}_min") == F.col(f"{prefix}_max"), F.lit(0.0))
-            .when(m2 == 0, F.lit(0.0))
-            .otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))

@@ -108,15 +108,6 @@ def ranked_positions(df: DataFrame, key: str | Sequence[str], order: Sequence[Co
             .drop("_pid", "_m0", "_off", "_mono"))
 
 
-def with_positions(df: DataFrame, key: str | Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """``_i`` / ``_n`` through one hash exchange on the key (for bounded keys)."""
-    keys = _cols(key)
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    w = Window.partitionBy(*keys).orderBy(*order_cols)
-    return (df.withColumn("_i", (F.row_number().over(w) - 1).cast("long"))
-            .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("long")))
-
-
 def block_with_halo(df: DataFrame, block_rows: int, halo: int) -> DataFrame:
     """Assign ``_blk = _i div block_rows`` and copy the last ``halo`` rows of each block
     into the next block (flag ``_halo``), so trailing row windows of up to

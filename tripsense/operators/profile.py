@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripsense import schema as S
-from tripsense.operators.trip_aggregates import named, q
+from tripsense.operators.trip_aggregates import q
 
 
 def trip_lengths(df: DataFrame, key: str = S.KEY) -> DataFrame:

@@ -8,8 +8,8 @@ neighbouring order statistics of every requested probability are kept: no
 task ever holds a whole key.
 
 The output columns are those of
-:func:`tripsense.operators.trip_aggregates.percentile_aggs`, so the same
-interpolation code reads both.
+:func:`tripsense.operators.trip_aggregates.percentile_outputs` reads
+(``_pn``/``_plo``/``_phi``).
 """
 
 from __future__ import annotations

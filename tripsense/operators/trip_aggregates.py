@@ -277,38 +277,16 @@ def trip_aggs(spec: TripSpec) -> dict[str, str]:
     return out
 
 
-def percentile_aggs(spec: TripSpec) -> dict[str, str]:
-    """Exact percentiles from value ranks ``_r_<c>`` (0-based, NULLs last) and counts ``_nc_<c>``.
-
-    For position pos = (n-1) p the two neighbouring order statistics are picked
-    by conditional aggregates; :func:`percentile_outputs` interpolates
-    x[lo] + (x[lo+1] - x[lo]) (pos - lo), the linear rule of pandas and DuckDB.
-    """
-    out = {}
-    for c in spec.percentile_channels():
-        out[f"_pn_{c}"] = f"count({q(c)})"
-        for j, p in enumerate(spec.percentiles_of(c)):
-            lo = f"floor((_nc_{c} - 1) * {p!r})"
-            out[f"_plo_{c}_{j}"] = f"max(CASE WHEN _r_{c} = {lo} THEN {q(c)} END)"
-            out[f"_phi_{c}_{j}"] = f"max(CASE WHEN _r_{c} = {lo} + 1 THEN {q(c)} END)"
-    return out
-
-
 def percentile_value_sql(c: str, j: int, p: float) -> str:
     pos = f"((_pn_{c} - 1) * {p!r})"
     return (f"(CASE WHEN _phi_{c}_{j} IS NULL THEN _plo_{c}_{j} "
             f"ELSE _plo_{c}_{j} + (_phi_{c}_{j} - _plo_{c}_{j}) * ({pos} - floor({pos})) END)")
 
 
-def hilbert_arrays(spec: TripSpec) -> dict[str, str]:
-    """Trip samples of each signal as an array in trip order."""
-    return {f"_arr_{s}": f"transform(sort_array(collect_list(struct(_i, {q(s)} AS v))), e -> e.v)"
-            for s in spec.signals}
-
-
 def percentile_outputs(spec: TripSpec, from_arrays: bool = False) -> dict[str, str]:
-    """Median, IQR and quantile columns from the order statistics of :func:`percentile_aggs`
-    (or, ``from_arrays``, from ``_pq_<c>`` arrays of Spark's ``percentile`` aggregate)."""
+    """Median, IQR and quantile columns from the order statistics of
+    :func:`tripsense.operators.quantiles.percentile_table` (hot trips) or, ``from_arrays``,
+    from the ``_pq_<c>`` arrays of Spark's ``percentile`` aggregate (bounded trips)."""
     def at(c, p):
         j = spec.percentiles_of(c).index(p)
         return f"_pq_{c}[{j}]" if from_arrays else percentile_value_sql(c, j, p)
@@ -323,13 +301,6 @@ def percentile_outputs(spec: TripSpec, from_arrays: bool = False) -> dict[str, s
     return out
 
 
-def trip_outputs(spec: TripSpec) -> dict[str, str]:
-    """Final columns computed from the aggregates (moments and percentiles)."""
-    out = moment_outputs(spec) if spec.moments else {}
-    out.update(percentile_outputs(spec))
-    return out
-
-
 def named(exprs: dict[str, str]) -> list[str]:
     """``{name: sql}`` -> ``["sql AS `name`", ...]`` for ``selectExpr`` / ``F.expr``."""
     return [f"{sql} AS {q(name)}" for name, sql in exprs.items()]

@@ -19,7 +19,6 @@ import dataclasses
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tripsense import schema as S
 from tripsense.functions.columns import nan_to_null, norm3
@@ -223,12 +222,6 @@ def trip_features_for(df: DataFrame, names=S.TOP_100_FEATURES, spec: TripSpec |
     return trip_features(df, spec, **kw).select(spec.key, *names)
 
 
-def empty_features(spark, spec: TripSpec | None = None) -> DataFrame:
-    spec = spec or TripSpec()
-    fields = [T.StructField(spec.key, T.LongType())] + [T.StructField(n, T.DoubleType()) for n in output_names(spec)]
-    return spark.createDataFrame([], T.StructType(fields))
-
-
 def trip_last_n_long(df: DataFrame, spec: TripSpec | None = None, **spec_kwargs) -> DataFrame:
     """Last-n aggregates in the long layout: one row per (trip, n).
 
