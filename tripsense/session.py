@@ -52,7 +52,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="tripsense-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(checkpoints must survive the loss of an executor)")
+        conf_dir = tempfile.mkdtemp(prefix="tripsense-ckpt-")  # local mode only (tests)
     os.makedirs(conf_dir, exist_ok=True) if conf_dir.startswith("/") else None
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
