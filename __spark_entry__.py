@@ -32,6 +32,16 @@ from tripsense.sources.tables import (
     trip_labels,
 )
 
+try:  # the training-data operators are optional: without the folder all other queries still work
+    from tripsense.llm.queries import QUERIES as LLM_QUERIES
+    from tripsense.llm.queries import SQL as LLM_SQL
+except ImportError:
+    LLM_QUERIES, LLM_SQL = {}, {}
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 SF_SMOKE = "/root/testdata/sf0.001"
 
 
@@ -273,6 +283,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "experiment_rank": q_experiment_rank,
         "feature_importance_topk": q_feature_importance,
         "gbt_score": q_gbt_score,
+        **LLM_QUERIES,
+        **({"pipeline": corpus_pipeline.run} if corpus_pipeline else {}),
     }
 
 
@@ -396,6 +408,9 @@ SELECT experiment_id, model, {O.norm('auc')} AS auc, CAST(rank() OVER (ORDER BY
     out["log1p_transform"] = t(fam + "\nSELECT l_suppkey, " + ", ".join(
         f"{O.norm(f'CASE WHEN {O.qd(c)} + 10 > -1 THEN ln(1 + {O.qd(c)} + 10) END')} AS {O.qd(c)}" for c in ln_cols)
         + " FROM f")
+    out.update(LLM_SQL)
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
 
 
