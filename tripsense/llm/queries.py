@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripsense.llm import exact_dedup, mixing
+from tripsense.llm import bpe, exact_dedup, html_content, language_id, mixing, warc
 from tripsense.llm.common import table
 
 
@@ -10,12 +10,21 @@ def _documents(op):
     return lambda spark, sf_dir: op(table(spark, sf_dir, "documents"))
 
 
+def _pages(op):
+    return lambda spark, sf_dir: op(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_language_id": _documents(language_id.op1),
     "op3_mix_sources": _documents(mixing.op3),
     "op5_exact_dedup": _documents(exact_dedup.op5),
+    "op6_warc": _pages(warc.op6),
+    "op7_html_content": _pages(html_content.op7),
+    "op8_byte_bpe": _documents(bpe.op8),
 }
 
 SQL = {
     "op3_mix_sources": mixing.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op6_warc": warc.SQL,
 }
