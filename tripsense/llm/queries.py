@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripsense.llm import bpe, exact_dedup, html_content, language_id, mixing, warc
+from tripsense.llm import bpe, exact_dedup, html_content, language_id, mixing, spot_signatures, warc
 from tripsense.llm.common import table
 
 
@@ -21,6 +21,7 @@ QUERIES = {
     "op6_warc": _pages(warc.op6),
     "op7_html_content": _pages(html_content.op7),
     "op8_byte_bpe": _documents(bpe.op8),
+    "op9_spot_signatures": _documents(spot_signatures.op9),
 }
 
 SQL = {
