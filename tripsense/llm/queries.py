@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripsense.llm import bpe, exact_dedup, html_content, language_id, mixing, spot_signatures, warc
+from tripsense.llm import bpe, exact_dedup, html_content, language_id, mixing, quality, spot_signatures, warc
 from tripsense.llm.common import table
 
 
@@ -16,6 +16,7 @@ def _pages(op):
 
 QUERIES = {
     "op1_language_id": _documents(language_id.op1),
+    "op2_quality": lambda spark, sf_dir: quality.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op3_mix_sources": _documents(mixing.op3),
     "op5_exact_dedup": _documents(exact_dedup.op5),
     "op6_warc": _pages(warc.op6),
