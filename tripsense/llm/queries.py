@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripsense.llm import bpe, exact_dedup, html_content, language_id, mixing, quality, spot_signatures, warc
+from tripsense.llm import bpe, exact_dedup, html_content, language_id, mixing, quality, spot_signatures, substring_dedup, warc
 from tripsense.llm.common import table
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op7_html_content": _pages(html_content.op7),
     "op8_byte_bpe": _documents(bpe.op8),
     "op9_spot_signatures": _documents(spot_signatures.op9),
+    "op10_substring_dedup": _documents(substring_dedup.op10),
 }
 
 SQL = {
