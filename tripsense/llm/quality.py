@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripsense.llm.common import shuffle_partitions, small_enough, text_or_empty
+from tripsense.llm.common import broadcast_if_small, shuffle_partitions, text_or_empty
 from tripsense.llm.segments import mix64, slices
 from tripsense.session import materialize
 
@@ -280,9 +280,7 @@ def held_out(text_col: str):
 def trusted_texts(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` whose id is in ``trusted``; its ids are broadcast after a check of their size only."""
     ids = trusted.select(id_col).filter(F.col(id_col).isNotNull()).distinct()
-    if small_enough(ids, row_bytes=16):
-        ids = F.broadcast(ids)
-    return docs.join(ids, id_col, "left_semi")
+    return docs.join(broadcast_if_small(ids, row_bytes=16), id_col, "left_semi")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripsense.llm import bpe, exact_dedup, html_content, language_id, mixing, quality, spot_signatures, substring_dedup, warc
+from tripsense.llm import bpe, exact_dedup, html_content, jaccard_join, language_id, mixing, quality, spot_signatures, substring_dedup, warc
 from tripsense.llm.common import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op1_language_id": _documents(language_id.op1),
     "op2_quality": lambda spark, sf_dir: quality.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op3_mix_sources": _documents(mixing.op3),
+    "op4_jaccard_join": _documents(jaccard_join.op4),
     "op5_exact_dedup": _documents(exact_dedup.op5),
     "op6_warc": _pages(warc.op6),
     "op7_html_content": _pages(html_content.op7),

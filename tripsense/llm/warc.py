@@ -20,14 +20,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripsense.llm.common import small_enough, text_or_empty
-from tripsense.session import ensure_checkpoint_dir
+from tripsense.llm.common import broadcast_if_small, scratch, text_or_empty
 
 #: uncompressed bytes of records that an archive file holds on average at most
 ARCHIVE_BYTES = 32 << 20
@@ -72,8 +70,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     sizes = (rows.filter(F.col("_size") >= min_revisit_bytes).groupBy("_digest", "_size")
              .agg(F.max("_order").cast("string").alias("_first"), F.count(F.lit(1)).alias("_copies")))
     copies = sizes.filter("_copies > 1").drop("_copies")
-    if small_enough(copies, row_bytes=64):                # a checked size; else both sides are shuffled by digest
-        copies = F.broadcast(copies)
+    copies = broadcast_if_small(copies, row_bytes=64)
     stats = rows.agg(F.count(F.lit(1)), F.avg("_size")).first()
     per_file = max(1, int(archive_bytes / (1000 + (stats[1] or 0))))
     linked = (rows.drop("_order").join(copies, ["_digest", "_size"], "left")
@@ -214,11 +211,6 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     return files.mapInArrow(parse, SCHEMA)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def op6(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
