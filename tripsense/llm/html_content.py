@@ -10,8 +10,8 @@ blocks of a page at once.
 The classifier has two parts: the landmarks of a block's ancestors (``nav``, ``footer``,
 ``article`` ..., roles, class and id words; a fixed prior), and a logistic regression on
 what the text itself shows (length, link density, punctuation, place), trained on the
-blocks of ``fit_pages`` pages whose landmarks are clear. The sample (smallest hash of the
-html) only fits these few weights; every page is labelled whole.
+blocks with clear landmarks of about ``fit_pages`` pages (twice as many at most; those whose hash
+of the html is smallest). The sample only fits these few weights; every page is labelled whole.
 
 Defined results: NULL or empty html gives an empty text; unclosed, stray and cut-off tags
 are accepted; a page without landmarks is judged by the text features alone; an empty table gives an
@@ -28,7 +28,7 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: pages of the sample that fits the text classifier
+#: pages of the sample that fits the text classifier (about so many, twice as many at most)
 FIT_PAGES = 1000
 
 _TOKEN = re.compile(
@@ -306,8 +306,10 @@ def fit_classifier(pages: DataFrame, html_col: str = "html", fit_pages: int = FI
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    sample = (pages.filter(F.length(html_col) > 0).select(F.col(html_col).alias("_html"))
-              .orderBy(F.xxhash64("_html"), "_html").limit(fit_pages))
+    # distinct pages whose hash lies in a range that holds about ``fit_pages`` rows, twice as many at most
+    share = min(1.0, fit_pages / max(1, pages.count()))
+    low = F.xxhash64(html_col) <= F.lit(int(-(2**63) + share * (2**64 - 1)))
+    sample = pages.filter(F.length(html_col) > 0).filter(low).select(F.col(html_col).alias("_html")).distinct().limit(2 * fit_pages)
 
     def rows(frames):
         import pandas as pd
