@@ -308,7 +308,7 @@ def fit_classifier(pages: DataFrame, html_col: str = "html", fit_pages: int = FI
 
     # distinct pages whose hash lies in a range that holds about ``fit_pages`` rows, twice as many at most
     share = min(1.0, fit_pages / max(1, pages.count()))
-    low = F.xxhash64(html_col) <= F.lit(int(-(2**63) + share * (2**64 - 1)))
+    low = F.xxhash64(html_col) <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))
     sample = pages.filter(F.length(html_col) > 0).filter(low).select(F.col(html_col).alias("_html")).distinct().limit(2 * fit_pages)
 
     def rows(frames):
