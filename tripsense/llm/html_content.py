@@ -311,15 +311,16 @@ def fit_classifier(pages: DataFrame, html_col: str = "html", fit_pages: int = FI
     low = F.xxhash64(html_col) <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))
     sample = pages.filter(F.length(html_col) > 0).filter(low).select(F.col(html_col).alias("_html")).distinct().limit(2 * fit_pages)
 
-    def rows(frames):
-        import pandas as pd
+    def rows(stream):
+        import pyarrow as pa
 
-        for frame in frames:
-            found = [(x, float(b.odds > 0)) for page in frame["_html"] for blocks in (parse_blocks(page),)
+        for batch in stream:
+            found = [(x, float(b.odds > 0)) for page in batch.column(0).to_pylist() for blocks in (parse_blocks(page),)
                      for b, x in zip(blocks, block_features(blocks)) if b.marked]
-            yield pd.DataFrame({"x": [f for f, _ in found], "label": [y for _, y in found]})
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.float64())),
+                                              pa.array([y for _, y in found], pa.float64())], ["x", "label"])
 
-    data = sample.mapInPandas(rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
+    data = sample.mapInArrow(rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
     data = data.persist()
     try:
         if data.select("label").distinct().count() < 2:   # nothing to tell apart: landmarks and smoothing decide

@@ -1,8 +1,8 @@
 """Document fingerprints by spot signatures (DataFrame functions only).
 
 A spot signature is a chain of up to ``CHAIN`` content words that follows an anchor, that is
-one of the most common function words (or the start of the text); function words inside the
-chain are skipped. The fingerprint of a text is the sorted set of its signatures' 32-bit
+one of the most common function words (or the start of the text) before a content word;
+function words inside the chain are skipped. The fingerprint of a text is the sorted set of its signatures' 32-bit
 hashes. Two fingerprints are compared by Jaccard likeness; :func:`near_duplicates` partitions
 them by set length, so that only sets whose lengths allow the threshold meet, and prunes by
 length before the sets are intersected.
@@ -38,16 +38,23 @@ THRESHOLD = 0.75
 _START = "^"
 
 
-def _chain_pattern() -> str:
-    skip = f"(?:(?:{'|'.join(ANCHORS)}) )*+"
-    return rf"(?<= )(?=((?:\^|{'|'.join(ANCHORS)}) (?:{skip}[^ ]++ ){{1,{CHAIN}}}))"
+#: joins a function word to what follows it, so that a run of them and its content word are one token
+_TIE = "\x01"
+_ANCHOR = rf"(?<= )(\^|{'|'.join(ANCHORS)}) "
+_CHAIN = rf"(?<=[ {_TIE}])(?=([^ {_TIE}]++{_TIE}[^ {_TIE}]++ (?:[^ ]++ ){{0,{CHAIN - 1}}}))"
+_INNER = rf"(?<=[ {_TIE}])[^ {_TIE}\n]++{_TIE}"
 
 
 def signatures(text: Column) -> Column:
-    """Sorted distinct signature hashes of a text (array of long, 32 bits each)."""
+    """Sorted distinct signature hashes of a text (array of long, 32 bits each).
+
+    The patterns repeat character classes only, so they need neither a stack nor quadratic time on long
+    runs of a word.
+    """
     words = F.concat(F.lit(f" {_START} "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    chains = F.array_join(F.regexp_extract_all(words, F.lit(_chain_pattern()), F.lit(1)), "\n")
-    clean = F.regexp_replace(chains, rf"(?<= )(?:(?:{'|'.join(ANCHORS)}) )+", "")
+    tied = F.regexp_replace(words, _ANCHOR, f"$1{_TIE}")
+    chains = F.array_join(F.regexp_extract_all(tied, F.lit(_CHAIN), F.lit(1)), "\n")
+    clean = F.regexp_replace(chains, _INNER, "")
     hashes = F.transform(F.split(clean, "\n"), lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))
     alone = F.when(F.length(text) > 0, F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(
         F.array().cast("array<bigint>"))
