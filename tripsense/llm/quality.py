@@ -7,8 +7,8 @@ n-gram tables (sharded by n-gram, nothing is gathered on the driver but five row
 discounts).
 
 Scoring: documents are shuffled once into blocks. Every block lists the distinct n-grams it
-needs, the list is joined with the model by n-gram (the sharded count join), and the answers
-come back to the block, where each document's log likelihood is summed. So a frequent n-gram
+needs (as 48-bit hashes), the lists meet the model's shards (the sharded count join), and the
+answers come back to the block, where each document's log likelihood is summed. So a frequent n-gram
 travels once a block, not once an occurrence, and no task holds more than its block's part of
 the model.
 
@@ -31,6 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripsense.llm.blocks import Positions, packed, packed_blocks, shard_rows, unpack, unpacked
 from tripsense.llm.common import broadcast_if_small, shuffle_partitions, text_or_empty
 from tripsense.llm.segments import mix64, slices
 from tripsense.session import materialize
@@ -38,9 +39,11 @@ from tripsense.session import materialize
 ORDER = 5
 QUANTILE = 0.999
 SLACK = 0.5
-SHRINK = 32.0
+SHRINK = 64.0
 MIN_TRUSTED = 30
 HOLD_OUT = 5
+_KEPT_BY_TASK = 2_000_000
+_KEY_BYTES = 6
 _PAD = "\x02"
 _MULTIPLIERS = mix64(np.arange(1, 2 * ORDER + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -101,17 +104,28 @@ def count_ngrams(texts: DataFrame, text_col: str) -> DataFrame:
     def count(stream):
         import pyarrow as pa
 
+        seen, codes_of, total = np.zeros(0, np.uint64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
+
+        def send():
+            return pa.RecordBatch.from_arrays([pa.array(_strings(codes_of), pa.string()), pa.array(total, pa.int64())], ["gram", "c"])
+
         for batch in stream:
             all_texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in slices(all_texts):
                 codes, own, _ = padded(all_texts[a:b])
                 h = _window_hash(codes, own, ORDER)
                 rep = distinct_at(h)
-                order = np.argsort(h[rep])
-                rep = rep[order]
-                n = np.bincount(np.searchsorted(h[rep], h), minlength=len(rep))
-                grams = _strings(codes[own[rep][:, None] - np.arange(ORDER - 1, -1, -1)])
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n, pa.int64())], ["gram", "c"])
+                rep = rep[np.argsort(h[rep])]
+                n = np.bincount(Positions(h[rep])(h), minlength=len(rep)) if len(rep) else total[:0]
+                both = np.concatenate([seen, h[rep]])
+                seen, first, at = np.unique(both, return_index=True, return_inverse=True)
+                total = np.bincount(at, weights=np.concatenate([total, n]), minlength=len(seen)).astype(np.int64)
+                codes_of = np.concatenate([codes_of, codes[own[rep][:, None] - np.arange(ORDER - 1, -1, -1)]])[first]
+                if len(seen) > _KEPT_BY_TASK:
+                    yield send()
+                    seen, codes_of, total = seen[:0], codes_of[:0], total[:0]
+        if len(seen):
+            yield send()
 
     return texts.select(F.col(text_col)).mapInArrow(count, "gram string, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
 
@@ -166,60 +180,99 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
     return materialize(model), float(np.log(back1 * uniform))
 
 
-def _needed(stream):
-    """Distinct n-grams of all orders of each block (column 0 block, column 1 text)."""
+_ROWS = "shard int, block int, keys binary, more binary"
+
+
+def _table(pa, rows):
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, kinds)], ["shard", "block", "keys", "more"])
+
+
+def _name(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - 8 * _KEY_BYTES)
+
+
+def _block_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a block's distinct n-grams of the highest order, and the names of all orders' n-grams."""
+    rows = np.zeros((0, ORDER), np.uint32)
+    for a, b in slices(texts):
+        codes, own, _ = padded(texts[a:b])
+        rep = distinct_at(_window_hash(codes, own, ORDER))
+        rows = np.concatenate([rows, codes[own[rep][:, None] - np.arange(ORDER - 1, -1, -1)]])
+        rows = rows[distinct_at(gram_hash(rows))]
+    keys = [gram_hash(rows)]
+    for n in range(1, ORDER):
+        keys += [gram_hash(rows[:, ORDER - n:]), gram_hash(rows[:, ORDER - 1 - n:ORDER - 1])]
+    return rows, np.unique(_name(np.concatenate(keys)))
+
+
+def _needed(shards: int):
+    """The n-grams of a block to their shards."""
+    def run(key, table):
+        import pyarrow as pa
+
+        _, keys = _block_grams(unpack(table, 4)[1])
+        return _table(pa, [(s, key[0].as_py(), packed(keys[k], _KEY_BYTES), None) for s, k in shard_rows(keys, shards)])
+    return run
+
+
+def _sharded(shards: int):
+    """The model's n-grams as hashes with their shard."""
+    def run(stream):
+        import pyarrow as pa
+
+        for batch in stream:
+            grams = batch.column(0).to_pylist()
+            length = np.array([len(g) for g in grams], np.int64)
+            keys = np.zeros(len(grams), np.uint64)
+            for n in range(1, ORDER + 1):
+                at = np.flatnonzero(length == n)
+                if len(at):
+                    text = "".join(grams[k] for k in at)
+                    keys[at] = gram_hash(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n))
+            keys = _name(keys)
+            yield pa.RecordBatch.from_arrays([pa.array((keys % np.uint64(shards)).astype(np.int32)), pa.array(keys.view(np.int64)),
+                                              batch.column(1), batch.column(2)], ["shard", "key", "logp", "logb"])
+    return run
+
+
+def _join(key, left, right):
+    """The count join of a shard: for each block which of its n-grams the model has, and both values, in order."""
     import pyarrow as pa
 
-    def send(block, rows):
-        keys: set[str] = set()
-        for n in range(1, ORDER + 1):
-            for part in (rows[:, ORDER - n:], rows[:, ORDER - 1 - n:ORDER - 1]) if n < ORDER else (rows,):
-                keys.update(_strings(part[np.unique(gram_hash(part), return_index=True)[1]]))
-        return pa.RecordBatch.from_arrays([pa.array([block] * len(keys), pa.int32()), pa.array(list(keys), pa.string())], ["block", "gram"])
-
-    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in stream:
-        blocks = batch.column(0).to_numpy()
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for block in np.unique(blocks).tolist():
-            mine = [texts[k] for k in np.flatnonzero(blocks == block)]
-            for a, b in slices(mine):
-                codes, own, _ = padded(mine[a:b])
-                h = _window_hash(codes, own, ORDER)
-                rep = distinct_at(h)
-                rows = codes[own[rep][:, None] - np.arange(ORDER - 1, -1, -1)]
-                if block in kept:
-                    h, rows = np.concatenate([kept[block][0], h[rep]]), np.concatenate([kept[block][1], rows])
-                    one = distinct_at(h)
-                    kept[block] = h[one], rows[one]
-                else:
-                    kept[block] = h[rep], rows
-    for block, (_, rows) in kept.items():
-        if len(rows):
-            yield send(block, rows)
+    keys = right.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    values = np.stack([np.array(right.column(c).to_numpy(), np.float32)[order] for c in ("logp", "logb")], axis=1)
+    rows = []
+    for block, asked in zip(left.column("block").to_pylist(), left.column("keys").to_pylist()):
+        asked = unpacked(asked, _KEY_BYTES)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            hit = keys[at] == asked
+            rows.append((key[0].as_py(), block, np.packbits(hit).tobytes(), values[at[hit]].tobytes()))
+    return _table(pa, rows)
 
 
 class _Scorer:
-    """Log probabilities of n-grams of the highest order from a block's part of the model."""
+    """Log probabilities of a block's n-grams of the highest order from its part of the model."""
 
-    def __init__(self, grams: list[str], logp: np.ndarray, logb: np.ndarray, unseen: float):
+    def __init__(self, texts: list[str], answers, shards: int, unseen: float):
         self.unseen = unseen
-        length = np.array([len(g) for g in grams], np.int64)
-        hashes = np.zeros(len(grams), np.uint64)
-        for n in range(1, ORDER + 1):
-            at = np.flatnonzero(length == n)
-            if len(at):
-                text = "".join(grams[k] for k in at)
-                hashes[at] = gram_hash(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n))
+        rows, self.keys = _block_grams(texts)
+        self.logp, self.logb = np.full((2, len(self.keys)), np.nan)
+        mine = dict(shard_rows(self.keys, shards))
+        for shard, hit, value in zip(*(answers.column(c).to_pylist() for c in ("shard", "keys", "more"))):
+            at = mine[shard]
+            at = at[np.unpackbits(np.frombuffer(hit, np.uint8), count=len(at)).astype(bool)]
+            self.logp[at], self.logb[at] = np.frombuffer(value, np.float32).reshape(-1, 2).T
+        hashes = gram_hash(rows)
         order = np.argsort(hashes)
-        self.keys, self.logp, self.logb = hashes[order], logp[order], logb[order]
+        self.value = self(rows[order]) if len(rows) else np.zeros(0)
+        self.position = Positions(hashes[order])
 
     def _find(self, codes: np.ndarray, values: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(codes), np.nan)
-        h = gram_hash(codes)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, values[at], np.nan)
+        return values[np.searchsorted(self.keys, _name(gram_hash(codes)))]
 
     def __call__(self, rows: np.ndarray) -> np.ndarray:
         out, back = np.full(len(rows), np.nan), np.zeros(len(rows))
@@ -238,11 +291,8 @@ class _Scorer:
         codes, own, per = padded(texts)
         if not len(own):
             return np.zeros(len(texts))
-        h = _window_hash(codes, own, ORDER)
-        rep = distinct_at(h)
-        rep = rep[np.argsort(h[rep])]
-        value = self(codes[own[rep][:, None] - np.arange(ORDER - 1, -1, -1)])
-        run = np.concatenate([[0.0], np.cumsum(value[np.searchsorted(h[rep], h)])])
+        value = self.value[self.position(_window_hash(codes, own, ORDER))]
+        run = np.concatenate([[0.0], np.cumsum(value)])
         edge = np.concatenate([[0], np.cumsum(per)])
         return run[edge[1:]] - run[edge[:-1]]
 
@@ -250,24 +300,26 @@ class _Scorer:
 def log_likelihoods(docs: DataFrame, model: DataFrame, unseen: float, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """Per row: ``_id``, ``_lang``, ``_held``, ``_n`` characters and ``_ll`` their log likelihood."""
     n_blocks = shuffle_partitions(docs)
-    rows = docs.select(text_or_empty(text_col).alias("_text"), F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
-    rows = rows.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(n_blocks)).cast("int").alias("block"), "_text", "_id", "_lang",
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+    rows = rows.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(n_blocks)).cast("int").alias("block"), "_id", "_text", "_lang",
                        held_out("_text").alias("_held"))
-    blocks = rows.repartition(n_blocks, "block")          # the only shuffle of the texts; both uses below share it
+    blocks = packed_blocks(rows, n_blocks)                # the only shuffle of the texts; both uses below share it
     id_type = dict(docs.dtypes)[id_col]
-    answers = blocks.mapInArrow(_needed, "block int, gram string").join(model, "gram").select("block", "gram", "logp", "logb")
+    asked = blocks.groupBy("block").applyInArrow(_needed(n_blocks), _ROWS)
+    sharded = model.select("gram", "logp", "logb").mapInArrow(_sharded(n_blocks), "shard int, key bigint, logp double, logb double")
+    answers = asked.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_join, _ROWS)
 
     def score(left, right):
         import pyarrow as pa
 
-        fill = lambda c: np.array(right.column(c).to_numpy(), np.float64)
-        scorer = _Scorer(right.column("gram").to_pylist(), fill("logp"), fill("logb"), unseen)
-        texts = left.column("_text").to_pylist()
+        ids, texts, langs, held = unpack(left, 4)
+        scorer = _Scorer(texts, right, n_blocks, unseen)
         parts = [scorer.documents(texts[a:b]) for a, b in slices(texts)]
-        return pa.table({"_id": left.column("_id"), "_lang": left.column("_lang"), "_held": left.column("_held"),
-                         "_n": pa.array([len(t) for t in texts], pa.int64()),
-                         "_ll": pa.array(np.concatenate(parts) if parts else [], pa.float64())})
+        arrow = pa.schema([("_id", id_arrow), ("_lang", pa.string()), ("_held", pa.bool_()), ("_n", pa.int64()), ("_ll", pa.float64())])
+        return pa.table([ids, langs, held, [len(t) for t in texts], np.concatenate(parts) if parts else []], schema=arrow)
 
+    from pyspark.sql.pandas.types import to_arrow_type
+    id_arrow = to_arrow_type(docs.schema[id_col].dataType)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         score, f"_id {id_type}, _lang string, _held boolean, _n bigint, _ll double")
 
