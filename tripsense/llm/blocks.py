@@ -81,6 +81,19 @@ def unpacked(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def packed_sorted(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values: their number, the first one, and the steps between them in as few bytes as fit."""
+    step = np.diff(values)
+    width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
+    return bytes([width]) + (values[:1].tobytes() + packed(step, width) if len(values) else b"")
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    if len(data) < 9:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data[1:9], np.uint64), unpacked(data[9:], data[0])]), dtype=np.uint64)
+
+
 def member_of(values: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     """Which values are among the sorted keys (a bit table first rules most others out)."""
     out = np.zeros(len(values), bool)

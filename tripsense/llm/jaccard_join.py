@@ -4,16 +4,17 @@ A document's set holds the hashes of its distinct ``SHINGLE``-word shingles. Equ
 collapsed first; the rest runs on one representative each.
 
 1. Stars: representatives that share one of their ``SKETCH`` smallest tokens are compared with the
-   smallest id among them. Those that link take it as their root, so a large group of near copies
-   does not meet itself again.
+   one among them whose sketch tokens are most common. Those that link take it as their root, so a
+   large group of near copies does not meet itself again.
 2. Token classes: a token is frequent if ``FREQUENT`` roots or more have it. All sets are ordered
    alike: rare tokens first, then frequent ones, by hash inside.
-3. Prefixes: two sets that reach the threshold share at least ``k`` tokens of their first
-   ``n - ceil(threshold * n) + k`` (``k`` is a twelfth of the smaller set, two at least). In such
-   extended prefixes rare tokens are indexed singly and frequent tokens by pairs: a shared prefix of
-   ``k`` tokens has a rare token or a pair of frequent ones in common.
-4. Index entries of different roots that meet are counted; a pair that met under no pair of
-   frequent tokens and under fewer than ``k - 1`` rare ones is ruled out.
+3. Prefixes: two sets that reach the threshold share their first ``k`` common tokens within their
+   first ``n - overlap + k`` tokens (``k`` is a twelfth of the smaller set, two at least). In such
+   extended prefixes rare tokens are indexed singly and frequent tokens by pairs: the first common
+   tokens are rare, or the first two are a pair of frequent ones. An entry carries the largest
+   partner that its position in the order still allows.
+4. Index entries of different roots that allow each other meet and are counted; if the prefix
+   of one of the sets has no frequent token, fewer than ``k`` common tokens rule the pair out.
 5. Verification: the left set is sent to the block of the right one and the sets are intersected.
 
 The components of all links follow by large-star and small-star steps. The texts are shuffled once
@@ -31,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripsense.llm.blocks import packed, shard_rows, unpacked
+from tripsense.llm.blocks import member_of, packed, packed_blocks, packed_sorted, shard_rows, unpack, unpacked, unpacked_sorted
 from tripsense.llm.common import shuffle_partitions, text_or_empty
 from tripsense.llm.components import components
 from tripsense.llm.segments import SegmentHasher, Words, mix64, ranges, slices, window_hashes
@@ -39,10 +40,11 @@ from tripsense.session import materialize
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH = 4
+SKETCH = 8
 FREQUENT = 32
 _NAME_BYTES = 6
 _PAIRS_AT_ONCE = 2_000_000
+_LARGE = 16   # entries of one root under one key that are met as a whole
 
 
 def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
@@ -99,7 +101,7 @@ def _info(size: int, sketch: int):
 def _sets_of(table, wanted: set, size: int) -> dict[int, np.ndarray]:
     """Sets of the wanted documents of a block (the first row of an id in text order)."""
     rows: dict[int, str] = {}
-    for i, t in zip(table.column("_id").to_pylist(), table.column("_text").to_pylist()):
+    for i, t in zip(*unpack(table, 2)):
         if i in wanted and (i not in rows or t < rows[i]):
             rows[i] = t
     return dict(zip(rows, shingle_sets(list(rows.values()), size)))
@@ -153,162 +155,205 @@ def _names(tokens: np.ndarray) -> np.ndarray:
     return tokens >> np.uint64(64 - 8 * _NAME_BYTES)
 
 
-def _count_tokens(shards: int, size: int):
-    """Distinct tokens of a block's representatives and how many roots have each (255 at most)."""
+def _count_tokens(shards: int, size: int, bits: int):
+    """Distinct tokens (by their first ``bits`` bits) of a block's representatives and how many roots have each."""
     def run(key, left, right):
         import pyarrow as pa
 
         root = dict(zip(right.column("node").to_pylist(), right.column("root").to_pylist()))
         sets = _sets_of(left, set(root), size)
-        name = _names(np.concatenate([np.zeros(0, np.uint64), *sets.values()]))
+        name = np.concatenate([np.zeros(0, np.uint64), *sets.values()]) >> np.uint64(64 - bits)
         is_root = np.repeat(np.array([root[i] == i for i in sets], np.int64), [len(x) for x in sets.values()])
         name, at = np.unique(name, return_inverse=True)
         count = np.minimum(np.bincount(at, weights=is_root, minlength=len(name)), 255).astype(np.uint8)
-        return _table(pa, [(s, key[0].as_py(), packed(name[k], _NAME_BYTES), count[k].tobytes()) for s, k in shard_rows(name, shards)])
+        return _table(pa, [(s, key[0].as_py(), packed_sorted(name[k] // np.uint64(shards)), count[k].tobytes())
+                           for s, k in shard_rows(name, shards)])
     return run
 
 
-def _frequent(limit: int):
+def _frequent(limit: int, shards: int):
     """Per block its tokens that ``limit`` roots or more have (a block's count of 255 is enough by itself)."""
-    def run(table):
+    def run(key, table):
         import pyarrow as pa
 
-        keys = [unpacked(x, _NAME_BYTES) for x in table.column("keys").to_pylist()]
+        keys = [unpacked_sorted(x) for x in table.column("keys").to_pylist()]
         count = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("more").to_pylist()]).astype(np.int64)
         blocks = table.column("block").to_pylist()
-        whole = np.concatenate(keys)
-        distinct, inverse = np.unique(whole, return_inverse=True)
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         often = (np.bincount(inverse, weights=count) >= limit)[inverse]
         rows, at = [], 0
         for block, k in zip(blocks, keys):
             if often[at:at + len(k)].any():
-                rows.append((0, block, packed(k[often[at:at + len(k)]], _NAME_BYTES), None))
+                name = k[often[at:at + len(k)]] * np.uint64(shards) + np.uint64(key[0].as_py())
+                rows.append((0, block, packed(name, 8), None))
             at += len(k)
         return _table(pa, rows)
     return run
 
 
-def _width(values: np.ndarray) -> int:
-    return max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+def _width(*values: np.ndarray) -> int:
+    return max([1, *((int(v.max()).bit_length() + 7) // 8 for v in values if len(v))])
+
+
+def _largest_partner(n: int, left: np.ndarray, percent: int) -> np.ndarray:
+    """The size of the largest set that a set of ``n`` can link to if they have at most ``left`` tokens in common."""
+    return np.minimum((100 + percent) * left // percent - n, 100 * n // percent)
 
 
-def _index(shards: int, size: int, percent: int):
-    """Index entries of a block: keys (rare tokens and pairs of frequent ones) with document and root."""
+def _index(shards: int, size: int, percent: int, bits: int):
+    """Index entries of a block: keys (rare tokens and pairs of frequent ones) with document, root and sizes."""
     def run(key, left, right):
         import pyarrow as pa
 
         nodes, roots, keys = (right.column(c).to_pylist() for c in ("node", "root", "keys"))
         root = {i: r for i, r in zip(nodes, roots) if i is not None}
-        often = [unpacked(x, _NAME_BYTES) for x in keys if x is not None]
-        often = np.sort(np.concatenate(often)) if often else np.zeros(0, np.uint64)
-        singles, pairs = ([], []), ([], [])
+        often = np.sort(np.concatenate([np.zeros(0, np.uint64), *[unpacked(x, 8) for x in keys if x is not None]]))
+        found = ([], [])                                   # of rare tokens, of pairs of frequent ones
         for doc, tokens in _sets_of(left, set(root), size).items():
-            n = len(tokens)
-            length = min(n, n - needed_overlap(n, percent) + _least_common(n))
-            name = _names(tokens)
-            if len(often):
-                at = np.minimum(np.searchsorted(often, name), len(often) - 1)
-                frequent = often[at] == name
-            else:
-                frequent = np.zeros(n, bool)
-            rare = name[~frequent][:length]
-            singles[0].append(rare)
-            singles[1].append(np.full(len(rare), doc, np.int64))
-            rest = tokens[frequent][:length - len(rare)]
+            n, k = len(tokens), _least_common(len(tokens))
+            frequent = member_of(tokens >> np.uint64(64 - bits), often)
+            rare, rest = tokens[~frequent], tokens[frequent]
+            free = n - needed_overlap(n, percent)          # tokens that it may have alone
+            rare_k = rare[:min(n, free + k)]
+            pure = len(rare) >= min(n, free + k)
+            limit = _largest_partner(n, n - np.arange(len(rare_k)) + k - 1, percent)
+            found[0].append((_names(rare_k), doc, n, limit, pure))
+            rest = rest[:max(0, free + 2 - len(rare))]
             if len(rest) > 1:
                 i, j = np.triu_indices(len(rest), 1)
-                pairs[0].append(_names(mix64(rest[i] * np.uint64(0xC2B2AE3D27D4EB4F) + rest[j])))
-                pairs[1].append(np.full(len(i), doc, np.int64))
+                limit = _largest_partner(n, n - (len(rare) + j) + 1, percent)
+                use = limit >= needed_overlap(n, percent)
+                i, j = i[use], j[use]
+                name = _names(mix64(rest[i] * np.uint64(0xC2B2AE3D27D4EB4F) + rest[j]))
+                found[1].append((name, doc, n, limit[use], pure))
         rows = []
-        for kind, (names, docs) in enumerate((singles, pairs)):
-            if not names:
+        for kind, parts in enumerate(found):
+            if not parts:
                 continue
-            name, doc = np.concatenate(names), np.concatenate(docs)
-            top = np.array([root[d] for d in doc.tolist()], np.int64) if len(root) else doc
+            per = [len(x[0]) for x in parts]
+            name, limit = np.concatenate([x[0] for x in parts]), np.concatenate([x[3] for x in parts])
+            doc, top, n, pure = (np.repeat(np.array(v), per) for v in (
+                [x[1] for x in parts], [root[x[1]] for x in parts], [x[2] for x in parts], [x[4] for x in parts]))
             for s, k in shard_rows(name, shards):
-                d, t = doc[k].view(np.uint64), top[k].view(np.uint64)
+                d, t, m, lim = (v[k].astype(np.int64).view(np.uint64) for v in (doc, top, n, limit))
                 other = d != t
-                w = _width(np.maximum(d, t))
-                more = bytes([kind, w]) + packed(d, w) + np.packbits(other).tobytes() + packed(t[other], w)
+                w, v = _width(d, t), _width(m, lim)
+                more = (bytes([kind, w, v]) + packed(d, w) + packed(m, v) + packed(lim, v) + np.packbits(pure[k]).tobytes()
+                        + np.packbits(other).tobytes() + packed(t[other], w))
                 rows.append((s, key[0].as_py(), packed(name[k], _NAME_BYTES), more))
         return _table(pa, rows)
     return run
 
 
 def _entries(table, kind: int):
-    name, doc, root = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    """Names, documents, roots, sizes, largest partners and purity of the entries of a kind."""
+    out = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, bool)]
     for x, m in zip(table.column("keys").to_pylist(), table.column("more").to_pylist()):
         if m[0] != kind:
             continue
-        n, w = len(x) // _NAME_BYTES, m[1]
-        name.append(unpacked(x, _NAME_BYTES))
-        d = unpacked(m[2:2 + n * w], w)
-        at = 2 + n * w + (n + 7) // 8
-        other = np.unpackbits(np.frombuffer(m[2 + n * w:at], np.uint8), count=n).astype(bool)
+        n, w, v, at = len(x) // _NAME_BYTES, m[1], m[2], 3
+        def take(count, width):
+            nonlocal at
+            at += count * width
+            return m[at - count * width:at]
+        d, size, limit = unpacked(take(n, w), w), unpacked(take(n, v), v), unpacked(take(n, v), v)
+        pure, other = (np.unpackbits(np.frombuffer(take((n + 7) // 8, 1), np.uint8), count=n).astype(bool) for _ in range(2))
         r = d.copy()
         r[other] = unpacked(m[at:], w)
-        doc.append(d)
-        root.append(r)
-    return tuple(np.concatenate(x) for x in (name, doc, root))
-
-
-def _meet(table):
-    """Pairs of documents of different roots under a common key, and how many single keys they share."""
-    import pyarrow as pa
-
-    lows, highs, counts = [], [], []
-    for kind in (0, 1):
-        name, doc, root = _entries(table, kind)
-        order = np.lexsort((doc, root, name))
-        name, doc, root = name[order], doc[order], root[order]
-        n = len(name)
-        if not n:
-            continue
-        key_new = np.concatenate([[True], name[1:] != name[:-1]])
-        key_no = np.cumsum(key_new) - 1
-        key_end = np.append(np.flatnonzero(key_new)[1:], n)[key_no]
-        seg_new = key_new | np.concatenate([[True], root[1:] != root[:-1]])
-        seg_end = np.append(np.flatnonzero(seg_new)[1:], n)[np.cumsum(seg_new) - 1]
-        count = key_end - seg_end                          # partners: entries of the key's later roots
-        some = np.flatnonzero(count)
-        upto = np.cumsum(count[some])
+        for own, more in zip(out, (unpacked(x, _NAME_BYTES), d, r, size.view(np.int64), limit.view(np.int64), pure)):
+            own.append(more)
+    return [np.concatenate(x) for x in out]
+
+
+def _meetings(name, root, n, limit, percent: int):
+    """Index pairs of entries of one key and different roots whose sizes allow each other, part by part.
+
+    Entries of a root that has many under a key are met by the other roots' entries as one range, so a large
+    group of near copies is never paired with itself.
+    """
+    order = np.lexsort((n, root, name))
+    name, root, n, limit = name[order], root[order], n[order], limit[order]
+    key_new = np.concatenate([[True], name[1:] != name[:-1]])
+    seg_new = key_new | np.concatenate([[True], root[1:] != root[:-1]])
+    key_no, seg_no = np.cumsum(key_new) - 1, np.cumsum(seg_new) - 1
+    seg_at = np.append(np.flatnonzero(seg_new), len(name))
+    several = np.bincount(key_no[seg_at[:-1]])[key_no] > 1
+    large = np.diff(seg_at)[seg_no] >= _LARGE
+
+    def ranged(x, first, last, place=None):
+        count = np.maximum(last - first, 0)
+        upto = np.cumsum(count)
         cuts = np.searchsorted(upto, np.arange(_PAIRS_AT_ONCE, upto[-1] if len(upto) else 0, _PAIRS_AT_ONCE))
-        for part in np.split(some, np.unique(cuts)):
-            x, y = doc[np.repeat(part, count[part])], doc[ranges(seg_end[part], count[part])]
-            lo, hi = np.minimum(x, y), np.maximum(x, y)
-            order = np.lexsort((hi, lo))
-            lo, hi = lo[order], hi[order]
-            new = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])) if len(lo) else order
-            lows.append(lo[new])
-            highs.append(hi[new])
-            counts.append(np.diff(np.append(new, len(lo))) if kind == 0 else np.zeros(len(new), np.int64))
-    cat = lambda xs, t: np.concatenate(xs).view(t) if xs else np.zeros(0, t)
-    return pa.table({"a": pa.array(cat(lows, np.int64)), "b": pa.array(cat(highs, np.int64)),
-                     "common": pa.array(np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64))})
+        for part in np.split(np.arange(len(x)), np.unique(cuts)):
+            a, b = np.repeat(x[part], count[part]), ranges(first[part], count[part])
+            b = b if place is None else place[b]
+            good = (root[a] != root[b]) & (limit[a] >= n[b]) & (limit[b] >= n[a])
+            if good.any():
+                yield order[a[good]], order[b[good]]
+
+    small = np.flatnonzero(several & ~large)
+    small = small[np.lexsort((n[small], key_no[small]))]
+    wide = int(max(n.max(), limit.max())) + 1
+    place = key_no[small] * wide + n[small]
+    last = np.searchsorted(place, key_no[small] * wide + np.minimum(limit[small], wide - 1), side="right")
+    yield from ranged(small, np.arange(len(small)) + 1, last, small)
+    key_at = np.append(np.flatnonzero(key_new), len(name))
+    for s in np.unique(seg_no[several & large]).tolist():
+        a, b = seg_at[s], seg_at[s + 1]
+        k = key_no[a]
+        before = np.arange(key_at[k], a)
+        x = np.concatenate([before[~large[before]], np.arange(b, key_at[k + 1])])
+        first = a + np.searchsorted(n[a:b], -(-percent * n[x] // 100))
+        yield from ranged(x, first, a + np.searchsorted(n[a:b], limit[x], side="right"))
+
+
+def _meet(percent: int):
+    """Pairs of documents that meet, how many rare tokens they meet under, and whether these must be ``k``."""
+    def run(table):
+        import pyarrow as pa
+
+        lows, highs, counts, strict = [], [], [], []
+        for kind in (0, 1):
+            name, doc, root, n, limit, pure = _entries(table, kind)
+            if not len(name):
+                continue
+            for x, y in _meetings(name, root, n, limit, percent):
+                lo, hi, sure = np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), pure[x] | pure[y]
+                order = np.lexsort((hi, lo))
+                lo, hi, sure = lo[order], hi[order], sure[order]
+                new = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+                lows.append(lo[new])
+                highs.append(hi[new])
+                counts.append(np.diff(np.append(new, len(lo))) if kind == 0 else np.zeros(len(new), np.int64))
+                strict.append(sure[new] & (kind == 0))
+        cat = lambda xs, t: np.concatenate(xs).view(t) if xs else np.zeros(0, t)
+        return pa.table({"a": pa.array(cat(lows, np.int64)), "b": pa.array(cat(highs, np.int64)),
+                         "common": pa.array(np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)),
+                         "strict": pa.array(cat(strict, bool))})
+    return run
 
 
 def links(docs: DataFrame, reps: DataFrame, stars: DataFrame, id_col: str, text_col: str, size: int, percent: int,
           frequent: int) -> DataFrame:
     """Verified links ``(a, b)`` between representatives ``reps (node, n)``; ``stars (a, b)``: first pairs to compare."""
     n = shuffle_partitions(docs)
+    tokens = reps.agg(F.sum("n")).first()[0] or 1
+    bits = min(62, max(16, int(tokens).bit_length() + 5))  # chance meetings of token names stay rare at every size
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), text_or_empty(text_col).alias("_text"))
-    blocks = rows.select(_block_of("_id", n).alias("block"), "_id", "_text").repartition(n, "block")
+    blocks = packed_blocks(rows.select(_block_of("_id", n).alias("block"), "_id", "_text"), n)
     near = _verified(blocks, n, stars, size, percent).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
     rooted = (reps.join(near, "node", "left")
               .select(_block_of("node", n).alias("block"), "node", F.coalesce("root", "node").alias("root")).repartition(n, "block"))
-    counts = blocks.groupBy("block").cogroup(rooted.groupBy("block")).applyInArrow(_count_tokens(n, size), _ROWS_SCHEMA)
-    often = counts.groupBy("shard").applyInArrow(_frequent(frequent), _ROWS_SCHEMA)
+    counts = blocks.groupBy("block").cogroup(rooted.groupBy("block")).applyInArrow(_count_tokens(n, size, bits), _ROWS_SCHEMA)
+    often = counts.groupBy("shard").applyInArrow(_frequent(frequent, n), _ROWS_SCHEMA)
     known = rooted.select("block", "node", "root", F.lit(None).cast("binary").alias("keys")).unionByName(
         often.select("block", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("root"), "keys"))
-    index = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_index(n, size, percent), _ROWS_SCHEMA)
-    met = (index.groupBy("shard").applyInArrow(_meet, "a bigint, b bigint, common bigint")
-           .groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("common").alias("least")))
+    index = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_index(n, size, percent, bits), _ROWS_SCHEMA)
+    met = (index.groupBy("shard").applyInArrow(_meet(percent), "a bigint, b bigint, common bigint, strict boolean")
+           .groupBy("a", "b").agg(F.sum("common").alias("common"), F.bool_or("strict").alias("strict")))
     sizes = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    k = F.greatest(F.lit(2), F.ceil(small / 12))
-    # k common tokens: two frequent ones among them (met under a pair, counted 0), or k - 1 rare ones at least
-    pairs = (met.join(sizes("a"), "a").join(sizes("b"), "b").filter(100 * small >= percent * large)
-             .filter((F.col("least") == 0) | (F.col("common") >= k - 1)).select("a", "b"))
+    k = F.greatest(F.lit(2), F.ceil(F.least("n_a", "n_b") / 12))
+    pairs = (met.join(sizes("a"), "a").join(sizes("b"), "b").filter(~F.col("strict") | (F.col("common") >= k)).select("a", "b"))
     verified = _verified(blocks, n, pairs, size, percent)
     return verified.unionByName(rooted.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
 
@@ -321,8 +366,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = materialize(info.filter("n > 0 AND _id IS NOT NULL").groupBy("print", "n")
                        .agg(F.min("_id").alias("node"), F.first("keys").alias("keys")))
     by_key = reps.select("node", "n", F.explode("keys").alias("key"))
-    pivots = by_key.groupBy("key").agg(F.min(F.struct("node", "n")).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    stars = (by_key.join(pivots.select("key", F.col("top.node").alias("a"), F.col("top.n").alias("m")), "key")
+    shared = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    by_key = by_key.join(shared, "key")
+    known = materialize(by_key.join(by_key.groupBy("node").agg(F.sum("c").alias("weight")), "node"))
+    pivots = known.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("first"), "n")).alias("top"))
+    stars = (known.join(pivots.select("key", (-F.col("top.first")).alias("a"), F.col("top.n").alias("m")), "key")
              .filter(F.col("a") != F.col("node"))
              .filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
              .select("a", F.col("node").alias("b")).distinct())
