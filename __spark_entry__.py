@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripsense import schema as S
-from tripsense.functions.columns import log1p_shift, with_norms
+from tripsense.functions.columns import log1p_shift, select_prefix, with_norms
 from tripsense.operators import evaluation as E
 from tripsense.operators import profile as P
 from tripsense.operators.labels import duplicate_labels, join_labels, last_label
@@ -128,13 +128,20 @@ def q_trips_from_start(spark, sf_dir):
 
 def q_trip_series(spark, sf_dir):
     df = _v1(spark, sf_dir)
-    longest = P.longest_trip(df, "l_suppkey")
-    rows = df.join(F.broadcast(longest), "l_suppkey")  # one-row key table
-    return _norm(rows.select("l_suppkey", *LINEITEM_SPEC.order, *S.RAW_CHANNELS[:-2], "Speed")
-                 .orderBy(*LINEITEM_SPEC.order))
+    longest = P.longest_trip(df, "l_suppkey").first()
+    return _norm(P.trip_series(df, longest[0] if longest else None, "l_suppkey", LINEITEM_SPEC.order))
 
 
+def q_labelled_length(spark, sf_dir):
+    labels = trip_labels(spark, sf_dir).withColumnRenamed("doc_id", "l_suppkey")
+    return P.labelled_trips_of_length(_v1(spark, sf_dir), labels, TRIP_ROWS, 1, "l_suppkey")
+
+
+TRIP_ROWS = 614
 HIST_COLS = [f"{c}_abs_mean" for c in S.CHANNELS]
+#: the feature groups whose histograms the original draws
+HIST_PREFIXES = ("total_acc", "total_gyro", "Speed", "Bearing")
+HIST_ALL = [c for c in S.feature_names() if c.startswith(HIST_PREFIXES)]
 
 
 def q_histogram(spark, sf_dir):
@@ -142,13 +149,18 @@ def q_histogram(spark, sf_dir):
     return _norm(P.histogram(feats, HIST_COLS))
 
 
-LOG_FAMILY = ("primitive", "kurtosis")
+def q_histogram_all(spark, sf_dir):
+    feats = select_prefix(_norm(trip_features_for(_v1(spark, sf_dir), HIST_ALL, LINEITEM_SPEC)), HIST_PREFIXES)
+    return P.histogram(feats, HIST_ALL).select("column", "bin", "count")
+
+
+def q_features_all(spark, sf_dir):
+    return _norm(trip_features(_v1(spark, sf_dir), LINEITEM_SPEC))
 
 
 def q_log1p(spark, sf_dir):
-    feats = _norm(trip_features(_v1(spark, sf_dir), LINEITEM_SPEC, families=LOG_FAMILY))
-    cols = [c for c in S.LOG1P_COLUMNS if c in feats.columns]
-    return _norm(feats.select("l_suppkey", *[log1p_shift(c).alias(c) for c in cols]))
+    feats = _norm(trip_features_for(_v1(spark, sf_dir), S.LOG1P_COLUMNS, LINEITEM_SPEC))
+    return _norm(feats.select("l_suppkey", *[log1p_shift(c).alias(c) for c in S.LOG1P_COLUMNS]))
 
 
 def q_union_files(spark, sf_dir):
@@ -213,7 +225,7 @@ def _labelled_trips(spark, sf_dir):
 
 
 def _model_cols(df):
-    return [c for c in df.columns if c != "l_suppkey" and c != "label"][:40]
+    return [c for c in df.columns if c not in ("l_suppkey", "label")]
 
 
 def q_feature_importance(spark, sf_dir):
@@ -237,6 +249,7 @@ def q_gbt_score(spark, sf_dir):
 
 HOT_ROWS = 100   # every lineitem trip exceeds this, so all take the hot path
 HOT_BLOCK = 128  # rows per window block of a hot trip (several blocks per trip)
+HOT_SMALL = 1    # a block shorter than the widest window: the operator widens it
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -258,6 +271,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # (527-695 rows each): range-partitioned positions, blocked windows, ranked quantiles
         "trip_primitive_hot": _family("primitive", max_group_rows=HOT_ROWS, block_rows=HOT_BLOCK),
         "trip_rolling_std_hot": _family("rolling_std", max_group_rows=HOT_ROWS, block_rows=HOT_BLOCK),
+        "trip_rolling_mean_hot": _family("rolling_mean", max_group_rows=HOT_ROWS),
+        "trip_rolling_std_hot_small": _family("rolling_std", max_group_rows=HOT_ROWS, block_rows=HOT_SMALL),
+        "trip_quantiles_hot": _family("quantiles", max_group_rows=HOT_ROWS),
+        "trip_features_all": q_features_all,
+        "feature_histogram_all": q_histogram_all,
+        "labelled_trips_of_length": q_labelled_length,
         "trip_iqr": _family("iqr"),
         "trip_quantiles": _family("quantiles"),
         "trip_features_top": q_features_top,
@@ -340,6 +359,17 @@ def oracle_sql() -> dict[str, str]:
         "trip_rolling_std": t(O.rolling_cte(k1, o1, sig, "std")),
         "trip_primitive_hot": t(O.primitive_cte(k1, ch)),
         "trip_rolling_std_hot": t(O.rolling_cte(k1, o1, sig, "std")),
+        "trip_rolling_mean_hot": t(O.rolling_cte(k1, o1, sig, "mean")),
+        "trip_rolling_std_hot_small": t(O.rolling_cte(k1, o1, sig, "std")),
+        "trip_quantiles_hot": t(O.quantiles_cte(k1, sig)),
+        "trip_features_all": O.top_features_sql(S.feature_names()),
+        "feature_histogram_all": f"""WITH f AS ({O.top_features_sql(HIST_ALL)}),
+long AS (UNPIVOT (SELECT * EXCLUDE (l_suppkey) FROM f) ON COLUMNS(*) INTO NAME col VALUE x),
+rng AS (SELECT col, MIN(x) AS lo, MAX(x) AS hi FROM long GROUP BY col)
+SELECT col AS "column", CASE WHEN hi = lo THEN 0 ELSE LEAST(CAST(FLOOR((x - lo) / ((hi - lo) / 30)) AS INTEGER), 29) END AS bin,
+  COUNT(*) AS count FROM long JOIN rng USING (col) GROUP BY 1, 2""",
+        "labelled_trips_of_length": f"""SELECT l_suppkey, COUNT(*) AS count FROM lineitem
+WHERE l_suppkey IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY l_suppkey HAVING COUNT(*) = {TRIP_ROWS}""",
         "trip_iqr": t(O.iqr_cte(k1, sig)),
         "trip_quantiles": t(O.quantiles_cte(k1, sig)),
         "trip_features_top": O.top_features_sql(),
@@ -403,11 +433,8 @@ per AS (SELECT fold, target, CASE WHEN ANY_VALUE(P) > 0 AND ANY_VALUE(N) > 0 THE
 runs AS (SELECT fold + 1 AS experiment_id, CASE target WHEN 'quality' THEN 'average_roc_auc_xgboost' ELSE 'average_roc_auc_lightgbm' END AS model, auc FROM per)
 SELECT experiment_id, model, {O.norm('auc')} AS auc, CAST(rank() OVER (ORDER BY auc DESC NULLS LAST) AS INTEGER) AS rank FROM runs""",
     }
-    ln_cols = [c for c in S.LOG1P_COLUMNS if c in (S.primitive_names() + [f"{c}_kurt" for c in ch])]
-    fam = f"f AS (SELECT * FROM ({O.primitive_cte(k1, ch)}) a JOIN ({O.kurtosis_cte(k1, ch)}) b USING ({k1}))"
-    out["log1p_transform"] = t(fam + "\nSELECT l_suppkey, " + ", ".join(
-        f"{O.norm(f'CASE WHEN {O.qd(c)} + 10 > -1 THEN ln(1 + {O.qd(c)} + 10) END')} AS {O.qd(c)}" for c in ln_cols)
-        + " FROM f")
+    out["log1p_transform"] = f"WITH f AS ({O.top_features_sql(S.LOG1P_COLUMNS)})\nSELECT l_suppkey, " + ", ".join(
+        f"{O.norm(f'CASE WHEN {O.qd(c)} + 10 > -1 THEN ln(1 + {O.qd(c)} + 10) END')} AS {O.qd(c)}" for c in S.LOG1P_COLUMNS) + " FROM f"
     out.update(LLM_SQL)
     if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL

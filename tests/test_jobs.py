@@ -25,11 +25,14 @@ def test_train_then_predict(spark, monkeypatch):
 
     telemetry = read_csv_folder(spark, f"{root}/features")
     lab = read_csv_folder(spark, f"{root}/labels", S.LABEL_SCHEMA, with_file_order=True)
-    assert telemetry.count() == trips.count()
-    monkeypatch.setattr(jobs, "FEATURES", list(S.TOP_100_FEATURES[:12]))
-    info = jobs.train(spark, telemetry, lab, f"{root}/models", trials=1)
-    assert info["path"].startswith(f"{root}/models/gbt/")
+    assert telemetry.count() == trips.count() and lab.filter("_block = 0").count() == lab.count()
+    monkeypatch.setattr(jobs, "FEATURES", list(S.TOP_100_FEATURES[:6]))
+    jobs.main(["-m", "training", "-if", f"{root}/features", "-il", f"{root}/labels", "-md", f"{root}/models",
+               "--trials", "1", "--rounds", "2", "--scale_pos_weight", "2"])
+    assert glob.glob(f"{root}/models/gbt/*/model") and glob.glob(f"{root}/models/forest/*/model")
+    jobs.main(["-m", "predict", "-if", f"{root}/features", "-o", f"{root}/out2", "-md", f"{root}/models", "--family", "forest"])
     pred = jobs.predict(spark, telemetry, f"{root}/models", f"{root}/out")
+    assert pred.count() == sum(len(pd.read_csv(f)) for f in glob.glob(f"{root}/out2/*.csv"))
     out = pd.concat(pd.read_csv(f) for f in glob.glob(f"{root}/out/*.csv"))
     assert list(out.columns) == [S.KEY, "probability"]
     assert len(out) == trips.select(S.KEY).distinct().count()

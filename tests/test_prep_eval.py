@@ -116,3 +116,29 @@ def test_entry_contract(spark):
     assert len(out.columns) == 697
     assert out.count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_seeds_give_independent_orders(spark):
+    """Folds of two seeds, and folds against the hold-out, are near independent on consecutive ids."""
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    a = kfold(df, "k", 5, 11).withColumnRenamed("fold", "a")
+    both = a.join(kfold(df, "k", 5, 12).withColumnRenamed("fold", "b"), "k").join(holdout(df, "k"), "k")
+    cells = {(r["a"], r["b"]): r["count"] for r in both.groupBy("a", "b").count().collect()}
+    assert len(cells) == 25 and all(650 < n < 950 for n in cells.values())
+    test = {r["a"]: r["count"] for r in both.filter("is_test").groupBy("a").count().collect()}
+    assert sum(test.values()) == 4000 and all(650 < n < 950 for n in test.values())
+
+
+def test_rank_experiments_shares_ranks_on_ties(spark):
+    runs = spark.createDataFrame([(1, 0.7, 0.6), (2, 0.8, 0.7), (3, None, 0.9)],
+                                 "experiment_id int, average_roc_auc_xgboost double, average_roc_auc_lightgbm double")
+    got = {(r["experiment_id"], r["model"][16:]): r["rank"] for r in P.rank_experiments(runs).collect()}
+    assert got == {(3, "lightgbm"): 1, (2, "xgboost"): 2, (1, "xgboost"): 3, (2, "lightgbm"): 3, (1, "lightgbm"): 5, (3, "xgboost"): 6}
+
+
+def test_trip_series_prefix_and_lengths(spark):
+    df = spark.createDataFrame([(1, 2.0, 5.0), (1, 1.0, 4.0), (2, 1.0, 9.0)], "bookingID long, second double, Speed double")
+    rows = P.trip_series(df, 1, order=("second",), channels=("Speed",)).collect()
+    assert [(r["second"], r["Speed"]) for r in rows] == [(1.0, 4.0), (2.0, 5.0)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "bookingID long, label int")
+    assert [r["bookingID"] for r in P.labelled_trips_of_length(df, labels, 2).collect()] == [1]

@@ -2,8 +2,11 @@
 
 import tempfile
 
+import pytest
+
 from tripsense import schema as S
-from tripsense.sources.csv import read_csv_folder, union_by_name, write_predictions
+from tripsense.operators.labels import last_label
+from tripsense.sources.csv import read_csv_folder, read_experiments, union_by_name, write_csv, write_predictions
 
 
 def test_csv_folder_nan_becomes_null_and_file_order(spark):
@@ -20,6 +23,45 @@ def test_csv_folder_nan_becomes_null_and_file_order(spark):
     assert dict(df.dtypes)[S.KEY] == "bigint"
 
 
+def _folder(**files):
+    root = tempfile.mkdtemp(prefix="tripsense-csv-")
+    for name, text in files.items():
+        with open(f"{root}/{name}.csv", "w") as f:
+            f.write(text)
+    return root
+
+
+def test_csv_is_read_by_header_name(spark):
+    root = _folder(a="bookingID,Accuracy,second,Speed\n1,5.0,0,7.0\n", b="bookingID,Speed,second,Accuracy\n2,9.0,1,\n",
+                   c="Speed,bookingID,second\nNaN,3,2\n", d="")
+    rows = {r[S.KEY]: r for r in read_csv_folder(spark, root).collect()}
+    assert [(rows[k]["Accuracy"], rows[k]["second"], rows[k]["Speed"], rows[k]["gyro_x"]) for k in (1, 2, 3)] == [
+        (5.0, 0.0, 7.0, None), (None, 1.0, 9.0, None), (None, 2.0, None, None)]
+    with pytest.raises(ValueError):
+        read_csv_folder(spark, _folder(a="bookingID,extra\n1,2\n"))
+    with pytest.raises(FileNotFoundError):
+        read_csv_folder(spark, _folder())
+    inferred = read_csv_folder(spark, _folder(a="x,y\n1,NaN\n", b="y,x\n2.5,3\n"), None)
+    assert sorted((r["x"], r["y"]) for r in inferred.collect() if r["y"]) == [(3, 2.5)] and inferred.filter("y IS NULL").count() == 1
+
+
+def test_labels_may_be_written_as_floats(spark):
+    root = _folder(a="bookingID,label\n1,1.0\n1,0\n2,\n3,NaN\n", b="label,bookingID\n0.0,4\n")
+    lab = read_csv_folder(spark, root, S.LABEL_SCHEMA, with_file_order=True)
+    assert dict(lab.dtypes)["label"] == "int"
+    last = {r[S.KEY]: r["label"] for r in last_label(lab, order=["_file", "_block", "_row"]).collect()}
+    assert last == {1: 0, 2: None, 3: None, 4: 0}
+    with pytest.raises(Exception, match="fraction"):
+        read_csv_folder(spark, _folder(a="bookingID,label\n1,0.5\n"), S.LABEL_SCHEMA).collect()
+
+
+def test_experiment_table_and_single_file_sink(spark):
+    out = tempfile.mkdtemp(prefix="tripsense-exp-") + "/e"
+    runs = spark.createDataFrame([(1, "a", 0.7, 0.6), (2, "b", None, 0.8)], S.EXPERIMENT_SCHEMA)
+    write_csv(runs, out)
+    assert sorted(map(tuple, read_experiments(spark, out).collect())) == sorted(map(tuple, runs.collect()))
+
+
 def test_union_by_name_and_prediction_sink(spark):
     a = spark.createDataFrame([(1, 0.5)], "bookingID long, x double")
     b = spark.createDataFrame([(2, 0.7)], "bookingID long, y double")

@@ -216,3 +216,66 @@ def test_one_key_with_a_third_of_the_rows(trips, spark):
     normal = trip_features(df, SPEC).toPandas().set_index("k").sort_index()
     mixed = trip_features(df, SPEC, max_group_rows=200, block_rows=64).toPandas().set_index("k").sort_index()
     _compare(mixed, normal, list(normal.columns))
+
+
+def test_rolling_on_hot_trips_for_any_block_length(spark):
+    """Blocks shorter than the widest window, as long and longer, on the real windows."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": np.repeat([1, 2], [400, 260]), "t": np.r_[np.arange(400.0), np.arange(260.0)], "j": 0,
+                        "x": rng.normal(5, 2, 660), "y": np.r_[np.zeros(330), rng.gamma(2, 1, 330)]})
+    df = spark.createDataFrame(pdf)
+    spec = TripSpec(key="k", order=("t", "j"), channels=("x", "y"), signals=("x", "y"), time="t",
+                    families=("rolling_mean", "rolling_std"))
+    normal = trip_features(df, spec).toPandas().set_index("k").sort_index()
+    g = pdf[pdf.k == 1].x
+    assert _close(normal.loc[1, "MA90_x_mean"], g.rolling(90).mean().mean()) and _close(normal.loc[1, "MA60_x_std"], g.rolling(60).std().std())
+    for rows, block in ((1, 1), (40, 40), (89, 89), (90, 90), (128, 128), (100, None)):
+        hot = trip_features(df, spec, max_group_rows=rows, block_rows=block).toPandas().set_index("k").sort_index()
+        _compare(hot, normal, list(normal.columns))
+
+
+def test_rolling_keeps_its_digits_after_a_rough_start(spark):
+    """City traffic, then a steady cruise with noise of 1e-5: windows equal the two-pass values."""
+    rng = np.random.default_rng(1)
+    x = np.r_[rng.uniform(0, 30, 3600), 30 + rng.normal(0, 1e-5, 3600)]
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "t": np.arange(7200.0), "j": 0, "x": x}))
+    spec = TripSpec(key="k", order=("t", "j"), channels=("x",), signals=("x",), time="t", families=("rolling_std",), windows=(10, 90))
+    from tripsense.operators.trip_frame import normal_frame
+    from tripsense.plans.features import prepare
+    frame = normal_frame(prepare(df, spec), spec).select("_i", "_msd10_x", "_msd90_x").toPandas().sort_values("_i")
+    for w in (10, 90):
+        want = np.array([x[i - w + 1:i + 1].std(ddof=1) if i >= w - 1 else np.nan for i in range(len(x))])
+        got = frame[f"_msd{w}_x"].to_numpy(dtype=float)
+        assert np.nanmax(np.abs(got / want - 1)) < 1e-6 and np.isnan(got[:w - 1]).all()
+
+
+def test_light_families_shuffle_no_rows(spark, trips):
+    _, df = trips
+    import dataclasses
+    for fam in ("trend", "abs_mean", "kurtosis", "mean_change"):
+        plan = trip_features(df, dataclasses.replace(SPEC, families=(fam,)))._jdf.queryExecution().toString()
+        assert "REPARTITION_BY_COL" not in plan and "Window" not in plan
+
+
+def test_default_order_is_total(spark):
+    """Ties in time: any input order gives one result."""
+    rng = np.random.default_rng(9)
+    n = 60
+    pdf = pd.DataFrame({c: rng.normal(0, 1, n).round(2) for c in S.RAW_CHANNELS})
+    pdf["second"] = np.repeat(np.arange(n // 3), 3).astype(float)
+    pdf.insert(0, S.KEY, 1)
+    fams = ("rolling_std", "mean_change", "last_n")
+    runs = [trip_features(spark.createDataFrame(pdf.sample(frac=1, random_state=k)).repartition(k + 1), families=fams).toPandas() for k in range(3)]
+    assert runs[0].equals(runs[1]) and runs[0].equals(runs[2])
+
+
+def test_hot_quantiles_with_one_value_on_most_rows(spark):
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random(3000) < 0.8, 0.0, rng.normal(10, 3, 3000))
+    pdf = pd.DataFrame({"k": np.repeat([1, 2], 1500), "t": np.arange(3000.0), "j": 0, "x": x, "y": rng.integers(0, 3, 3000).astype(float)})
+    spec = TripSpec(key="k", order=("t", "j"), channels=("x", "y"), signals=("x", "y"), time="t", families=("quantiles", "iqr", "primitive"))
+    hot = trip_features(spark.createDataFrame(pdf), spec, max_group_rows=100).toPandas().set_index("k")
+    for k, g in pdf.groupby("k"):
+        for c in ("x", "y"):
+            assert _close(hot.loc[k, f"{c}_median"], g[c].median()) and _close(hot.loc[k, f"q095_{c}"], g[c].quantile(0.95))
+            assert _close(hot.loc[k, f"{c}_iqr"], g[c].quantile(0.75) - g[c].quantile(0.25))

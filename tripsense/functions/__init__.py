@@ -1,20 +1,13 @@
 """Column expressions (JVM side, codegen friendly) used by the operators."""
 
 from tripsense.functions.columns import (
-    as_float32,
     log1p_shift,
     nan_to_null,
     norm3,
     select_prefix,
     with_norms,
 )
-from tripsense.functions.moments import (
-    corrected_kurtosis,
-    corrected_skewness,
-    slope_or_zero,
-)
 
 __all__ = [
-    "as_float32", "log1p_shift", "nan_to_null", "norm3", "select_prefix", "with_norms",
-    "corrected_kurtosis", "corrected_skewness", "slope_or_zero",
+    "log1p_shift", "nan_to_null", "norm3", "select_prefix", "with_norms",
 ]

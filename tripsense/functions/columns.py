@@ -42,12 +42,3 @@ def select_prefix(df: DataFrame, prefixes: Iterable[str], keep: Iterable[str] =
     prefixes = tuple(prefixes)
     keep = list(keep)
     return df.select(*keep, *[c for c in df.columns if c.startswith(prefixes) and c not in keep])
-
-
-def as_float32(c: Column) -> Column:
-    """Round a double to float32 precision and back (about 7 significant digits).
-
-    Used for cross-engine comparisons: both engines round IEEE doubles the same
-    way, so sums taken in a different order compare equal.
-    """
-    return c.cast("float").cast("double")

@@ -20,18 +20,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripsense.operators.keyed import prefix_sums
+from tripsense.operators.keyed import join_small, prefix_sums
+from tripsense.session import materialize
 
 
 def _curve(scored: DataFrame, y: str, score: str, group: Sequence[str]) -> DataFrame:
     pts = (scored.groupBy(*group, F.col(score).alias("_s"))
            .agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).cast("long").alias("_pos"),
                 F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).cast("long").alias("_neg")))
+    pts = materialize(pts)  # one row per score; read by the running sums and by the totals
     cum = prefix_sums(pts, list(group) or None, [F.col("_s").desc()], ["_pos", "_neg"])
     totals = pts.groupBy(*group).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     if group:
-        # one row per group: a small table (the groups are folds or models)
-        return cum.join(F.broadcast(totals), list(group))
+        return join_small(cum, totals, list(group))
     row = totals.first()
     return cum.withColumns({"_P": F.lit(row["_P"] or 0), "_N": F.lit(row["_N"] or 0)})
 

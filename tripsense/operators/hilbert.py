@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripsense.operators.keyed import join_small
 from tripsense.operators.trip_aggregates import TripSpec, q
 
 _CH = ("a", "b")  # two complex channels carried through every pass
@@ -122,9 +123,8 @@ def _bluestein_dft(values: DataFrame) -> DataFrame:
         f"CASE WHEN t < n THEN {sw} WHEN t > M - n THEN {swm} ELSE 0.0 END AS b_im")
     spec = distributed_fft(padded)
     prod = spec.selectExpr("k", "t", "n", "M", "M1",
-                           "a_re * b_re - a_im * b_im AS a_re", "a_re * b_im + a_im * b_re AS a_im",
-                           "0D AS b_re", "0D AS b_im")
-    conv = distributed_fft(prod, inverse=True).filter("t < n")
+                           "a_re * b_re - a_im * b_im AS a_re", "a_re * b_im + a_im * b_re AS a_im")
+    conv = distributed_fft(prod, channels=("a",), inverse=True).filter("t < n")
     return conv.selectExpr("k", "t", "n", f"a_re * {cw} + a_im * {sw} AS X_re", f"a_im * {cw} - a_re * {sw} AS X_im")
 
 
@@ -140,8 +140,8 @@ def hilbert_envelope_table(rows: DataFrame, key: str, pos: str, length: str, val
     z = _bluestein_dft(y).selectExpr("k", "X_re / n AS z_re", "-X_im / n AS z_im")
     env = z.groupBy(F.col("k").alias("_hk")).agg(F.avg(F.sqrt(F.col("z_re") ** 2 + F.col("z_im") ** 2)).alias("_env"))
     complete = rows.groupBy(key).agg((F.count(value) == F.count(F.lit(1))).alias("_ok"))
-    # one row per hot trip on both sides (bounded by rows / max_group_rows)
-    return (complete.join(F.broadcast(env), F.col(key).cast("string") == F.col("_hk"), "left")
+    # one row per hot trip on both sides
+    return (join_small(complete.withColumn("_hk", F.col(key).cast("string")), env, "_hk", "left")
             .select(key, F.when(F.col("_ok"), F.col("_env")).alias("_env")))
 
 

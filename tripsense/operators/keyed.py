@@ -28,8 +28,10 @@ from tripsense.session import materialize
 #: exact percentile and Hilbert buffers (~12 channels x 8-40 bytes per row: ~120 MB at this size);
 #: real trips are far shorter (hours of 1 Hz samples), larger keys take the distributed hot path.
 DEFAULT_MAX_GROUP_ROWS = 250_000
-#: largest per-key table that is broadcast (rows); beyond it a shuffle join is used
-MAX_BROADCAST_ROWS = 2_000_000
+#: largest per-key table that is broadcast (bytes); beyond it a shuffle join is used
+MAX_BROADCAST_BYTES = 32 << 20
+#: rows of a block of a hot trip, if the caller names none
+DEFAULT_BLOCK_ROWS = 65_536
 #: bits of ``monotonically_increasing_id`` that hold the row position in a partition
 _MONO_POS_BITS = 33
 
@@ -40,15 +42,16 @@ def _cols(names: str | Sequence[str]) -> list[str]:
 
 def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner",
                small_rows: int | None = None) -> DataFrame:
-    """Join a per-key table onto a large frame, broadcasting it only under a checked size.
+    """Join a per-key table onto a large frame, broadcasting it only under a checked size in bytes.
 
-    ``small_rows`` is the known row count of ``small``; when missing it is counted.
+    ``small_rows`` is the known row count of ``small``; when missing, its rows are counted up to
+    the limit.
     """
+    row_bytes = sum(32 if t == "string" or t.startswith(("array", "map", "struct")) else 8 for _, t in small.dtypes) + 16
+    most = MAX_BROADCAST_BYTES // row_bytes
     if small_rows is None:
-        small_rows = small.count()
-    if small_rows <= MAX_BROADCAST_ROWS:
-        return big.join(F.broadcast(small), on=_cols(on), how=how)
-    return big.join(small, on=_cols(on), how=how)
+        small_rows = small.limit(most + 1).count()
+    return big.join(F.broadcast(small) if small_rows <= most else small, on=_cols(on), how=how)
 
 
 def split_hot_keys(df: DataFrame, key: str | Sequence[str], max_group_rows: int = DEFAULT_MAX_GROUP_ROWS
@@ -61,10 +64,9 @@ def split_hot_keys(df: DataFrame, key: str | Sequence[str], max_group_rows: int
     """
     keys = _cols(key)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.filter(F.col("_rows") > F.lit(max_group_rows)).persist()
+    hot = materialize(counts.filter(F.col("_rows") > F.lit(max_group_rows)))
     n_hot = hot.count()
     if n_hot == 0:
-        hot.unpersist()
         return df, None, None
     normal = join_small(df, hot.select(*keys), keys, "left_anti", n_hot)
     hot_rows = join_small(df, hot.select(*keys), keys, "left_semi", n_hot)
@@ -102,7 +104,7 @@ def ranked_positions(df: DataFrame, key: str | Sequence[str], order: Sequence[Co
     w_before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     seg = (seg.withColumn("_off", F.coalesce(F.sum("_c").over(w_before), F.lit(0)))
            .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))))
-    seg = seg.select("_pid", *keys, "_m0", "_off", "_n").persist()
+    seg = seg.select("_pid", *keys, "_m0", "_off", "_n")
     out = join_small(ranged, seg, ["_pid", *keys])
     return (out.withColumn("_i", (F.col("_off") + F.col("_mono") - F.col("_m0")).cast("long"))
             .drop("_pid", "_m0", "_off", "_mono"))
@@ -111,8 +113,12 @@ def ranked_positions(df: DataFrame, key: str | Sequence[str], order: Sequence[Co
 def block_with_halo(df: DataFrame, block_rows: int, halo: int) -> DataFrame:
     """Assign ``_blk = _i div block_rows`` and copy the last ``halo`` rows of each block
     into the next block (flag ``_halo``), so trailing row windows of up to
-    ``halo + 1`` rows are exact inside every ``(key, _blk)`` partition.
+    ``halo + 1`` rows are exact inside every ``(key, _blk)`` partition. A block holds at
+    least ``halo + 1`` rows, so the halo always lies in the one block before it.
     """
+    if block_rows < 1:
+        raise ValueError("block_rows must be positive")
+    block_rows = max(block_rows, halo + 1)
     base = df.withColumn("_blk", F.floor(F.col("_i") / block_rows).cast("long")).withColumn("_halo", F.lit(False))
     if halo <= 0:
         return base
@@ -146,7 +152,7 @@ def prefix_sums(df: DataFrame, key: str | Sequence[str] | None, order: Sequence[
     tot = ranged.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_tot_{v}").over(before), F.lit(0)).alias(f"_off_{v}")
-                                      for v in values]).persist()
+                                      for v in values])
     out = join_small(ranged, tot, ["_pid", *keys])
     return (out.withColumns({f"_cum_{v}": F.col(f"_off_{v}") + F.col(f"_loc_{v}") for v in values})
             .drop("_pid", "_mono", *[f"_loc_{v}" for v in values], *[f"_off_{v}" for v in values]))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripsense import schema as S
+from tripsense.operators.keyed import global_rank, join_small, prefix_sums
 from tripsense.operators.trip_aggregates import q
 
 
@@ -57,6 +58,13 @@ def longest_trip(df: DataFrame, key: str = S.KEY) -> DataFrame:
     return trip_lengths(df, key).limit(1).select(key)
 
 
+def labelled_trips_of_length(df: DataFrame, labels: DataFrame, rows: int = 120, value: int = 1, key: str = S.KEY,
+                             label: str = S.LABEL) -> DataFrame:
+    """Trips with label ``value`` and exactly ``rows`` rows."""
+    chosen = labels.filter(F.col(label) == value).select(key).distinct()
+    return df.join(chosen, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") == rows)
+
+
 def histogram(features: DataFrame, columns: Sequence[str], bins: int = S.HISTOGRAM_BINS) -> DataFrame:
     """Equal-width histograms of many columns in one job.
 
@@ -69,7 +77,7 @@ def histogram(features: DataFrame, columns: Sequence[str], bins: int = S.HISTOGR
     rng = long.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
                                      F.count(F.lit(1)).alias("n"))
     width = "(hi - lo) / {b}".format(b=bins)
-    binned = (long.join(F.broadcast(rng), "column")
+    binned = (join_small(long, rng, "column")
               .selectExpr("column", "lo", "hi", "n",
                           f"CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((x - lo) / ({width})) AS INT), {bins - 1}) END AS bin"))
     counts = binned.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"), F.first("lo").alias("lo"),
@@ -84,7 +92,11 @@ def histogram(features: DataFrame, columns: Sequence[str], bins: int = S.HISTOGR
 
 def rank_experiments(experiments: DataFrame, id_col: str = "experiment_id",
                      value_cols: Sequence[str] = ("average_roc_auc_xgboost", "average_roc_auc_lightgbm")) -> DataFrame:
-    """Unpivot the per-model AUC columns and rank all (experiment, model) runs."""
+    """Unpivot the per-model AUC columns and rank all (experiment, model) runs (O10); ties share a rank.
+
+    The ranks come from distributed running counts, not from one task's sort."""
     long = experiments.unpivot([id_col], list(value_cols), "model", "auc")
-    return long.selectExpr(id_col, "model", "auc",
-                           f"rank() OVER (ORDER BY auc DESC) AS rank")
+    better = global_rank(long.groupBy("auc").agg(F.count(F.lit(1)).alias("_runs")), [F.col("auc").desc()])
+    ranked = prefix_sums(better, None, ["_rank"], ["_runs"])
+    first = ranked.select("auc", (F.col("_cum__runs") - F.col("_runs") + 1).cast("int").alias("rank"))
+    return (long.join(first, long["auc"].eqNullSafe(first["auc"])).select(id_col, "model", long["auc"], "rank"))

@@ -1,9 +1,8 @@
 """Exact-count under-sampling, k-fold assignment and hold-out split.
 
 All three need an exact rank of every key in a seeded pseudo-random order.
-The order key is ``((key + seed) mod 2^31) * 2654435761 mod 2^31`` (a
-bijection on [0, 2^31)), ties broken by the key; plain integer arithmetic, so
-any engine reproduces the same permutation. Ranks come from
+The order key is ``md5(seed ':' key)``, ties broken by the key: any engine reproduces the
+same permutation, and different seeds give independent ones. Ranks come from
 :func:`global_rank` (range partitioning + per-partition offsets), so no task
 sees the whole table and ``sampleBy``-style approximate counts are avoided.
 """
@@ -16,18 +15,14 @@ from pyspark.sql import functions as F
 from tripsense import schema as S
 from tripsense.operators.keyed import global_rank
 
-_MOD = 2147483648
-_MULT = 2654435761
-
-
 def seeded_order(key: str, seed: int) -> Column:
-    """Deterministic pseudo-random order key of a non-negative integer key."""
-    return F.pmod(F.pmod(F.col(key) + F.lit(seed), F.lit(_MOD)) * F.lit(_MULT), F.lit(_MOD))
+    """Deterministic pseudo-random order key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
 def seeded_order_sql(key: str, seed: int) -> str:
-    """The same order key as SQL text (also valid in DuckDB for non-negative keys)."""
-    return f"((({key} + {seed}) % {_MOD}) * {_MULT}) % {_MOD}"
+    """The same order key as SQL text (also valid in DuckDB)."""
+    return f"md5(concat('{seed}:', {key}))"
 
 
 def under_sample(df: DataFrame, key: str = S.KEY, label: str = S.LABEL, negative_ratio: int = 1,
@@ -37,8 +32,7 @@ def under_sample(df: DataFrame, key: str = S.KEY, label: str = S.LABEL, negative
     Raises when there are fewer negatives than requested (as the original
     sampler does). The label is found by name, not by position.
     """
-    counts = {r[label]: r["c"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).collect()}
-    positives, negatives = counts.get(1, 0), counts.get(0, 0)
+    positives, negatives = df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
     wanted = positives * negative_ratio
     if wanted > negatives:
         raise ValueError(f"asked for {wanted} negatives, only {negatives} available")

@@ -39,13 +39,13 @@ def q(name: str) -> str:
 class TripSpec:
     """Names that bind the operators to a table.
 
-    ``order`` must be a total order inside a trip (add tie-breakers); every
-    sequence feature (rolling, Hann, Hilbert, last-n, mean change) follows it.
+    ``order`` must be a total order inside a trip (by default the time, ties broken by the other
+    raw channels, so equal rows are the only ties left); every sequence feature (rolling, Hann, Hilbert, last-n, mean change) follows it.
     ``mean_change='intent'`` is the mean of successive differences;
     ``'compat'`` reproduces the original as run: ``mean(x) - key``.
     """
     key: str = S.KEY
-    order: tuple = (S.SECOND,)
+    order: tuple = (S.SECOND, *(c for c in S.RAW_CHANNELS if c != S.SECOND))
     channels: tuple = S.CHANNELS
     signals: tuple = S.SIGNALS
     time: str = S.SECOND
@@ -210,6 +210,14 @@ def kurt_sql(prefix: str) -> str:
             f"ELSE ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * {g2} + 6.0) END)")
 
 
+def kurtosis_sql(c: str) -> str:
+    """The same G2 from Spark's own (population, partially aggregated) kurtosis g2."""
+    x = q(c)
+    n = f"CAST(count({x}) AS DOUBLE)"
+    return (f"(CASE WHEN {n} < 4 THEN CAST(NULL AS DOUBLE) WHEN min({x}) = max({x}) THEN 0.0D "
+            f"ELSE ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * kurtosis({x}) + 6.0D) END)")
+
+
 def moment_aggs(spec: TripSpec) -> dict[str, str]:
     """Plain sums per channel for B1-B3 (deviations from the trip mean)."""
     order = 4 if spec.has("kurtosis") else 3

@@ -8,11 +8,12 @@ Hot trips (more rows than ``max_group_rows``): exact positions from
 :func:`ranked_positions`, trip means from a bounded per-key table, and the
 running sums over ``(key, block)`` partitions with a halo of preceding rows.
 
-Rolling statistics (W3, W4) are O(n) per trip, not O(n W): running sums of
-the trip-centred values d = x - mean(x) give every window sum as a difference
-of two running sums (centring keeps the sums small, so the differences stay
-accurate). An integer running count of value changes marks windows whose
-values are all equal; their std is exactly 0 as in pandas.
+Rolling statistics (W3, W4) are O(n) per trip, not O(n W): a trip is cut into pieces of W rows,
+and every window is a suffix of one piece and a prefix of the next. Count, mean and sum of
+squared deviations of all prefixes and suffixes are running aggregates inside a piece, and the two
+parts are merged about their common mean, so no sum ever spans more than one window and no
+digits are lost however the trip behaved before. An integer running count of value changes
+marks windows whose values are all equal; their std is exactly 0 as in pandas.
 """
 
 from __future__ import annotations
@@ -25,9 +26,7 @@ from tripsense.operators.trip_aggregates import TripSpec, q
 
 
 def _mean_channels(spec: TripSpec) -> list[str]:
-    if spec.moments:
-        return list(spec.channels)
-    return list(spec.signals) if spec.rolling_windows else []
+    return list(spec.channels) if spec.moments else []
 
 
 def _change_flags(spec: TripSpec, wo: str) -> list[str]:
@@ -43,33 +42,31 @@ def _rolling_steps(df: DataFrame, spec: TripSpec, part: str, order: str, flags_d
     sig = list(spec.signals)
     if not flags_done:
         df = df.selectExpr("*", *_change_flags(spec, wo))
-    cols = []
-    for s in sig:
-        d = f"({q(s)} - _mean_{s})"
-        cols += [f"coalesce(sum({d}) OVER {run}, 0.0) AS _c1_{s}",
-                 f"coalesce(sum({d} * {d}) OVER {run}, 0.0) AS _c2_{s}",
-                 f"count({q(s)}) OVER {run} AS _cn_{s}",
-                 f"sum(_chg_{s}) OVER {run} AS _cc_{s}"]
-    df = df.selectExpr("*", *cols)
-    lags = []
+    df = df.selectExpr("*", *[f"sum(_chg_{s}) OVER {run} AS _cc_{s}" for s in sig])
+
+    def stats(s: str, w: int, direction: str) -> str:
+        over = f"(PARTITION BY {part}, _i div {w} ORDER BY _i {direction} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        return f"named_struct('n', count({q(s)}) OVER {over}, 'm', avg({q(s)}) OVER {over}, 'v', var_pop({q(s)}) OVER {over})"
+
     for w in spec.rolling_windows:
-        for s in sig:
-            lags += [f"coalesce(lag(_c1_{s}, {w}) OVER ({wo}), 0.0) AS _p1_{w}_{s}",
-                     f"coalesce(lag(_c2_{s}, {w}) OVER ({wo}), 0.0) AS _p2_{w}_{s}",
-                     f"coalesce(lag(_cn_{s}, {w}) OVER ({wo}), 0) AS _pn_{w}_{s}",
-                     f"coalesce(lag(_cc_{s}, {w - 1}) OVER ({wo}), 0) AS _pc_{w}_{s}"]
-    df = df.selectExpr("*", *lags)
+        df = df.selectExpr("*", *[f"{stats(s, w, 'ASC')} AS _pre_{w}_{s}" for s in sig])
+        df = df.selectExpr("*", *[f"{stats(s, w, 'DESC')} AS _suf_{w}_{s}" for s in sig])
+    df = df.selectExpr("*", *[f"lag(_suf_{w}_{s}, {w - 1}) OVER ({wo}) AS _old_{w}_{s}" for w in spec.rolling_windows for s in sig],
+                       *[f"coalesce(lag(_cc_{s}, {w - 1}) OVER ({wo}), 0) AS _pc_{w}_{s}" for w in spec.rolling_windows for s in sig])
     out = []
     for w in spec.rolling_windows:
         for s in sig:
-            s1, s2 = f"(_c1_{s} - _p1_{w}_{s})", f"(_c2_{s} - _p2_{w}_{s})"
-            full = f"(_cn_{s} - _pn_{w}_{s}) = {w}"
+            a, b = f"_old_{w}_{s}", f"_pre_{w}_{s}"
+            whole = f"_i % {w} = {w - 1}"                  # the window is one piece
+            full = f"(CASE WHEN {whole} THEN {b}.n ELSE {a}.n + {b}.n END) = {w}"
             if spec.has("rolling_mean"):
-                out.append(f"CASE WHEN {full} THEN _mean_{s} + {s1} / {w}.0 END AS _ma{w}_{s}")
+                out.append(f"CASE WHEN {full} THEN CASE WHEN {whole} THEN {b}.m "
+                           f"ELSE {a}.m + ({b}.m - {a}.m) * {b}.n / {w}.0D END END AS _ma{w}_{s}")
             if spec.has("rolling_std"):
-                out.append(f"CASE WHEN {full} THEN CASE WHEN _cc_{s} - _pc_{w}_{s} = 0 THEN 0.0 "
-                           f"ELSE sqrt(greatest(({s2} - {s1} * {s1} / {w}.0) / {w - 1}.0, 0.0)) END END "
-                           f"AS _msd{w}_{s}")
+                squares = (f"(CASE WHEN {whole} THEN {b}.v * {w} ELSE {a}.v * {a}.n + {b}.v * {b}.n "
+                           f"+ ({b}.m - {a}.m) * ({b}.m - {a}.m) * {a}.n * {b}.n / {w}.0D END)")
+                out.append(f"CASE WHEN {full} THEN CASE WHEN _cc_{s} - _pc_{w}_{s} = 0 THEN 0.0D "
+                           f"ELSE sqrt({squares} / {w - 1}.0D) END END AS _msd{w}_{s}")
     return df.selectExpr("*", *out)
 
 

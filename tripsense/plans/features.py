@@ -8,7 +8,9 @@ Plan for bounded trips (the usual case)::
          -> Filter(last max(n) rows) -> Generate(n) -> HashAggregate(key, n) -> pivot
          -> join on key (co-partitioned, no exchange) -> Arrow UDF (Hilbert)
 
-so the rows cross the network once. Keys with more than ``max_group_rows``
+so the rows of the frame cross the network once; last-n reads the scan again and sends only the
+last rows of each trip. Kurtosis, absolute mean, trend and mean change alone are plain partial
+aggregates without any row exchange. Keys with more than ``max_group_rows``
 rows are split off and processed by the hot path of
 :mod:`tripsense.operators.trip_frame` and :mod:`tripsense.operators.quantiles`.
 """
@@ -23,23 +25,25 @@ from pyspark.sql import functions as F
 from tripsense import schema as S
 from tripsense.functions.columns import nan_to_null, norm3
 from tripsense.operators.hilbert import hilbert_hot
-from tripsense.operators.keyed import DEFAULT_MAX_GROUP_ROWS, split_hot_keys
+from tripsense.operators.keyed import DEFAULT_BLOCK_ROWS, DEFAULT_MAX_GROUP_ROWS, split_hot_keys
 from tripsense.operators.lastn import last_n_long, last_n_wide, last_rows
 from tripsense.operators.quantiles import percentile_table
 from tripsense.operators.trip_aggregates import (
     TripSpec,
     hilbert_mean_udf,
+    kurtosis_sql,
+    mean_change_sql,
     moment_outputs,
     named,
     percentile_outputs,
     q,
+    trend_sql,
     trip_aggs,
 )
 from tripsense.operators.trip_frame import hot_frame, normal_frame
 
-
-
-_MERGED = True
+#: families that are partial aggregates of the rows as they are
+LIGHT_FAMILIES = ("kurtosis", "abs_mean", "trend", "mean_change")
 
 FAMILY_ORDER = ("primitive", "kurtosis", "abs_mean", "trend", "mean_change", "hilbert_hann",
                 "last_n", "rolling_mean", "rolling_std", "iqr", "quantiles")
@@ -100,27 +104,20 @@ def _join_pieces(pieces: list[DataFrame], key: str) -> DataFrame:
 
 
 def _normal_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
-    """Bounded trips: one hash exchange on the key, then branches joined on the key.
-
-    ``_MERGED`` folds the exact percentiles and the Hilbert trip arrays into the
-    main per-trip aggregate (one exchange fewer each); otherwise they are
-    separate narrow branches.
-    """
+    """Bounded trips: one hash exchange on the key, one aggregate (also of the exact percentiles and
+    the Hilbert trip arrays), and the last-n branch joined on the key."""
     part = rows.repartition(spec.key)
     pieces = []
     aggs = trip_aggs(spec)
-    order = ", ".join(q(c) for c in spec.order)
     sig = [s for s in spec.signals if spec.wants(f"{s}_hilbert_mean")] if spec.has("hilbert_hann") else []
-    # merged: the frame carries the trip position _i, a cheaper sort key than the order columns
-    pos = "_i" if _MERGED else order
-    arrays = {f"_arr_{s}": f"transform(sort_array(collect_list(struct({pos}, {q(s)} AS _v))), e -> e._v)"
-              for s in sig}
+    # the frame carries the trip position _i, a cheaper sort key than the order columns
+    arrays = {f"_arr_{s}": f"transform(sort_array(collect_list(struct(_i, {q(s)} AS _v))), e -> e._v)" for s in sig}
     pct_channels = {c: spec.percentiles_of(c) for c in spec.percentile_channels()}
     # bounded keys: Spark's exact percentile aggregate (its buffer holds one trip's values,
     # at most max_group_rows); measured faster than value-rank windows. Hot keys use ranks.
     pcts = {f"_pq_{c}": f"percentile({q(c)}, array({', '.join(repr(p) for p in ps)}))"
             for c, ps in pct_channels.items()}
-    extra = {**arrays, **pcts} if _MERGED else {}
+    extra = {**arrays, **pcts}
     if aggs or extra:
         main = _agg(normal_frame(part, spec), spec.key, {**aggs, **extra})
         if spec.moments:
@@ -129,11 +126,6 @@ def _normal_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
     if spec.has("last_n"):
         # from the unshuffled rows: the top-n filter runs as a partial group limit before the exchange
         pieces.append(last_n_wide(last_n_long(last_rows(rows, spec), spec), spec))
-    if not _MERGED:
-        if arrays:
-            pieces.append(_agg(part, spec.key, arrays))
-        if pcts:
-            pieces.append(_agg(part, spec.key, pcts))
     out = _join_pieces(pieces, spec.key)
     if arrays:
         out = out.withColumns({f"{s}_hilbert_mean": hilbert_mean_udf(F.col(f"_arr_{s}")) for s in sig})
@@ -159,13 +151,30 @@ def _hot_features(rows: DataFrame, spec: TripSpec, block_rows: int) -> DataFrame
         pieces.append(hilbert_hot(frame, spec))
     pct_channels = {c: spec.percentiles_of(c) for c in spec.percentile_channels()}
     if pct_channels:
-        pieces.append(percentile_table(rows, spec.key, pct_channels, ranks="range"))
+        pieces.append(percentile_table(rows, spec.key, pct_channels))
     out = _join_pieces(pieces, spec.key)
     if pct_channels:
         out = out.selectExpr("*", *named(percentile_outputs(spec)))
     return out
 
 
+def _light_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
+    """Families that need neither positions nor trip means: one partial aggregate, for keys of any size."""
+    aggs = {}
+    for c in spec.channels:
+        if spec.has("kurtosis"):
+            aggs[f"{c}_kurt"] = kurtosis_sql(c)
+        if spec.has("abs_mean"):
+            aggs[f"{c}_abs_mean"] = f"avg(abs({q(c)}))"
+    order = f"struct({spec.order_sql})"
+    for s in spec.signals:
+        if spec.has("trend"):
+            aggs[f"{s}_trend"] = trend_sql(s, spec.time)
+        if spec.has("mean_change"):
+            aggs[f"{s}_mean_change"] = mean_change_sql(spec, s, order)
+    return _agg(rows, spec.key, aggs)
+
+
 def trip_features(df: DataFrame, spec: TripSpec | None = None, max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
                   block_rows: int | None = None, **spec_kwargs) -> DataFrame:
     """One row per trip: the key and the features of ``spec.families`` (all 696 by default).
@@ -179,11 +188,13 @@ def trip_features(df: DataFrame, spec: TripSpec | None = None, max_group_rows: i
                 & set(spec.wanted)]
         spec = dataclasses.replace(spec, families=tuple(fams))
     base = prepare(df, spec)
-    normal, hot, _ = split_hot_keys(base, spec.key, max_group_rows)
     names = [n for n in output_names(spec) if spec.wants(n)]
+    if set(spec.families) <= set(LIGHT_FAMILIES):
+        return _light_features(base, spec).select(spec.key, *names)
+    normal, hot, _ = split_hot_keys(base, spec.key, max_group_rows)
     out = _normal_features(normal, spec).select(spec.key, *names)
     if hot is not None:
-        out = out.unionByName(_hot_features(hot, spec, block_rows or max_group_rows).select(spec.key, *names))
+        out = out.unionByName(_hot_features(hot, spec, block_rows or DEFAULT_BLOCK_ROWS).select(spec.key, *names))
     return out
 
 
@@ -202,17 +213,8 @@ def trip_features_labelled(df: DataFrame, spec: TripSpec | None = None, label: s
     return join_labels(feats, last_label(df, spec.key, label, order), spec.key, label)
 
 
-def family(df: DataFrame, families: tuple, spec: TripSpec | None = None, **kw) -> DataFrame:
-    return trip_features(df, spec, families=families, **kw)
-
-
-def top_features(features: DataFrame, names=S.TOP_100_FEATURES, key: str = S.KEY) -> DataFrame:
-    """Keep the key and a fixed list of model inputs (column pruning reaches the plan)."""
-    return features.select(key, *names)
-
-
 def trip_features_for(df: DataFrame, names=S.TOP_100_FEATURES, spec: TripSpec | None = None, **kw) -> DataFrame:
-    """Only the listed feature columns (e.g. the 100 model inputs), in the given order.
+    """Only the listed feature columns (e.g. the 100 model inputs), in the given order.
 
     Families without a requested column are not built at all, and the packed
     or unpivoted intermediates (last-n, quantiles, Hilbert) carry only what is
@@ -253,7 +255,7 @@ def mean_change_rate(df: DataFrame, spec: TripSpec | None = None, max_group_rows
     out = rates(normal, k, spec.order_sql)
     if hot is not None:
         from tripsense.operators.keyed import block_with_halo, ranked_positions
-        blocked = block_with_halo(ranked_positions(hot, spec.key, list(spec.order)), max_group_rows, 1)
+        blocked = block_with_halo(ranked_positions(hot, spec.key, list(spec.order)), DEFAULT_BLOCK_ROWS, 1)
         hot_part = rates(blocked, f"{k}, _blk", "_i")
         # the halo row only serves as the predecessor of the block's first row
         out = out.unionByName(hot_part)

@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,7 @@ from tripsense import schema as S
 from tripsense.operators.labels import drop_unlabelled, join_labels, last_label
 from tripsense.plans.features import trip_features_for
 from tripsense.plans.modeling import (
+    TRIALS,
     cross_validate,
     fit_final,
     latest_model_path,
@@ -21,24 +23,31 @@ from tripsense.plans.modeling import (
     save_model,
     score,
 )
-from tripsense.session import get_session
+from tripsense.session import ensure_checkpoint_dir, get_session
 from tripsense.sources.csv import read_csv_folder, write_predictions
 
 FEATURES = list(S.TOP_100_FEATURES)
 
 
 def train(spark: SparkSession, telemetry: DataFrame, labels: DataFrame, model_root: str,
-          family: str = "gbt", trials: int = 4, label_order=("_file", "_row")) -> dict:
-    """Features -> last label per trip -> search by 5-fold AUC -> final fit -> save."""
+          families=("gbt", "forest"), trials: int = TRIALS, rounds: int | None = None, scale_pos_weight: float = 1.0,
+          label_order=("_file", "_block", "_row")) -> dict[str, dict]:
+    """Features -> last label per trip -> (search by 5-fold AUC -> final fit -> save) for each family.
+
+    The labelled features are computed once, stored in the shared folder and read from there.
+    """
     order = [c for c in label_order if c in labels.columns]
-    lab = last_label(labels, S.KEY, S.LABEL, order)
-    feats = trip_features_for(telemetry, FEATURES)
-    data, unlabelled = drop_unlabelled(join_labels(feats, lab))
-    _, results = cross_validate(data, FEATURES, family, trials=trials)
-    best, best_auc = max(results, key=lambda r: r[1])
-    model, _ = fit_final(data, FEATURES, best, family)
-    path = save_model(model, f"{model_root.rstrip('/')}/{family}", best)
-    return {"path": path, "cv_auc": best_auc, "params": best, "unlabelled": unlabelled}
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+    join_labels(trip_features_for(telemetry, FEATURES), last_label(labels, S.KEY, S.LABEL, order)).write.parquet(path)
+    data, unlabelled = drop_unlabelled(spark.read.parquet(path))
+    out = {}
+    for family in families:
+        results = cross_validate(data, FEATURES, family, trials=trials, rounds=rounds, scale_pos_weight=scale_pos_weight)
+        best, best_auc = max(results, key=lambda r: r[1])
+        model, _ = fit_final(data, FEATURES, best, family, rounds=rounds, scale_pos_weight=scale_pos_weight)
+        saved = save_model(model, f"{model_root.rstrip('/')}/{family}", best)
+        out[family] = {"path": saved, "cv_auc": best_auc, "params": best, "unlabelled": unlabelled}
+    return out
 
 
 def predict(spark: SparkSession, telemetry: DataFrame, model_root: str, output: str | None = None,
@@ -58,6 +67,10 @@ def main(argv=None):
     p.add_argument("-il", "--input_label_folder")
     p.add_argument("-o", "--output_path")
     p.add_argument("-md", "--model_root", default="models")
+    p.add_argument("--trials", type=int, default=TRIALS)
+    p.add_argument("--rounds", type=int, help="boosting rounds or trees (default: 1000 and 500)")
+    p.add_argument("--scale_pos_weight", type=float, default=1.0)
+    p.add_argument("--family", default="gbt", choices=["gbt", "forest"], help="the model that predicts")
     args = p.parse_args(argv)
     spark = get_session("tripsense-job")
     telemetry = read_csv_folder(spark, args.input_features_folder)
@@ -65,11 +78,12 @@ def main(argv=None):
         if not args.input_label_folder:
             raise SystemExit("training needs --input_label_folder")
         labels = read_csv_folder(spark, args.input_label_folder, S.LABEL_SCHEMA, with_file_order=True)
-        print(train(spark, telemetry, labels, args.model_root))
+        print(train(spark, telemetry, labels, args.model_root, trials=args.trials, rounds=args.rounds,
+                    scale_pos_weight=args.scale_pos_weight))
     else:
         if not args.output_path:
             raise SystemExit("predict needs --output_path")
-        predict(spark, telemetry, args.model_root, args.output_path)
+        predict(spark, telemetry, args.model_root, args.output_path, args.family)
 
 
 if __name__ == "__main__":

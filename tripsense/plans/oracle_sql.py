@@ -200,7 +200,7 @@ def top_features_sql(names=S.TOP_100_FEATURES, key: str = V1_KEY, order: str = V
     parts = {
         "f_prim": primitive_cte(key, ch), "f_kurt": kurtosis_cte(key, ch), "f_abs": abs_mean_cte(key, ch),
         "f_trend": trend_cte(key, sig), "f_mc": mean_change_cte(key, order, sig),
-        "f_hann": hann_cte(key, order, sig), "f_hil": hilbert_cte(key, order, ("total_gyro", "Speed")),
+        "f_hann": hann_cte(key, order, sig), "f_hil": hilbert_cte(key, order, sig),
         "f_rm": rolling_cte(key, order, sig, "mean"), "f_rs": rolling_cte(key, order, sig, "std"),
         "f_iqr": iqr_cte(key, sig), "f_q": quantiles_cte(key, sig),
     }

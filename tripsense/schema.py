@@ -124,10 +124,6 @@ LABEL_SCHEMA = T.StructType([
     T.StructField(KEY, T.LongType(), False),
     T.StructField(LABEL, T.IntegerType(), True),
 ])
-PREDICTION_SCHEMA = T.StructType([
-    T.StructField(KEY, T.LongType(), False),
-    T.StructField("probability", T.DoubleType(), True),
-])
 EXPERIMENT_SCHEMA = T.StructType([
     T.StructField("experiment_id", T.IntegerType(), False),
     T.StructField("changes", T.StringType(), True),

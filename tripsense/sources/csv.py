@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,38 +13,75 @@ from tripsense import schema as S
 from tripsense.functions.columns import nan_to_null
 
 
+def _headers(spark: SparkSession, folder: str) -> dict[tuple, list[str]]:
+    """The ``*.csv`` files of a folder, sorted by name, grouped by their header (one line read per file)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*.csv")
+    fs = pattern.getFileSystem(conf)
+    groups: dict[tuple, list[str]] = {}
+    for status in sorted(fs.globStatus(pattern) or [], key=lambda f: f.getPath().getName()):
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(status.getPath()), "UTF-8"))
+        line = reader.readLine()
+        reader.close()
+        if line:                                          # an empty file has no rows
+            names = next(csv.reader([line.lstrip("\ufeff")]))
+            groups.setdefault(tuple(n.strip() for n in names), []).append(status.getPath().toString())
+    return groups
+
+
+def _whole_number(col: str, to: str) -> Column:
+    """An integer column that was written as ``1`` or ``1.0``; a fraction is an error."""
+    x = F.col(col)
+    return F.when(x.isNull() | F.isnan(x), F.lit(None)).when(
+        x == F.floor(x), x.cast(to)).otherwise(F.raise_error(F.lit(f"column {col} holds a fraction")).cast(to)).alias(col)
+
+
 def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType | None = S.TELEMETRY_SCHEMA,
                     with_file_order: bool = False) -> DataFrame:
-    """All ``*.csv`` files of a folder with a header.
+    """All ``*.csv`` files of a folder, read by the names in each file's header.
 
-    An explicit schema avoids an inference pass and drift between files; NaN
-    becomes NULL in double columns. ``with_file_order`` adds ``_file`` and
-    ``_row`` (file name and row position within the file), the ordinal the
-    original relies on when it resolves repeated labels by file order.
+    Files with the same header are read together under an explicit schema (no inference pass, no
+    drift between files) and united by name: columns may stand in any order, a missing column is
+    NULL, an unknown one an error. Without a schema, types are inferred. NaN becomes NULL in
+    double columns; integer columns (a label) may be written as ``1.0``. ``with_file_order`` adds
+    ``_file``, ``_block`` and ``_row`` (file name, start of the split, position within it), the
+    ordinal the original relies on when it resolves repeated labels by file order.
     """
-    reader = spark.read.option("header", True).option("mode", "FAILFAST")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(f"{folder.rstrip('/')}/*.csv")
+    parts = []
+    groups = _headers(spark, folder)
+    if not groups:
+        raise FileNotFoundError(f"no CSV files with a header in {folder}")
+    for header, files in groups.items():
+        reader = spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+        if schema is None:
+            part = reader.option("inferSchema", True).csv(files)
+        else:
+            unknown = set(header) - set(schema.names)
+            if unknown:
+                raise ValueError(f"unknown columns {sorted(unknown)} in {files[0]}")
+            loose = {f.name: T.DoubleType() if isinstance(f.dataType, T.IntegerType) else f.dataType for f in schema.fields}
+            part = reader.schema(T.StructType([T.StructField(n, loose[n], True) for n in header])).csv(files)
+        if with_file_order:
+            part = part.withColumns({"_file": F.col("_metadata.file_name"), "_block": F.col("_metadata.file_block_start"),
+                                     "_row": F.monotonically_increasing_id()})
+        doubles = [n for n, t in part.dtypes if t == "double"]
+        whole = {f.name for f in schema.fields if isinstance(f.dataType, T.IntegerType)} if schema is not None else set()
+        parts.append(part.select(*[_whole_number(c, "int") if c in whole else nan_to_null(c).alias(c) if c in doubles else F.col(c)
+                                   for c in part.columns]))
+    out = union_by_name(parts)
     if schema is not None:
-        df = df.select(*[nan_to_null(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
-                         for f in schema.fields])
-    if with_file_order:
-        df = df.withColumn("_file", F.col("_metadata.file_name")).withColumn(
-            "_row", F.col("_metadata.row_index") if "row_index" in str(df.schema) else F.monotonically_increasing_id())
-    return df
-
-
-def read_csv_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
-    """Files whose columns may differ: read each and unite by name, missing columns NULL."""
-    frames = [spark.read.option("header", True).option("inferSchema", schema is None)
-              .schema(schema).csv(p) if schema is not None else
-              spark.read.option("header", True).option("inferSchema", True).csv(p) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+        order = ["_file", "_block", "_row"] if with_file_order else []
+        out = out.select(*[F.col(f.name) if f.name in out.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                           for f in schema.fields], *order)
     return out
 
 
+def read_experiments(spark: SparkSession, path: str) -> DataFrame:
+    """The experiment table, one CSV file (S3)."""
+    return spark.read.option("header", True).option("mode", "FAILFAST").schema(S.EXPERIMENT_SCHEMA).csv(path)
+
+
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     """Concatenate frames, uniting columns by name."""
     out = frames[0]

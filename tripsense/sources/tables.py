@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 from tripsense.operators.keyed import join_small
 from tripsense.operators.trip_aggregates import TripSpec
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
 LINEITEM_ORDER = ("second", "l_orderkey", "l_partkey", "l_linenumber")
 LINEITEM_SPEC = TripSpec(key="l_suppkey", order=LINEITEM_ORDER)
 EVENTS_SPEC = TripSpec(key="user_id", order=("second", "event_id"), channels=("second", "value"),
@@ -71,12 +68,3 @@ def label_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     lab = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0).cast("int")
     return o.select(F.col("o_custkey"), F.col("o_orderdate"), F.col("o_orderkey"), lab.alias("label"))
-
-
-def scored_documents(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
-    """(doc_id, y_true, y_pred): a label of ``labels`` and ``documents.n_chars`` as the score."""
-    lab = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return (lab.join(docs, "doc_id")
-            .select("doc_id", F.col(label).cast("int").alias("y_true"), F.col("n_chars").cast("double").alias("y_pred")))
-
