@@ -385,3 +385,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op4(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs)
+
+
+SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM d),
+runs AS (SELECT doc_id, n, p, md5(string_agg(v, ' ') OVER f) AS s, count(*) OVER f AS c FROM words
+  WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+sets AS (SELECT DISTINCT doc_id, s FROM runs WHERE c = 5 OR (n < 5 AND p = 1)),
+sizes AS (SELECT doc_id, count(*) AS size FROM sets GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM met JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * common >= 75 * (a.size + b.size - common)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM ways UNION SELECT reach.x, ways.y FROM reach JOIN ways ON reach.y = ways.x),
+roots AS (SELECT x AS doc_id, min(y) AS root FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(size, 0) AS n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN roots ON roots.doc_id = d.doc_id"""

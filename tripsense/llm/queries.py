@@ -29,6 +29,8 @@ QUERIES = {
 
 SQL = {
     "op3_mix_sources": mixing.SQL,
+    "op4_jaccard_join": jaccard_join.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op6_warc": warc.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
 }

@@ -268,3 +268,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op10(docs: DataFrame) -> DataFrame:
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM d),
+wins AS (SELECT doc_id, p, md5(string_agg(v, ' ') OVER f) AS h, count(*) OVER f AS n FROM words
+  WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+again AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1 AS later FROM wins WHERE n = 20),
+marked AS (SELECT words.doc_id, words.p, v, coalesce(bool_or(later) OVER (
+    PARTITION BY words.doc_id ORDER BY words.p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM words LEFT JOIN again ON words.doc_id = again.doc_id AND words.p = again.p),
+per AS (SELECT doc_id, count(*) FILTER (gone) AS lost, string_agg(v, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(lost, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN per ON d.doc_id = per.doc_id"""
