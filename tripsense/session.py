@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
                                "(checkpoints must survive the loss of an executor)")
         conf_dir = tempfile.mkdtemp(prefix="tripsense-ckpt-")  # local mode only (tests)
-    os.makedirs(conf_dir, exist_ok=True) if conf_dir.startswith("/") else None
+    path = sc._jvm.org.apache.hadoop.fs.Path(conf_dir)
+    if (not sc.master.startswith("local") and "://" not in conf_dir and not conf_dir.startswith("file:")
+            and path.getFileSystem(sc._jsc.hadoopConfiguration()).getScheme() == "file"):
+        raise RuntimeError(f"{conf_dir} would be a local folder of each machine; name a shared one with its scheme")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
