@@ -25,6 +25,17 @@ def by_block(docs: DataFrame, id_col: str, text_col: str, *more: str) -> tuple[D
     return rows.select(block, "_id", "_text", *more).repartition(n, "block"), n
 
 
+#: bytes of text that a block holds on average at least
+BLOCK_BYTES = 8 << 20
+
+
+def block_count(docs: DataFrame, text_col: str) -> int:
+    """As many blocks as there are shuffle partitions, or fewer of ``BLOCK_BYTES`` each: small blocks would
+    ask for the same keys again and again."""
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(1, min(shuffle_partitions(docs), -(-total // BLOCK_BYTES)))
+
+
 def packed_blocks(rows: DataFrame, n: int) -> DataFrame:
     """``block, payload``: the rows of a task that belong to one block (first column) as one compressed
     value, shuffled by block; texts take about half of what they take as rows."""

@@ -31,8 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripsense.llm.blocks import Positions, packed, packed_blocks, shard_rows, unpack, unpacked
-from tripsense.llm.common import broadcast_if_small, shuffle_partitions, text_or_empty
+from tripsense.llm.blocks import Positions, block_count, packed, packed_blocks, shard_rows, unpack, unpacked
+from tripsense.llm.common import broadcast_if_small, text_or_empty
 from tripsense.llm.segments import mix64, slices
 from tripsense.session import materialize
 
@@ -299,7 +299,7 @@ class _Scorer:
 
 def log_likelihoods(docs: DataFrame, model: DataFrame, unseen: float, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """Per row: ``_id``, ``_lang``, ``_held``, ``_n`` characters and ``_ll`` their log likelihood."""
-    n_blocks = shuffle_partitions(docs)
+    n_blocks = block_count(docs, text_col)
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     rows = rows.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(n_blocks)).cast("int").alias("block"), "_id", "_text", "_lang",
                        held_out("_text").alias("_held"))
