@@ -12,7 +12,7 @@ import numpy as np
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: bytes of text handled at once inside a task (a single longer document is handled alone)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
