@@ -349,14 +349,16 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     # one row a language; quantile sketches are merged, no group is gathered
     medians = known.groupBy("_lang").agg(middle.alias("median"), F.count(F.lit(1)).alias("docs"))
     all_median = known.agg(middle).first()[0]
-    medians = medians.filter((F.col("docs") >= min_trusted) & F.col("_lang").isNotNull()).select("_lang", "median")
-    drawn = lambda df: (df.join(medians, "_lang", "left").withColumn(
+    medians = materialize(medians.filter((F.col("docs") >= min_trusted) & F.col("_lang").isNotNull()).select("_lang", "median"))
+    by_lang = broadcast_if_small(medians, row_bytes=64)   # else one language's rows would meet in a task
+    drawn = lambda df: (df.join(by_lang, "_lang", "left").withColumn(
         "_score", (-F.col("_ll") + F.lit(shrink) * F.coalesce("median", F.lit(all_median))) / (F.col("_n") + F.lit(shrink))))
     high = F.percentile_approx("_score", quantile, 100000)
     top_all = drawn(known).agg(high).first()[0]
     tops = drawn(known).groupBy("_lang").agg(high.alias("top"))
     level = lambda q, m: q + F.lit(slack) * (q - m)
-    out = drawn(scored).join(medians.join(tops, "_lang").select("_lang", "top"), "_lang", "left")
+    tops = broadcast_if_small(materialize(medians.join(tops, "_lang").select("_lang", "top")), row_bytes=64)
+    out = drawn(scored).join(tops, "_lang", "left")
     threshold = F.when(F.col("top").isNotNull(), level(F.col("top"), F.col("median"))).otherwise(
         level(F.lit(top_all).cast("double"), F.lit(all_median).cast("double")))
     return (out.withColumn("threshold", threshold)
