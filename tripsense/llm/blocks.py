@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripsense.llm.common import shuffle_partitions, text_or_empty
+from tripsense.llm.segments import release
 
 
 def by_block(docs: DataFrame, id_col: str, text_col: str, *more: str) -> tuple[DataFrame, int]:
@@ -62,6 +63,7 @@ def unpack(table, columns: int) -> list[list]:
     """The columns of a block's rows."""
     import pyarrow as pa
 
+    release()
     codec, out = pa.Codec("zstd"), [[] for _ in range(columns)]
     for x in table.column("payload").to_pylist():
         raw = codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)

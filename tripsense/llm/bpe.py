@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripsense.llm.segments import SegmentHasher, ranges, slices
+from tripsense.llm.segments import SegmentHasher, ranges, release, slices
 
 # symbols
 _L, _N, _O, _Q1, _Q2, _SMID, _SPLAST, _SLAST = range(8)
@@ -60,7 +60,7 @@ _NEXT = np.vstack([_NEXT, np.repeat(_NEXT[:, :1], 8, axis=1)])
 _STARTS = np.vstack([_STARTS, np.ones((8, 8), bool)])
 _COLUMN = 256          # characters a column
 _SHORT = 48            # bytes up to which pre-tokens merge in matrices
-_CACHE = 1_000_000     # pre-tokens kept by a task
+_CACHE = 500_000     # pre-tokens kept by a task
 _NONE = np.int32(2**31 - 1)
 
 
@@ -241,7 +241,7 @@ class Encoder:
         for width in (2, 4, 8, 16, _SHORT):
             pick = np.flatnonzero((lengths > low) & (lengths <= width))
             low = width
-            for part in np.array_split(pick, max(1, len(pick) * width // 2_000_000 + 1)) if len(pick) else ():
+            for part in np.array_split(pick, max(1, len(pick) * width // 500_000 + 1)) if len(pick) else ():
                 ids = _merge_short(self.vocab, data, starts[part], lengths[part], width)
                 count[part] = (ids >= 0).sum(axis=1)
                 flat.append(ids[ids >= 0])
@@ -311,11 +311,14 @@ def _run(docs: DataFrame, vocabulary_path: str, schema: str, make, id_col: str,
     def batches(stream):
         import pyarrow as pa
 
+        release()
         encoder = Encoder(*shared.value)
         for batch in stream:
             texts = [(t or "").encode("utf-8") for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *make(pa, encoder, texts[a:b])], names)
+        del encoder
+        release()
 
     names = [id_col, *(part.split()[0] for part in schema.split(", "))]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
