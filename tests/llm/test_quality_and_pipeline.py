@@ -78,6 +78,40 @@ def test_classifier_on_labelled_documents(spark):
     assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.25 * len(bad)
 
 
+def test_fresh_characters_equal_brute_force(monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    texts = ["", "a", "The " * 300, "xy" * 40] + ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 700))) for _ in range(20)]
+    codes, own, per = quality.padded(texts)
+    hashes = quality._window_hash(codes, own, quality.ORDER)
+    grams = [[("\x02" * (quality.ORDER - 1) + t)[k:k + quality.ORDER] for k in range(len(t))] for t in texts]
+    fresh = [sum(x not in g[max(0, k - quality.SPAN):k] for k, x in enumerate(g)) for g in grams]
+    for at_once in (300, 1 << 18):
+        monkeypatch.setattr(quality, "_SORTED_AT_ONCE", at_once)
+        assert quality.fresh_characters(hashes, per).tolist() == fresh
+    assert quality.fresh_characters(np.zeros(0, np.uint64), np.zeros(2, np.int64)).tolist() == [0, 0]
+
+
+def test_repeated_words_and_one_outlier(spark):
+    """Text that repeats a likely word goes, and one odd trusted text does not raise the threshold."""
+    import random
+
+    rng = random.Random(1)
+    words = [w.strip(".,") for w in ("the cat sat on a mat and the old dog looked at rain over long green hills while people walked home to "
+                                     "read books by the fire until night came with wind from north").split()]
+    good = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(900)]
+    odd = "zq" + "".join(rng.choice("bcdfghjklmnpqrstvwxz#%") for _ in range(300))
+    held = spark.createDataFrame([(k, f"{odd}{k}") for k in range(60)], "k int, t string").filter(quality.held_out("t")).first()["t"]
+    texts = good + [held, "the " * 80, " ".join(w for w in words[:6] for _ in range(12)), held[::-1]]
+    docs = documents(spark, texts)
+    out = {r["doc_id"]: r for r in quality.classify(docs, spark.range(901).withColumnRenamed("id", "doc_id")).collect()}
+    assert [out[k]["kept"] for k in (900, 901, 902, 903)] == [False] * 4
+    assert sum(out[k]["kept"] for k in range(900)) >= 0.99 * 900
+
+
 def test_classifier_edges(spark):
     docs = documents(spark, EDGE, extra=True).withColumn("lang", F.when(F.col("doc_id") > 3, "en"))
     nobody = spark.createDataFrame([], "doc_id bigint")

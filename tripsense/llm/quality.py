@@ -15,8 +15,15 @@ the model.
 A fifth of the trusted texts (by text hash, so copies stay together) is held out of training;
 the thresholds come from it. A document's mean negative log likelihood is drawn towards its language's median by
 ``SHRINK`` characters (short texts say little). It is rejected above the language's threshold:
-the ``QUANTILE`` of the trusted documents plus ``SLACK`` times that quantile's distance from the
-median. Languages with fewer than ``MIN_TRUSTED`` of them use the thresholds of all.
+the ``QUANTILE`` of the held-out documents (plus ``SLACK`` times that quantile's distance from the
+median). A language with too few of them to have that quantile adds to its median the quantile of
+all languages' distances from their medians; with fewer than ``MIN_TRUSTED`` it uses the threshold of all.
+
+Repeated words are likely to the model, so a second measure has a lower limit: the share of fresh
+characters, whose n-gram of the highest order does not occur in the ``SPAN`` characters before, drawn
+towards its median likewise. It needs no training, so the limit is the ``LOW`` quantile of all
+trusted documents of the language, or of all languages if it has too few (no limit with fewer than
+``MIN_TRUSTED`` in all).
 
 Defined results: NULL or empty text has nothing against it (0 tokens, kept); a NULL language is
 judged by the thresholds of all; without any trusted text everything is kept; repeated rows
@@ -37,12 +44,15 @@ from tripsense.llm.segments import mix64, slices
 from tripsense.session import materialize
 
 ORDER = 5
-QUANTILE = 0.999
-SLACK = 0.5
+QUANTILE = 0.99
+SLACK = 0.0
+LOW = 0.0025
+SPAN = 256
 SHRINK = 64.0
 MIN_TRUSTED = 30
 HOLD_OUT = 5
 _KEPT_BY_TASK = 2_000_000
+_SORTED_AT_ONCE = 1 << 18
 _KEY_BYTES = 6
 _PAD = "\x02"
 _MULTIPLIERS = mix64(np.arange(1, 2 * ORDER + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -93,6 +103,24 @@ def padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, own, per
 
 
+def fresh_characters(hashes: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """How many positions of every text have an n-gram that its ``SPAN`` positions before have not.
+
+    ``hashes``: of the n-grams ending at the positions; ``per``: positions a text.
+    """
+    text = np.repeat(np.arange(len(per), dtype=np.int32), per)
+    fresh = per.astype(np.int64)
+    for begin in range(0, len(hashes), _SORTED_AT_ONCE):
+        first = max(0, begin - SPAN)
+        h = hashes[first:begin + _SORTED_AT_ONCE]
+        order = np.argsort(h, kind="stable")
+        before, at = order[:-1], order[1:]
+        again = at[(h[before] == h[at]) & (at - before <= SPAN)
+                   & (text[first + before] == text[first + at]) & (first + at >= begin)]
+        fresh -= np.bincount(text[first + again], minlength=len(per))
+    return fresh
+
+
 def _strings(codes: np.ndarray) -> list[str]:
     n = codes.shape[1]
     whole = np.ascontiguousarray(codes, np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
@@ -286,19 +314,21 @@ class _Scorer:
                 back[open_] += np.nan_to_num(self._find(rows[open_, ORDER - n:ORDER - 1], self.logb))
         return np.where(np.isnan(out), back + self.unseen, out)
 
-    def documents(self, texts: list[str]) -> np.ndarray:
-        """Sum of the log probabilities of every text's characters."""
+    def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the log probabilities of every text's characters, and how many of them are fresh."""
         codes, own, per = padded(texts)
         if not len(own):
-            return np.zeros(len(texts))
-        value = self.value[self.position(_window_hash(codes, own, ORDER))]
+            return np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        hashes = _window_hash(codes, own, ORDER)
+        fresh = fresh_characters(hashes, per)
+        value = self.value[self.position(hashes)]
         run = np.concatenate([[0.0], np.cumsum(value)])
         edge = np.concatenate([[0], np.cumsum(per)])
-        return run[edge[1:]] - run[edge[:-1]]
+        return run[edge[1:]] - run[edge[:-1]], fresh
 
 
 def log_likelihoods(docs: DataFrame, model: DataFrame, unseen: float, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Per row: ``_id``, ``_lang``, ``_held``, ``_n`` characters and ``_ll`` their log likelihood."""
+    """Per row: ``_id``, ``_lang``, ``_held``, ``_n`` characters, ``_ll`` their log likelihood and ``_fresh`` how many are fresh."""
     n_blocks = block_count(docs, text_col)
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     rows = rows.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(n_blocks)).cast("int").alias("block"), "_id", "_text", "_lang",
@@ -315,13 +345,15 @@ def log_likelihoods(docs: DataFrame, model: DataFrame, unseen: float, id_col: st
         ids, texts, langs, held = unpack(left, 4)
         scorer = _Scorer(texts, right, n_blocks, unseen)
         parts = [scorer.documents(texts[a:b]) for a, b in slices(texts)]
-        arrow = pa.schema([("_id", id_arrow), ("_lang", pa.string()), ("_held", pa.bool_()), ("_n", pa.int64()), ("_ll", pa.float64())])
-        return pa.table([ids, langs, held, [len(t) for t in texts], np.concatenate(parts) if parts else []], schema=arrow)
+        arrow = pa.schema([("_id", id_arrow), ("_lang", pa.string()), ("_held", pa.bool_()), ("_n", pa.int64()), ("_ll", pa.float64()),
+                           ("_fresh", pa.int64())])
+        sums = [np.concatenate(x) for x in zip(*parts)] if parts else [[], []]
+        return pa.table([ids, langs, held, [len(t) for t in texts], *sums], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_type
     id_arrow = to_arrow_type(docs.schema[id_col].dataType)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        score, f"_id {id_type}, _lang string, _held boolean, _n bigint, _ll double")
+        score, f"_id {id_type}, _lang string, _held boolean, _n bigint, _ll double, _fresh bigint")
 
 
 def held_out(text_col: str):
@@ -336,35 +368,51 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             quantile: float = QUANTILE, slack: float = SLACK, shrink: float = SHRINK, min_trusted: int = MIN_TRUSTED) -> DataFrame:
+             quantile: float = QUANTILE, slack: float = SLACK, shrink: float = SHRINK, min_trusted: int = MIN_TRUSTED,
+             low: float = LOW) -> DataFrame:
     """Per document: id, language, ``n_tokens``, ``perplexity``, ``score`` (shrunk mean negative log
-    likelihood), ``threshold`` and ``kept``. ``trusted``: ids of documents whose text is good."""
+    likelihood), ``threshold``, ``freshness`` (shrunk share of fresh characters), ``floor`` and ``kept``.
+    ``trusted``: ids of documents whose text is good."""
     train = trusted_texts(docs, trusted, id_col).filter(~held_out(text_col))
     model, unseen = kneser_ney(materialize(count_ngrams(train, text_col)))
     scored = materialize(log_likelihoods(docs, model, unseen, id_col, text_col, lang_col))
     mean = F.when(F.col("_n") > 0, -F.col("_ll") / F.col("_n"))
     scored = scored.withColumn("_mean", mean)
-    known = trusted_texts(scored.withColumnRenamed("_id", id_col), trusted, id_col).filter("_held AND _mean IS NOT NULL")
+    good = trusted_texts(scored.withColumnRenamed("_id", id_col), trusted, id_col).filter("_mean IS NOT NULL")
+    known = good.filter("_held")
     middle = F.percentile_approx("_mean", 0.5, 10000)
     # one row a language; quantile sketches are merged, no group is gathered
     medians = known.groupBy("_lang").agg(middle.alias("median"), F.count(F.lit(1)).alias("docs"))
     all_median = known.agg(middle).first()[0]
-    medians = materialize(medians.filter((F.col("docs") >= min_trusted) & F.col("_lang").isNotNull()).select("_lang", "median"))
-    by_lang = broadcast_if_small(medians, row_bytes=64)   # else one language's rows would meet in a task
+    medians = materialize(medians.filter((F.col("docs") >= min_trusted) & F.col("_lang").isNotNull()).select("_lang", "median", "docs"))
+    by_lang = broadcast_if_small(medians.drop("docs"), row_bytes=64)   # else one language's rows would meet in a task
     drawn = lambda df: (df.join(by_lang, "_lang", "left").withColumn(
         "_score", (-F.col("_ll") + F.lit(shrink) * F.coalesce("median", F.lit(all_median))) / (F.col("_n") + F.lit(shrink))))
-    high = F.percentile_approx("_score", quantile, 100000)
-    top_all = drawn(known).agg(high).first()[0]
-    tops = drawn(known).groupBy("_lang").agg(high.alias("top"))
+    high = lambda x: F.percentile_approx(x, quantile, 100000)
+    beyond = F.col("_score") - F.coalesce("median", F.lit(all_median))
+    top_all, beyond_all = drawn(known).agg(high("_score"), high(beyond)).first()
+    tops = drawn(known).groupBy("_lang").agg(high("_score").alias("own"))
+    own = F.col("docs") * F.lit(1 - quantile) >= F.lit(1 - 1e-9)       # else the quantile is the language's largest value
+    tops = medians.join(tops, "_lang").select(
+        "_lang", "median", F.when(own, F.col("own")).otherwise(F.col("median") + F.lit(beyond_all).cast("double")).alias("top"))
+    usual, n_good = good.agg(F.percentile_approx(F.col("_fresh") / F.col("_n"), 0.5, 10000), F.count(F.lit(1))).first()
+    freshness = (F.col("_fresh") + F.lit(shrink) * F.lit(usual)) / (F.col("_n") + F.lit(shrink))
+    least = F.percentile_approx("_share", low, 100000)
+    shares = good.withColumn("_share", freshness)
+    floor_all = shares.agg(least).first()[0] if n_good >= min_trusted else None
+    floors = (shares.filter(F.col("_lang").isNotNull()).groupBy("_lang").agg(least.alias("floor"), F.count(F.lit(1)).alias("docs"))
+              .filter(F.col("docs") * F.lit(low) >= F.lit(1 - 1e-9)).drop("docs"))
     level = lambda q, m: q + F.lit(slack) * (q - m)
-    tops = broadcast_if_small(materialize(medians.join(tops, "_lang").select("_lang", "top")), row_bytes=64)
-    out = drawn(scored).join(tops, "_lang", "left")
-    threshold = F.when(F.col("top").isNotNull(), level(F.col("top"), F.col("median"))).otherwise(
-        level(F.lit(top_all).cast("double"), F.lit(all_median).cast("double")))
-    return (out.withColumn("threshold", threshold)
-            .select(F.col("_id").alias(id_col), F.col("_lang").alias(lang_col), F.col("_n").alias("n_tokens"),
-                    F.exp("_mean").alias("perplexity"), F.col("_score").alias("score"), "threshold",
-                    F.coalesce(F.col("_score") <= F.col("threshold"), F.lit(True)).alias("kept")))
+    limits = tops.select("_lang", level(F.col("top"), F.col("median")).alias("top")).join(floors, "_lang", "full")
+    limits = broadcast_if_small(materialize(limits), row_bytes=64)
+    out = drawn(scored).join(limits, "_lang", "left")
+    threshold = F.coalesce("top", level(F.lit(top_all).cast("double"), F.lit(all_median).cast("double")))
+    out = out.withColumns({"threshold": threshold, "freshness": freshness.cast("double"),
+                           "floor": F.coalesce("floor", F.lit(floor_all).cast("double"))})
+    return out.select(F.col("_id").alias(id_col), F.col("_lang").alias(lang_col), F.col("_n").alias("n_tokens"),
+                      F.exp("_mean").alias("perplexity"), F.col("_score").alias("score"), "threshold", "freshness", "floor",
+                      (F.coalesce(F.col("_score") <= F.col("threshold"), F.lit(True))
+                       & F.coalesce(F.col("freshness") >= F.col("floor"), F.lit(True))).alias("kept"))
 
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
