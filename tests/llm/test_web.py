@@ -32,6 +32,29 @@ def test_broken_and_plain_pages(page, text):
     assert H.extract(page, ZERO) == text
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "elementor-widget-container", "has-sidebar", "no-sidebar", "tags-politics",
+                                  "legal-news", "sidebar", "widget comments"])
+@pytest.mark.parametrize("tag", ["article", "main", 'div role="main"'])
+def test_landmark_outweighs_words_of_an_outer_wrapper(name, tag):
+    page = (f'<nav><a href=x>Home</a></nav><div class="{name}"><div id=w><{tag}><h1>Title</h1><p>First text.<div class="ad">Buy!</div>'
+            f'<p>Second.</{tag.split()[0]}></div><div class="sidebar">Side</div></div><footer>f</footer>')
+    assert H.extract(page, ZERO) == "Title\n\nFirst text.\n\nSecond."
+
+
+def test_text_outweighs_vague_words_but_not_hiding():
+    likely = [0.0] * H.N_FEATURES + [2.0]                 # every text looks like content
+    for name in ("content-sidebar-wrap", "elementor-widget-container", "legal-news", "no-sidebar"):
+        page = f'<nav>n</nav><div class="{name}"><p>One.<p>Two.</div><footer>f</footer>'
+        assert H.extract(page, likely) == "One.\n\nTwo."
+        inner = f'<article><div class="{name}"><p>One.<p>Two.</div></article><footer>f</footer>'
+        assert H.extract(inner, ZERO) == "One.\n\nTwo."
+    most = [0.0] * H.N_FEATURES + [3.0]                   # text and both neighbours overrule a word
+    assert H.extract('<article><p>One.<p>Two.<div class="promo">Three.</div><p>Four.<p>Five.</article>', most).count("\n\n") == 4
+    for outer in ("<div hidden>", "<aside>", "<footer>", '<div style="display:none">'):
+        assert H.extract(f"{outer}<article><p>One.</article>", most) == ""
+    assert H.extract('<article><p>One.<section class="post-comments"><p>C1.<p>C2.</section></article>', likely) == "One."
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(150):

@@ -8,7 +8,8 @@ whose common ancestor is far up). The minimum cut, found by augmenting paths, la
 blocks of a page at once.
 
 The classifier has two parts: the landmarks of a block's ancestors (``nav``, ``footer``,
-``article`` ..., roles, class and id words; a fixed prior), and a logistic regression on
+``article`` ..., roles, class and id words; a fixed prior; words give way to an ``article`` or ``main``
+nearer to the block, and to what text and neighbours say), and a logistic regression on
 what the text itself shows (length, link density, punctuation, place), trained on the
 blocks with clear landmarks of about ``fit_pages`` pages (twice as many at most; those whose hash
 of the html is smallest). The sample only fits these few weights; every page is labelled whole.
@@ -55,12 +56,23 @@ _TAG_ODDS = {"nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -
              "article": 5.0, "main": 4.0, "figcaption": -0.5, "fieldset": -6.0}
 _ROLE_ODDS = {"navigation": -8.0, "banner": -6.0, "contentinfo": -8.0, "complementary": -8.0, "search": -8.0, "form": -8.0,
               "dialog": -8.0, "alert": -8.0, "alertdialog": -8.0, "menu": -8.0, "menubar": -8.0, "main": 4.0, "article": 5.0}
+#: odds of article and main, as tag or role, are this at least
+_LANDMARK = 4.0
 _BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar "
     "navigation menu breadcrumb breadcrumbs pagination pager sidebar widget widgets rail aside footer foot masthead topbar "
     "toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist respond reply replies disqus discussion share sharing social related recommend recommended "
     "recommendations trending popular tags copyright legal disclaimer hidden paywall toc".split())
+#: of these a name of several words may be a page's layout or subject (content-sidebar-wrap, legal-news)
+_VAGUE_WORDS = frozenset(
+    "sidebar widget widgets rail aside footer foot nav menu banner promo promotion toolbar notice notices alert overlay hidden toc "
+    "subscribe subscription respond reply replies discussion share sharing social related recommend recommended recommendations "
+    "trending popular tags copyright legal disclaimer login signup sponsor sponsored".split())
+#: first words of names of a page's state (has-sidebar)
+_STATE_WORDS = frozenset("has no with without".split())
+#: log odds of a class or id word; of a vague one in a name of several words outside and inside of article or main
+_WORD_ODDS, _VAGUE_ODDS, _VAGUE_INSIDE = -5.0, -1.5, 1.0
 _GOOD_WORDS = frozenset("article content main post entry story body text".split())
 _LINK, _SAME_PARENT, _FAR = 0.5, 1.0, 4.0
 
@@ -72,9 +84,25 @@ class Block:
         self.text, self.links, self.path, self.odds, self.marked, self.heading = text, links, path, odds, marked, heading
 
 
-def _element(tag: str, raw: str, inside: bool) -> tuple[float, float]:
-    """(most negative, most positive) log odds of an element by its tag, role, class and id."""
-    low = high = 0.0
+def _name_odds(value: str) -> tuple[float, bool]:
+    """(log odds, whether vague) of the bad words of a class or id."""
+    odds, vague = 0.0, False
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        bad = _BAD_WORDS.intersection(words)
+        if not bad or words[0] in _STATE_WORDS:
+            continue
+        if bad <= _VAGUE_WORDS and not _BAD_WORDS.issuperset(words):
+            vague = True
+        else:
+            odds = _WORD_ODDS
+    return odds, vague
+
+
+def _element(tag: str, raw: str, inside: bool) -> tuple[float, float, bool, float]:
+    """Log odds of an element: the most negative by tag, role or hiding; by words; whether words are vague; the most positive."""
+    low = high = word = 0.0
+    vague = False
     odds = _TAG_ODDS.get(tag, 0.0)
     if tag == "header" and inside:
         odds = 0.0                                        # the header of an article holds its title
@@ -85,9 +113,10 @@ def _element(tag: str, raw: str, inside: bool) -> tuple[float, float]:
             if name in ("class", "id"):
                 words = {w.lower() for w in _WORD.findall(value)}
                 if words & _BAD_WORDS and tag not in ("html", "body", "article", "main"):
-                    low = min(low, -8.0)
+                    odds, maybe = _name_odds(value)
+                    word, vague = min(word, odds), vague or maybe
                 elif tag == "article" and words & {"comment", "comments", "ad", "advert", "promo"}:
-                    low = min(low, -8.0)
+                    word = _WORD_ODDS
                 if words & _GOOD_WORDS:
                     high = max(high, 2.0)
             elif name == "role":
@@ -96,14 +125,31 @@ def _element(tag: str, raw: str, inside: bool) -> tuple[float, float]:
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(
                     r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 low = min(low, -8.0)
-    return low, high
+    return low, word, vague, high
+
+
+def _below(outer: tuple[float, float, bool, float], own: tuple[float, float, bool, float]) -> tuple[float, float, bool, float]:
+    """The odds down to an element: a positive landmark ends the words of what it lies in."""
+    low, word, vague, high = outer
+    if own[3] >= _LANDMARK and not own[1]:
+        word, vague = 0.0, False
+    return min(low, own[0]), min(word, own[1]), vague or own[2], max(high, own[3])
+
+
+def _prior(low: float, word: float, vague: bool, high: float) -> tuple[float, bool]:
+    """Log odds of a block and whether a clear landmark gives them."""
+    if low or word:
+        return low or word, True
+    if vague:
+        return _VAGUE_INSIDE if high >= _LANDMARK else _VAGUE_ODDS, False
+    return high, bool(high)
 
 
 def parse_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with link share, DOM path and landmark odds."""
     blocks: list[Block] = []
-    # an open element: tag, number, lowest and highest odds down to it, dropped, inside a link, inside article or main
-    stack = [("", 0, 0.0, 0.0, False, False, False)]
+    # an open element: tag, number, odds down to it, dropped, inside a link, inside article or main
+    stack = [("", 0, (0.0, 0.0, False, 0.0), False, False, False)]
     parts: list[str] = []
     linked = number = 0
 
@@ -112,21 +158,21 @@ def parse_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                low, high = stack[-1][2], stack[-1][3]
+                odds, marked = _prior(*stack[-1][2])
                 path = tuple(e[1] for e in stack if e[0] in _BLOCK)
                 heading = any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in stack[-4:])
-                blocks.append(Block(text, min(1.0, linked / len(text)), path, low if low else high, bool(low or high), heading))
+                blocks.append(Block(text, min(1.0, linked / len(text)), path, odds, marked, heading))
             parts.clear()
             linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
         top = stack[-1]
-        if not top[4] and text:
+        if not top[3] and text:
             if "&" in text:
                 text = _html.unescape(text)
             parts.append(text)
-            if top[5]:
+            if top[4]:
                 linked += len(text.strip())
 
     at, end = 0, len(page)
@@ -165,10 +211,9 @@ def parse_blocks(page: str) -> list[Block]:
             del stack[1:]
         if tag in _VOID or raw.endswith("/"):
             continue
-        _, _, low, high, dropped, link, inside = stack[-1]
+        _, _, odds, dropped, link, inside = stack[-1]
         number += 1
-        a, b = _element(tag, raw, inside)
-        stack.append((tag, number, min(low, a), max(high, b), dropped or tag in _DROPPED, link or tag == "a",
+        stack.append((tag, number, _below(odds, _element(tag, raw, inside)), dropped or tag in _DROPPED, link or tag == "a",
                       inside or tag in ("article", "main")))
     flush()
     return blocks
