@@ -115,6 +115,26 @@ def test_signatures_follow_the_anchors(spark):
     assert len({tuple(r["s"]) for r in rows}) == len({frozenset(brute_signatures(t)) or t for t in texts})
 
 
+def test_texts_without_anchors_count_whole(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("kqxzwv") for _ in range(6))
+    body, other, few = [word() for _ in range(600)], [word() for _ in range(600)], [word() for _ in range(9)]
+    at = body[:300] + ["the"] + body[300:]
+    texts = [" ".join(x) for x in (["ab", "cd", *body], ["ab", "cd", *other], ["ef", "gh", "ij", *body], ["ab", "cd", *at],
+                                   ["ab", "cd", *few], ["ab", "cd", *few[:-1], "kk"], [word() for _ in range(60_000)])]
+    s = {r["doc_id"]: set(r["signatures"]) for r in spot_signatures.fingerprints(documents(spark, texts)).collect()}
+    like = lambda a, b: len(s[a] & s[b]) / len(s[a] | s[b])
+    assert len(s[0]) == 601 and like(0, 1) < 0.01 and like(0, 2) > 0.98 and like(0, 3) > 0.95
+    assert len(s[4]) == 10 and 0.7 < like(4, 5) < 1 and len(s[6]) > 59_000
+    pairs, members = spot_signatures.near_duplicates(documents(spark, texts))
+    assert {(r["left_id"], r["right_id"]) for r in pairs.collect()} == {(0, 2), (0, 3), (2, 3), (4, 5)}
+    assert len({r["class_id"] for r in members.collect()}) == 7
+    # as many words between anchors as start no chains, and one more
+    run = lambda n: "the " + " ".join(f"k{k}" for k in range(n + 1)) + " the end"
+    few_rows = spot_signatures.fingerprints(documents(spark, [run(spot_signatures.SPARSE - 1), run(spot_signatures.SPARSE)])).collect()
+    assert [len(r["signatures"]) for r in sorted(few_rows, key=lambda r: r["doc_id"])] == [2, 2 + spot_signatures.SPARSE]
+
+
 @pytest.mark.parametrize("n,partitions", [(1, 4), (2, 4), (60, 4), (60, 1), (23, 16)])
 def test_neighbours_and_likeness(spark, n, partitions):
     texts = (EDGE + near_copies(6))[:n]

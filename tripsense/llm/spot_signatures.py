@@ -2,8 +2,9 @@
 
 A spot signature is a chain of up to ``CHAIN`` content words that follows an anchor, that is
 one of the most common function words (or the start of the text) before a content word;
-function words inside the chain are skipped. The fingerprint of a text is the sorted set of its signatures' 32-bit
-hashes. Two fingerprints are compared by Jaccard likeness; :func:`near_duplicates` partitions
+function words inside the chain are skipped. Where the fixed function words do not reach, that is in
+stretches of ``SPARSE`` words or more without one and in texts without any, every word starts a chain.
+The fingerprint of a text is the sorted set of its signatures' 32-bit hashes. Two fingerprints are compared by Jaccard likeness; :func:`near_duplicates` partitions
 them by set length, so that only sets whose lengths allow the threshold meet, and prunes by
 length before the sets are intersected.
 
@@ -34,14 +35,19 @@ ANCHORS = tuple(dict.fromkeys(
     "le la les de et en un une du est que pour dans qui par sur au pas "
     "el los las y del por con para es se no su al una".split()))
 CHAIN = 2
+#: this many words without an anchor are a stretch where every word is one
+SPARSE = 16
 THRESHOLD = 0.75
 _START = "^"
+_ANY = "*"
 
 
 #: joins a function word to what follows it, so that a run of them and its content word are one token
 _TIE = "\x01"
 _ANCHOR = rf"(?<= )(\^|{'|'.join(ANCHORS)}) "
 _CHAIN = rf"(?<=[ {_TIE}])(?=([^ {_TIE}]++{_TIE}[^ {_TIE}]++ (?:[^ ]++ ){{0,{CHAIN - 1}}}))"
+#: a word of a stretch of untied ones of some length, if another word follows; later words go on where the last match ended
+_UNTIED = rf"(?:\G|(?=(?: [^ {_TIE}]++){{%d}} )) ([^ {_TIE}]++)(?= [^ ])"
 _INNER = rf"(?<=[ {_TIE}])[^ {_TIE}\n]++{_TIE}"
 
 
@@ -53,6 +59,9 @@ def signatures(text: Column) -> Column:
     """
     words = F.concat(F.lit(f" {_START} "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     tied = F.regexp_replace(words, _ANCHOR, f"$1{_TIE}")
+    anchored = F.locate(_TIE, tied, len(_START) + 3) > 0   # by more than the start
+    every = lambda least: F.regexp_replace(tied, _UNTIED % least, f" {_ANY}{_TIE}$1")
+    tied = F.when(anchored, every(SPARSE)).otherwise(every(1))
     chains = F.array_join(F.regexp_extract_all(tied, F.lit(_CHAIN), F.lit(1)), "\n")
     clean = F.regexp_replace(chains, _INNER, "")
     hashes = F.transform(F.split(clean, "\n"), lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))
