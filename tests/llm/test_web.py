@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,29 @@ def test_salvage(packed):
     assert found(b"") == ([], []) and found(b"no archive at all") == ([], [(0, 17)])
 
 
+def test_salvage_of_members_of_many_records():
+    parts = records(200)
+    ids = [f"<urn:page:{k}>" for k in range(200)]
+    bad = bytearray(parts[2])
+    bad[len(bad) // 2] ^= 0x55
+    first, last = warc.member(b"".join(parts[:3])), warc.member(records(201)[200])
+    one = warc.member(b"".join([*parts[:2], bytes(bad), *parts[3:]]))         # a bad record inside an intact member
+    got, gaps = found(first + one + last)
+    assert got == ids[:3] + ids[:2] + ids[3:] + ["<urn:page:200>"] and gaps == [(len(first), len(one))]
+    whole = warc.member(b"".join(parts))
+    wrong_crc = whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:]
+    got, gaps = found(first + wrong_crc + last)
+    assert got == ids[:3] + ids + ["<urn:page:200>"] and gaps == [(len(first), len(whole))]
+    cut = whole[:-len(whole) // 4]                                            # a cut tail loses the records in the tail only
+    for after in (b"", last):
+        got, gaps = found(first + cut + after)
+        n = len(got) - 3 - bool(after)
+        assert 100 < n < 200 and got[:3 + n] == ids[:3] + ids[:n] and gaps == [(len(first), len(cut))]
+    packer = zlib.compressobj(0, zlib.DEFLATED, 31)                           # stored: version lines in the archive's own bytes
+    stored = packer.compress(b"".join(parts[:9])) + packer.flush()
+    assert found(stored[:-5])[0] == ids[:9]
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("record_type", F.lit("clash"))
 

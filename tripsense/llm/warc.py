@@ -7,8 +7,8 @@ the record with the largest id is the response and the others are revisits that
 
 Reading. Archives are read as binary files, one a row. Each record is checked: member checksum,
 version line, header block, content length, block digest, payload digest and the closing blank
-lines. After a failed check the reader searches the next gzip member or version line that starts
-a valid record, goes on there and logs the bytes between as a quarantined gap.
+lines. After a failed check the reader searches the next gzip member or version line (also inside a
+member) that starts a valid record, goes on there and logs the bytes between as a quarantined gap.
 
 Defined results: NULL payload counts as empty; NULL ids are kept (as records without a number)
 but are never referred to while another copy has an id; rows that repeat the largest id are all
@@ -123,8 +123,11 @@ def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
     return head, block, end + 4
 
 
-def read_member(data: memoryview, at: int, size: int = 1 << 16) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``, read in pieces."""
+def read_member(data: memoryview, at: int, size: int = 1 << 16) -> tuple[bytes, int, str]:
+    """Content and end of the gzip member at ``at``, read in pieces, and what is wrong with it (empty: nothing).
+
+    A damaged member gives what it holds before its error, and the place of the error.
+    """
     unpacker, out, pos = zlib.decompressobj(31), [], at
     try:
         while not unpacker.eof and pos < len(data):
@@ -132,42 +135,81 @@ def read_member(data: memoryview, at: int, size: int = 1 << 16) -> tuple[bytes,
             out.append(unpacker.decompress(piece))
             pos += len(piece)
     except zlib.error as e:
-        raise _Bad(f"gzip member: {e}") from None
+        unpacker = zlib.decompressobj(31)                 # again, the failed piece byte by byte
+        out = [unpacker.decompress(data[at:pos])]
+        try:
+            while True:
+                out.append(unpacker.decompress(data[pos:pos + 1]))
+                pos += 1
+        except zlib.error:
+            return b"".join(out), pos, f"gzip member: {e}"
     if not unpacker.eof:
-        raise _Bad("gzip member is cut off")
-    return b"".join(out), pos - len(unpacker.unused_data)
+        return b"".join(out), pos, "gzip member is cut off"
+    return b"".join(out), pos - len(unpacker.unused_data), ""
+
+
+def member_records(plain: bytes) -> tuple[list[tuple[dict, bytes, int, int]], list[tuple[int, int, str]]]:
+    """Valid records of a member's content ``(header, block, from, to)`` and the gaps ``(from, to, reason)`` between."""
+    found, gaps, pos, bad_from, reason = [], [], 0, None, ""
+    while pos < len(plain):
+        try:
+            head, block, stop = parse_record(plain, pos)
+        except _Bad as e:
+            if bad_from is None:
+                bad_from, reason = pos, str(e)
+            m = _VERSION.search(plain, pos + 1)
+            pos = m.start() if m else len(plain)
+            continue
+        if bad_from is not None:
+            gaps.append((bad_from, pos, reason))
+            bad_from = None
+        found.append((head, block, pos, stop))
+        pos = stop
+    if bad_from is not None:
+        gaps.append((bad_from, len(plain), reason))
+    return found, gaps
 
 
 def salvage(data: bytes):
     """All valid records of an archive and its gaps: ``("record", offset, length, header, block)`` and
-    ``("gap", offset, length, reason)``, in order."""
+    ``("gap", offset, length, reason)``, in order.
+
+    Gaps inside an intact member have the member's offset and length. Of a damaged member (cut off, or its
+    checksum differs) the records with a block digest are kept; a record alone in its member stands or
+    falls with the member. The length of records of a damaged member is 0.
+    """
     view, at, end = memoryview(data), 0, len(data)
     bad_from, reason = None, ""
     while at < end:
-        found = []
-        try:
-            if data.startswith(_MEMBER, at):
-                plain, stop = read_member(view, at)
-                pos = 0
-                while pos < len(plain):
-                    head, block, pos = parse_record(plain, pos)
-                    found.append((head, block))
-            else:
+        found, gaps, wrong, search = [], [], "", at + 1
+        if data.startswith(_MEMBER, at):
+            plain, stop, wrong = read_member(view, at)
+            found, gaps = member_records(plain)
+            if wrong:
+                alone = len(found) == 1 and not found[0][2] and not plain.startswith(b"WARC/", found[0][3])
+                found = [] if alone else [x for x in found if "warc-block-digest" in x[0]]
+                search = stop if found else search        # stored bytes are not read twice
+        else:
+            try:
                 head, block, stop = parse_record(data, at)
-                found.append((head, block))
-        except _Bad as e:
-            for head, block in found:                     # records of a member before the damaged one
+                found.append((head, block, at, stop))
+            except _Bad as e:
+                wrong = str(e)
+        if wrong:
+            for head, block, *_ in found:
                 yield "record", at, 0, head, block
             if bad_from is None:
-                bad_from, reason = at, str(e)
-            nexts = [x for x in (data.find(_MEMBER, at + 1), getattr(_VERSION.search(data, at + 1), "start", lambda: -1)()) if x >= 0]
+                bad_from, reason = at, wrong
+            nexts = [x for x in (data.find(_MEMBER, at + 1), getattr(_VERSION.search(data, search), "start", lambda: -1)()) if x >= 0]
             at = min(nexts, default=end)
             continue
         if bad_from is not None:
             yield "gap", bad_from, at - bad_from, reason, b""
             bad_from = None
-        for head, block in found:
+        for head, block, *_ in found:
             yield "record", at, stop - at, head, block
+        for a, b, why in gaps:
+            yield "gap", at, stop - at, f"{why} (bytes {a} to {b} of the member's content)", b""
         at = stop
     if bad_from is not None:
         yield "gap", bad_from, end - bad_from, reason, b""
