@@ -56,6 +56,72 @@ def test_text_outweighs_vague_words_but_not_hiding():
     assert H.extract('<article><p>One.<section class="post-comments"><p>C1.<p>C2.</section></article>', likely) == "One."
 
 
+LIKELY = [0.0] * H.N_FEATURES + [2.0]                     # every text looks like content
+STORY = "<h1>Title</h1><p>The first paragraph of the story is long enough to be the main text.<p>And so is the second one."
+STORY_TEXT = "Title\n\nThe first paragraph of the story is long enough to be the main text.\n\nAnd so is the second one."
+
+
+@pytest.mark.parametrize("weights", [ZERO, LIKELY])
+@pytest.mark.parametrize("outside", [False, True])
+@pytest.mark.parametrize("wrapper", ["<section id=comments>", "<section class='comments'>", "<div class='related-posts'>", "<div class='sidebar'>",
+                                     "<div class='post-comments' id=x><ol>", "<ul class='latest-promo'>", "<aside>", "<div role=complementary>"])
+def test_nested_articles_are_comments_or_teasers(weights, wrapper, outside):
+    other = wrapper + "<article><h2>Anna</h2><p>A reader says, at some length, what it is all about.</article>" * 3 + "</" + re.match(r"<(\w+)", wrapper)[1] + ">"
+    page = f"<nav>n</nav><article>{STORY}" + ("</article>" + other if outside else other + "</article>") + "<footer>f</footer>"
+    assert H.extract(page, weights) == STORY_TEXT
+    page = f"<main><article>{STORY}" + ("</article>" + other if outside else other + "</article>") + "</main>"
+    assert H.extract(page, weights) == STORY_TEXT
+
+
+@pytest.mark.parametrize("weights", [ZERO, LIKELY])
+def test_a_smaller_landmark_ends_no_words(weights):
+    page = f"<main>{STORY}</main><div class='elementor-widget-wrap'><article>Read next: a teaser.</article></div>"
+    assert H.extract(page, weights) == STORY_TEXT
+    page = f"<div class='elementor-widget-wrap'><main>{STORY}</main></div><article class='comment'>I agree.</article>"
+    assert H.extract(page, weights) == STORY_TEXT
+    page = f"<article>{STORY}</article><article>The page has another part.</article>"
+    assert H.extract(page, weights) == STORY_TEXT + "\n\nThe page has another part."
+    comments = "<div class=comments>" + "<article><p>Much longer than the rest, this reader's comment is.</article>" * 9 + "</div>"
+    assert "reader" not in H.extract(f"<div>{STORY}</div>{comments}", weights)
+
+
+def test_formulas_and_labels_are_text():
+    page = ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>x=1</annotation></math> hold."
+            "<p><label>Figure 1</label> shows it.<form><label>Mail</label></form></article>")
+    assert H.extract(page, ZERO) == "Let x=1 hold.\n\nFigure 1 shows it."
+
+
+def hand_labelled(rng):
+    """A page put together from labelled pieces, and its main text."""
+    sentence = lambda k: " ".join(rng.choice("river stone winter market letter garden signal harbour".split()) for _ in range(k)).capitalize() + "."
+    body, text = [], []
+    for k in range(rng.randint(2, 6)):
+        tag = rng.choice(["p", "p", "p", "h2", "blockquote", "li", "pre"])
+        s = sentence(3 if tag == "h2" else rng.randint(8, 30))
+        body.append(f"<{tag}>{s}</{tag}>")
+        text.append(s)
+        if rng.random() < 0.3:
+            body.append(rng.choice([f"<div class='ad'>{sentence(5)}</div>", f"<aside>{sentence(6)}</aside>", f"<script>{sentence(4)}</script>",
+                                    f"<form>{sentence(3)}</form>", f"<div class='share-buttons social'><a href=x>{sentence(2)}</a></div>"]))
+    reader = lambda: f"<article><h3>{sentence(1)}</h3><p>{sentence(rng.randint(3, 12))}</p></article>"
+    comments = f"<{rng.choice(['section', 'div'])} {rng.choice(['id', 'class'])}='{rng.choice(['comments', 'comment-list', 'disqus'])}'>" + reader() * rng.randint(1, 4)
+    related = f"<div class='{rng.choice(['related-posts', 'recommended', 'sidebar'])}'>" + reader() * rng.randint(1, 3) + "</div>"
+    tag = rng.choice(["article", "main"])
+    inside = rng.random() < 0.5
+    core = f"<{tag}>{''.join(body)}{comments + '</section></div>' if inside else ''}</{tag}>{'' if inside else comments + '</section></div>'}"
+    wrap = rng.choice(["{}", "<div class='content-sidebar-wrap'>{}</div>", "<div class='elementor-widget-container'>{}</div>", "<div id=page>{}</div>"])
+    page = f"<header>{sentence(2)}</header><nav><a href=a>{sentence(1)}</a></nav>{wrap.format(core)}{related}<footer>{sentence(4)}</footer>"
+    return page, "\n\n".join(text)
+
+
+def test_pages_of_labelled_pieces():
+    rng = random.Random(8)
+    for _ in range(300):
+        page, text = hand_labelled(rng)
+        assert H.extract(page, ZERO) == text, page
+        assert H.extract(page, [0.0] * H.N_FEATURES + [1.0]) == text, page
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(150):

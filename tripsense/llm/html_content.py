@@ -8,12 +8,17 @@ whose common ancestor is far up). The minimum cut, found by augmenting paths, la
 blocks of a page at once.
 
 The classifier has two parts: the landmarks of a block's ancestors (``nav``, ``footer``,
-``article`` ..., roles, class and id words; a fixed prior; words give way to an ``article`` or ``main``
-nearer to the block, and to what text and neighbours say), and a logistic regression on
+``article`` ..., roles, class and id words; a fixed prior; what text and neighbours say can overrule words), and a logistic
+regression on
 what the text itself shows (length, link density, punctuation, place), trained on the
 blocks with clear landmarks of about ``fit_pages`` pages (twice as many at most; those whose hash
 of the html is smallest). The sample only fits these few weights; every page is labelled whole.
 
+One landmark of a page is its main one: of the ``article`` and ``main`` elements that lie in no other one, that
+with the most text. It alone ends the class and id words of what it lies in (page layouts have names like
+``content-sidebar-wrap``). Nested ones mark reader comments and teasers as often as articles, so they end nothing; below
+a vague word they, and all other landmarks, count as what the word says.
+
 Defined results: NULL or empty html gives an empty text; unclosed, stray and cut-off tags
 are accepted; a page without landmarks is judged by the text features alone; an empty table gives an
 empty result; repeated rows repeat their result.
@@ -25,6 +30,7 @@ import html as _html
 import math
 import re
 from collections import deque
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +45,8 @@ _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: fixed values of HTML: elements whose content is no text of the page
-_DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title "
-                     "select textarea button datalist option input label".split())
+_DROPPED = frozenset("script style noscript template svg iframe object canvas audio video head title "
+                     "select textarea button datalist option input annotation annotation-xml".split())
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
                    "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu "
@@ -69,6 +75,8 @@ _VAGUE_WORDS = frozenset(
     "sidebar widget widgets rail aside footer foot nav menu banner promo promotion toolbar notice notices alert overlay hidden toc "
     "subscribe subscription respond reply replies discussion share sharing social related recommend recommended recommendations "
     "trending popular tags copyright legal disclaimer login signup sponsor sponsored".split())
+#: words that mark reader comments
+_COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
 #: first words of names of a page's state (has-sidebar)
 _STATE_WORDS = frozenset("has no with without".split())
 #: log odds of a class or id word; of a vague one in a name of several words outside and inside of article or main
@@ -78,10 +86,25 @@ _LINK, _SAME_PARENT, _FAR = 0.5, 1.0, 4.0
 
 
 class Block:
-    __slots__ = ("text", "links", "path", "odds", "marked", "heading")
+    __slots__ = ("text", "links", "path", "odds", "marked", "heading", "under")
+
+    def __init__(self, text, links, path, heading, under):
+        self.text, self.links, self.path, self.heading, self.under = text, links, path, heading, under
+        self.odds, self.marked = 0.0, False
+
+
+class Under(NamedTuple):
+    """What the elements around a block say. ``outer``: above the topmost landmark, ``inner``: from it down."""
 
-    def __init__(self, text, links, path, odds, marked, heading):
-        self.text, self.links, self.path, self.odds, self.marked, self.heading = text, links, path, odds, marked, heading
+    low: float = 0.0                # of tags, roles and hiding
+    high: float = 0.0
+    landmark: int = 0               # number of the topmost article or main
+    outer_word: float = 0.0
+    outer_vague: bool = False
+    comment: bool = False           # an outer word marks reader comments
+    inner_word: float = 0.0
+    inner_vague: bool = False
+    nested: bool = False            # a landmark below a vague word
 
 
 def _name_odds(value: str) -> tuple[float, bool]:
@@ -99,10 +122,11 @@ def _name_odds(value: str) -> tuple[float, bool]:
     return odds, vague
 
 
-def _element(tag: str, raw: str, inside: bool) -> tuple[float, float, bool, float]:
-    """Log odds of an element: the most negative by tag, role or hiding; by words; whether words are vague; the most positive."""
+def _element(tag: str, raw: str, inside: bool) -> tuple[float, float, bool, float, bool]:
+    """Log odds of an element: the most negative by tag, role or hiding; by words; whether words are vague; the most
+    positive; and whether words mark comments."""
     low = high = word = 0.0
-    vague = False
+    vague = comment = False
     odds = _TAG_ODDS.get(tag, 0.0)
     if tag == "header" and inside:
         odds = 0.0                                        # the header of an article holds its title
@@ -114,6 +138,7 @@ def _element(tag: str, raw: str, inside: bool) -> tuple[float, float, bool, floa
                 words = {w.lower() for w in _WORD.findall(value)}
                 if words & _BAD_WORDS and tag not in ("html", "body", "article", "main"):
                     odds, maybe = _name_odds(value)
+                    comment = comment or bool(words & _COMMENT_WORDS)
                     word, vague = min(word, odds), vague or maybe
                 elif tag == "article" and words & {"comment", "comments", "ad", "advert", "promo"}:
                     word = _WORD_ODDS
@@ -125,31 +150,60 @@ def _element(tag: str, raw: str, inside: bool) -> tuple[float, float, bool, floa
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(
                     r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 low = min(low, -8.0)
-    return low, word, vague, high
-
-
-def _below(outer: tuple[float, float, bool, float], own: tuple[float, float, bool, float]) -> tuple[float, float, bool, float]:
-    """The odds down to an element: a positive landmark ends the words of what it lies in."""
-    low, word, vague, high = outer
-    if own[3] >= _LANDMARK and not own[1]:
-        word, vague = 0.0, False
-    return min(low, own[0]), min(word, own[1]), vague or own[2], max(high, own[3])
-
-
-def _prior(low: float, word: float, vague: bool, high: float) -> tuple[float, bool]:
+    return low, word, vague, high, comment
+
+
+def _below(outer: Under, own: tuple[float, float, bool, float, bool], number: int) -> Under:
+    """What holds below an element, by its number in the page."""
+    low, word, vague, high, comment = own
+    landmark = high >= _LANDMARK
+    outer = outer._replace(low=min(outer.low, low), high=max(outer.high, high))
+    if not outer.landmark and not (landmark and not word):
+        return outer._replace(outer_word=min(outer.outer_word, word), outer_vague=outer.outer_vague or vague,
+                              comment=outer.comment or comment)
+    nested = outer.nested or landmark and bool(outer.landmark) and outer.inner_vague
+    return outer._replace(landmark=outer.landmark or number, inner_word=min(outer.inner_word, word),
+                          inner_vague=outer.inner_vague or vague, nested=nested)
+
+
+def _main_landmark(blocks: list[Block]) -> int:
+    """The number of the page's main landmark (0: none): that with the most text outside links. One that lies in an
+    element named like boilerplate comes after all others and needs half of the page's text; one in
+    an element named like comments must be the only one besides."""
+    size: dict[int, int] = {}
+    spoiled: dict[int, Under] = {}
+    whole = 0
+    for b in blocks:
+        u, n = b.under, int(len(b.text) * (1 - b.links))
+        whole += n
+        if u.landmark and not u.low and not u.inner_word and not u.nested:
+            size[u.landmark] = size.get(u.landmark, 0) + n
+        if u.landmark and u.outer_word:
+            spoiled[u.landmark] = u
+    good = {k: n for k, n in size.items() if k not in spoiled}
+    if not good:
+        good = {k: n for k, n in size.items() if 2 * n > whole and (len(size) == 1 or not spoiled[k].comment)}
+    return max(good, key=lambda k: (good[k], -k)) if good else 0
+
+
+def _prior(u: Under, main: int) -> tuple[float, bool]:
     """Log odds of a block and whether a clear landmark gives them."""
-    if low or word:
-        return low or word, True
-    if vague:
-        return _VAGUE_INSIDE if high >= _LANDMARK else _VAGUE_ODDS, False
-    return high, bool(high)
+    own = main and u.landmark == main
+    word = u.inner_word or (0.0 if own else u.outer_word)
+    if not own and u.landmark and u.outer_vague or u.nested:
+        word = word or _WORD_ODDS                         # teasers, comments
+    if u.low or word:
+        return u.low or word, True
+    if u.inner_vague or u.outer_vague and not own:
+        return _VAGUE_INSIDE if u.landmark else _VAGUE_ODDS, False
+    return u.high, bool(u.high)
 
 
 def parse_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with link share, DOM path and landmark odds."""
     blocks: list[Block] = []
-    # an open element: tag, number, odds down to it, dropped, inside a link, inside article or main
-    stack = [("", 0, (0.0, 0.0, False, 0.0), False, False, False)]
+    # an open element: tag, number, what holds below it, dropped, inside a link, inside article or main
+    stack = [("", 0, Under(), False, False, False)]
     parts: list[str] = []
     linked = number = 0
 
@@ -158,10 +212,9 @@ def parse_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                odds, marked = _prior(*stack[-1][2])
                 path = tuple(e[1] for e in stack if e[0] in _BLOCK)
                 heading = any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in stack[-4:])
-                blocks.append(Block(text, min(1.0, linked / len(text)), path, odds, marked, heading))
+                blocks.append(Block(text, min(1.0, linked / len(text)), path, heading, stack[-1][2]))
             parts.clear()
             linked = 0
 
@@ -213,9 +266,12 @@ def parse_blocks(page: str) -> list[Block]:
             continue
         _, _, odds, dropped, link, inside = stack[-1]
         number += 1
-        stack.append((tag, number, _below(odds, _element(tag, raw, inside)), dropped or tag in _DROPPED, link or tag == "a",
+        stack.append((tag, number, _below(odds, _element(tag, raw, inside), number), dropped or tag in _DROPPED, link or tag == "a",
                       inside or tag in ("article", "main")))
     flush()
+    main = _main_landmark(blocks)
+    for b in blocks:
+        b.odds, b.marked = _prior(b.under, main)
     return blocks
 
 
