@@ -55,6 +55,29 @@ def test_bpe_round_trip_and_digest(spark, reference):
     assert bpe.op8(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("weak", [lambda n: n * 0, lambda n: n, lambda n: n % 3])
+def test_bpe_with_colliding_hashes(reference, weak):
+    """Equal hashes of different pieces, in one batch and between batches (by length: pieces of one length collide)."""
+    path, library = reference
+    encoder = bpe.Encoder(bpe.Vocabulary(bpe.load_ranks(path)), bpe.class_table())
+    encoder.hasher = lambda data, starts, ends: weak((ends - starts).astype(np.uint64))
+    for batch in (["hello"], ["world"], ["hello", "world"], ["world"], ["a world", "of a hello"], ["hello"]):
+        ids, per, _ = encoder.encode([t.encode() for t in batch])
+        edge = np.concatenate([[0], np.cumsum(per)])
+        assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:])] == [library.encode_ordinary(t) for t in batch]
+
+
+def test_bpe_cache_between_batches(reference):
+    path, library = reference
+    encoder = bpe.Encoder(bpe.Vocabulary(bpe.load_ranks(path)), bpe.class_table())
+    texts = tricky(600)
+    for k in range(0, 600, 50):
+        ids, per, _ = encoder.encode([t.encode() for t in texts[k:k + 50] + texts[:20]])
+        edge = np.concatenate([[0], np.cumsum(per)])
+        assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:])] == [library.encode_ordinary(t) for t in texts[k:k + 50] + texts[:20]]
+    assert len(encoder.keys) and encoder.size.sum() == len(encoder.kept)
+
+
 def test_scan_equals_a_step_by_step_automaton():
     classes = bpe.class_table()
     text = "".join(tricky(300))

@@ -208,6 +208,11 @@ def _merge_short(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, length
     return out
 
 
+def _same_bytes(a: np.ndarray, a_starts, a_lengths, b: np.ndarray, b_starts, b_lengths) -> bool:
+    """Whether all segments of ``a`` equal those of ``b``."""
+    return np.array_equal(a_lengths, b_lengths) and np.array_equal(a[ranges(a_starts, a_lengths)], b[ranges(b_starts, b_lengths)])
+
+
 class Encoder:
     """Encodes lists of UTF-8 texts; keeps the merged pre-tokens of a task."""
 
@@ -218,6 +223,8 @@ class Encoder:
     def _forget(self) -> None:
         self.keys, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        #: the bytes of the kept pre-tokens, and where and how long each is
+        self.kept, self.begin, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def pieces(self, texts: list[bytes]):
         """Bytes of all texts; byte starts of pre-tokens; how many each text has."""
@@ -265,21 +272,20 @@ class Encoder:
         lengths = np.diff(np.append(starts, len(data)))
         hashes = self.hasher(data, starts, starts + lengths)
         keys, rep, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        same = lengths == lengths[rep][inverse]
-        if same.all():
-            same = data[ranges(starts[rep][inverse], lengths)] == data
-        if not same.all():                               # a hash collision: every piece on its own
-            keys, rep, inverse = hashes, np.arange(len(starts)), np.arange(len(starts))
+        found = np.searchsorted(self.keys, keys)
+        known = found < len(self.keys)
+        known[known] = self.keys[found[known]] == keys[known]
+        old = found[known]
+        if not (_same_bytes(data, starts[rep][inverse], lengths[rep][inverse], data, starts, lengths)
+                and _same_bytes(self.kept, self.begin[old], self.size[old], data, starts[rep[known]], lengths[rep[known]])):
+            rep, inverse = np.arange(len(starts)), np.arange(len(starts))        # a hash collision: every piece on its own
             self._forget()
             flat, at, count = self._merge(data, starts, lengths)
         else:
-            found = np.searchsorted(self.keys, keys)
-            known = found < len(self.keys)
-            known[known] = self.keys[found[known]] == keys[known]
             new = np.flatnonzero(~known)
             f, a, c = self._merge(data, starts[rep[new]], lengths[rep[new]])
             at, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            at[known], count[known] = self.at[found[known]], self.count[found[known]]
+            at[known], count[known] = self.at[old], self.count[old]
             at[new], count[new] = a + len(self.flat), c
             flat = np.concatenate([self.flat, f])
             if len(self.keys) + len(new) > _CACHE:
@@ -287,9 +293,12 @@ class Encoder:
             else:
                 merged = np.concatenate([self.keys, keys[new]])
                 order = np.argsort(merged, kind="stable")
+                size = lengths[rep[new]]
+                begin = np.cumsum(size) - size + len(self.kept)
+                self.kept = np.concatenate([self.kept, data[ranges(starts[rep[new]], size)]])
                 self.keys, self.flat = merged[order], flat
-                self.at = np.concatenate([self.at, at[new]])[order]
-                self.count = np.concatenate([self.count, count[new]])[order]
+                for name, more in (("at", at[new]), ("count", count[new]), ("begin", begin), ("size", size)):
+                    setattr(self, name, np.concatenate([getattr(self, name), more])[order])
         n = count[inverse]
         ids = flat[ranges(at[inverse], n)]
         total = np.concatenate([[0], np.cumsum(n)])
