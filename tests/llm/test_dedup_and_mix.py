@@ -2,6 +2,9 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +188,32 @@ def test_substrings_match_brute_force(spark, window, rounds, alphabet):
     assert got == brute_substrings(texts, window)
 
 
+def test_windows_that_collide_in_one_hash_stay_apart(monkeypatch):
+    texts = near_copies(5, groups=8) + ["only here " * 12 + f"text {k}" for k in range(3)]
+    for name in ("window_hash", "window_check"):
+        original = getattr(substring_dedup.Block, name)
+        with monkeypatch.context() as m:                  # in this process: Spark's workers would load the module anew
+            m.setattr(substring_dedup.Block, name, lambda self, starts, window: original(self, starts, window) % np.uint64(2))
+            parts = [(0, len(texts) // 2), (len(texts) // 2, len(texts))]
+            tables = [pa.table({"_id": pa.array(range(a, b), pa.int64()), "_text": texts[a:b]}) for a, b in parts]
+            names = [substring_dedup._symbols_of(1, 20, 4)((pa.scalar(k),), x) for k, x in enumerate(tables)]
+            shared = substring_dedup._shared(pa.concat_tables(names))
+            of = lambda table, k: table.filter(pc.equal(table["block"], k))
+            windows = [substring_dedup._windows_of(1, 20, 4)((pa.scalar(k),), x, of(shared, k)) for k, x in enumerate(tables)]
+            firsts = substring_dedup._firsts(pa.concat_tables(windows))
+            out = [substring_dedup._removed_of(20)(x, of(firsts, k)) for k, x in enumerate(tables)]
+        got = {i: n for x in out for i, n in zip(x["_id"].to_pylist(), x["n_removed"].to_pylist())}
+        assert got == {k: n for k, (_, n, _) in brute_substrings(texts).items()}, name
+
+
+def test_window_hashes_are_independent():
+    block = substring_dedup.Block(pa.table({"_id": pa.array([0], pa.int64()), "_text": [" ".join(f"w{k}" for k in range(2000))]}))
+    at = np.arange(1900)
+    h, g = block.window_hash(at, 20), block.window_check(at, 20)
+    assert len(np.unique(h)) == 1900 and len(np.unique(g)) > 1890
+    assert len(np.unique((h >> np.uint64(32)) ^ g)) > 1890 and len(np.unique((h >> np.uint64(32)) - g)) > 1890
+
+
 def test_substrings_null_ids_and_empty(spark):
     text = " ".join(f"v{k}" for k in range(25))
     docs = documents(spark, [text, text, text, None], ids=[None, 5, 9, 1])

@@ -9,9 +9,10 @@ has the same symbol.
 
 1. Blocks send the names of their symbols to the shards; a shard answers which are shared.
 2. A window of ``window`` words can only repeat if every symbol determined inside it is shared.
-   Such candidate windows (and those that hold no symbol) go to the shards by a 96-bit hash with
-   the first document that has them; a shard answers which blocks do not have the first one.
-3. Blocks remove every word covered by a window that starts earlier elsewhere.
+   Such candidate windows (and those that hold no symbol) go to the shards with two hashes that share neither the hash
+   of a word nor the multiplier (64 and 32 bits), and with the first document that has them; a shard answers which blocks do
+   not have the first one, by both hashes.
+3. Blocks remove every word covered by a window that starts earlier elsewhere; it must match in both hashes.
 
 The texts are shuffled once; all steps read that exchange. Windows are judged on the input.
 
@@ -33,6 +34,8 @@ WINDOW = 20
 ROUNDS = 4
 _LAST = np.int64(2**63 - 1)
 _NAME_BYTES = 6
+#: multipliers of the two window hashes
+_FACTORS = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 _A, _B = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
 _SALTS = mix64(np.arange(64, dtype=np.uint64))
 
@@ -46,12 +49,15 @@ class Block:
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k]))
         self.ids = [ids[k] for k in order]
         self.texts = [texts[k] for k in order]
-        hasher, hashes, counts = SegmentHasher(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        hashers, hashes, counts = [SegmentHasher(1), SegmentHasher(2)], ([], []), [np.zeros(0, np.int64)]
         for a, b in slices(self.texts):
             words = Words(self.texts[a:b])
-            hashes.append(words.hashes(hasher))
+            hashes[0].append(words.hashes(hashers[0]))
+            hashes[1].append((words.hashes(hashers[1]) >> np.uint64(32)).astype(np.uint32))
             counts.append(words.counts)
-        self.words = np.concatenate(hashes)
+        #: hashes of the words, and others that do not depend on them
+        self.words = np.concatenate([np.zeros(0, np.uint64), *hashes[0]])
+        self.again = np.concatenate([np.zeros(0, np.uint32), *hashes[1]])
         counts = np.concatenate(counts)
         #: words of document k: first[k] to first[k + 1]
         self.first = np.concatenate([[0], np.cumsum(counts)])
@@ -102,12 +108,36 @@ class Block:
         n = len(self.words)
         return np.arange(n) + window <= self.first[1:][self.doc] if n else np.zeros(0, bool)
 
-    def window_hash(self, starts: np.ndarray, window: int, seed: int) -> np.ndarray:
-        """Hashes of the windows at ``starts``."""
-        out = np.full(len(starts), np.uint64(seed), np.uint64)
-        for k in range(window):
-            out = out * _A + self.words[starts + k]
-        return mix64(out)
+    def window_hash(self, starts: np.ndarray, window: int) -> np.ndarray:
+        """64-bit hashes of the windows at ``starts``."""
+        return _polynomial(self.words, starts, window, _FACTORS[0])
+
+    def window_check(self, starts: np.ndarray, window: int) -> np.ndarray:
+        """Independent 32-bit hashes of the windows at ``starts``."""
+        return _polynomial(self.again, starts, window, _FACTORS[1]) >> np.uint64(32)
+
+
+def _polynomial(words: np.ndarray, starts: np.ndarray, window: int, factor: np.uint64) -> np.ndarray:
+    out = np.ones(len(starts), np.uint64)
+    for k in range(window):
+        out *= factor
+        out += words[starts + k]
+    return mix64(out)
+
+
+def _place(h: np.ndarray, g: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The place of each pair ``(h, g)`` among the sorted pairs ``(keys, checks)``, or -1."""
+    out = np.full(len(h), -1)
+    maybe = np.flatnonzero(member_of(h, keys))
+    at = np.searchsorted(keys, h[maybe])
+    while len(maybe):                                     # another round only where first hashes collide
+        same = checks[at] == g[maybe]
+        out[maybe[same]] = at[same]
+        maybe, at = maybe[~same], at[~same] + 1
+        more = at < len(keys)
+        more[more] = keys[at[more]] == h[maybe[more]]
+        maybe, at = maybe[more], at[more]
+    return out
 
 
 def _names(values: np.ndarray) -> np.ndarray:
@@ -137,12 +167,12 @@ def _types(pa):
     return [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
-def _answers(pa, block: np.ndarray, keep: np.ndarray, keys: np.ndarray, width: int, code: np.ndarray | None = None):
-    """Per block the kept keys, sorted, and their codes."""
+def _answers(pa, block: np.ndarray, keep: np.ndarray, keys: np.ndarray, width: int, more=lambda at: None):
+    """Per block the kept keys, sorted, and what ``more`` has for them."""
     at = np.flatnonzero(keep)
     at = at[np.lexsort((keys[at], block[at]))]
     blocks, first = np.unique(block[at], return_index=True)
-    rows = [(0, int(b), packed(keys[p], width), code[p].astype(np.uint8).tobytes() if code is not None else None)
+    rows = [(0, int(b), packed(keys[p], width), more(p))
             for b, p in zip(blocks, np.split(at, first[1:]))] if len(at) else []
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, _types(pa))], _ROWS)
 
@@ -185,7 +215,7 @@ def _windows_of(shards: int, window: int, rounds: int):
         a = np.maximum(block.first[doc], hi - window)
         out = np.cumsum(np.bincount(a, minlength=n + 2) - np.bincount(lo + 1, minlength=n + 2))[:n]
         at = np.flatnonzero((out == 0) & block.window_starts(window))
-        h, g = block.window_hash(at, window, 1), block.window_hash(at, window, 2) >> np.uint64(32)
+        h, g = block.window_hash(at, window), block.window_check(at, window)
         order = np.lexsort((g, h))                        # stable: the first of equal windows is the earliest
         h, g, at = h[order], g[order], at[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) if len(h) else np.zeros(0, bool)
@@ -212,7 +242,8 @@ def _firsts(table):
     new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (g[order][1:] != g[order][:-1])])
     first = np.zeros(len(keys), bool)
     first[order] = new
-    return _answers(pa, block, ~first | many, keys, 8, np.where(first, 2, 1))
+    code = np.where(first, 2, 1).astype(np.uint8)
+    return _answers(pa, block, ~first | many, keys, 8, lambda at: packed(g[at], 4) + code[at].tobytes())
 
 
 def _removed_of(window: int):
@@ -220,21 +251,23 @@ def _removed_of(window: int):
         import pyarrow as pa
 
         block = Block(left)
-        keys = np.concatenate([np.zeros(0, np.uint64), *[unpacked(x, 8) for x in right.column("keys").to_pylist()]])
-        code = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(x, np.uint8) for x in right.column("more").to_pylist()]])
-        order = np.argsort(keys, kind="stable")
-        keys, code = keys[order], code[order]
+        parts = [(len(k) // 8, k, m) for k, m in zip(right.column("keys").to_pylist(), right.column("more").to_pylist())]
+        keys = np.concatenate([np.zeros(0, np.uint64), *[unpacked(k, 8) for _, k, _ in parts]])
+        checks = np.concatenate([np.zeros(0, np.uint64), *[unpacked(m[:4 * n], 4) for n, _, m in parts]])
+        code = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(m, np.uint8, offset=4 * n) for n, _, m in parts]])
+        order = np.lexsort((checks, keys))
+        keys, checks, code = keys[order], checks[order], code[order]
         at = np.flatnonzero(block.window_starts(window))
         n = len(block.words)
         cover = np.zeros(n + 1, np.int64)
         if len(keys) and len(at):
-            h = block.window_hash(at, window, 1)
-            hit = member_of(h, keys)
-            h, at = h[hit], at[hit]
-            one = code[np.searchsorted(keys, h)] == 1
+            at = at[member_of(block.window_hash(at, window), keys)]
+            place = _place(block.window_hash(at, window), block.window_check(at, window), keys, checks)
+            at, place = at[place >= 0], place[place >= 0]
+            one = code[place] == 1
             own = np.flatnonzero(~one)                    # of these the first in the block stays
             again = np.ones(len(own), bool)
-            again[np.unique(h[own], return_index=True)[1]] = False
+            again[np.unique(place[own], return_index=True)[1]] = False
             gone = np.sort(np.concatenate([at[one], at[own[again]]]))
             np.add.at(cover, gone, 1)
             np.add.at(cover, gone + window, -1)
