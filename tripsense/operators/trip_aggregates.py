@@ -5,12 +5,11 @@ The expressions are SQL text, evaluated by one ``groupBy(key).agg`` over a
 :mod:`tripsense.operators.trip_frame`:
 
 ``_i`` 0-based position in the trip, ``_n`` trip length, ``_d_<c>`` deviation
-of channel ``c`` from its trip mean ``_mean_<c>``, ``_ma<W>_<s>`` /
-``_msd<W>_<s>`` trailing rolling mean / std over ``W`` rows (NULL until ``W``
-non-null samples are in the window, like pandas' ``min_periods=W``).
+of channel ``c`` from its trip mean ``_mean_<c>``. The rolling families come from
+:mod:`tripsense.operators.rolling`.
 
 Building expressions as text keeps the driver cheap: a projection of hundreds
-of columns is one call into the JVM. Everything runs in the JVM; only the
+of columns is one call into the JVM. Everything here runs in the JVM; only the
 Hilbert envelope needs Python (a vectorised pandas UDF over one trip array).
 """
 
@@ -278,10 +277,6 @@ def trip_aggs(spec: TripSpec) -> dict[str, str]:
         w = hann_weight_sql()
         out.update({f"{s}_hann_mean": f"(CASE WHEN {_complete(s)} THEN avg({q(s)} * {w}) END)"
                     for s in spec.signals})
-    if spec.has("rolling_mean"):
-        out.update({f"MA{w}_{s}_mean": f"avg(_ma{w}_{s})" for w in spec.windows for s in spec.signals})
-    if spec.has("rolling_std"):
-        out.update({f"MA{w}_{s}_std": f"stddev_samp(_msd{w}_{s})" for w in spec.windows for s in spec.signals})
     return out
 
 

@@ -1,19 +1,11 @@
 """Per-row trip frames: telemetry rows plus the helper columns the aggregates read.
 
 Normal trips: one hash exchange on the key; every window (position, trip
-mean, running sums, lags) shares it and the later ``groupBy(key)`` and joins
+mean) shares it and the later ``groupBy(key)`` and joins
 on the key reuse the same partitioning.
 
 Hot trips (more rows than ``max_group_rows``): exact positions from
-:func:`ranked_positions`, trip means from a bounded per-key table, and the
-running sums over ``(key, block)`` partitions with a halo of preceding rows.
-
-Rolling statistics (W3, W4) are O(n) per trip, not O(n W): a trip is cut into pieces of W rows,
-and every window is a suffix of one piece and a prefix of the next. Count, mean and sum of
-squared deviations of all prefixes and suffixes are running aggregates inside a piece, and the two
-parts are merged about their common mean, so no sum ever spans more than one window and no
-digits are lost however the trip behaved before. An integer running count of value changes
-marks windows whose values are all equal; their std is exactly 0 as in pandas.
+:func:`ranked_positions`, trip means from a bounded per-key table.
 """
 
 from __future__ import annotations
@@ -21,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripsense.operators.keyed import block_with_halo, join_small, ranked_positions
+from tripsense.operators.keyed import join_small, ranked_positions
 from tripsense.operators.trip_aggregates import TripSpec, q
 
 
@@ -29,47 +21,6 @@ def _mean_channels(spec: TripSpec) -> list[str]:
     return list(spec.channels) if spec.moments else []
 
 
-def _change_flags(spec: TripSpec, wo: str) -> list[str]:
-    """1 where a signal differs from the previous sample (marks windows of equal values)."""
-    return [f"CASE WHEN lag({q(s)}) OVER ({wo}) <=> {q(s)} THEN 0 ELSE 1 END AS _chg_{s}" for s in spec.signals]
-
-
-def _rolling_steps(df: DataFrame, spec: TripSpec, part: str, order: str, flags_done: bool = False) -> DataFrame:
-    if not spec.rolling_windows:
-        return df
-    wo = f"PARTITION BY {part} ORDER BY {order}"
-    run = f"({wo} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    sig = list(spec.signals)
-    if not flags_done:
-        df = df.selectExpr("*", *_change_flags(spec, wo))
-    df = df.selectExpr("*", *[f"sum(_chg_{s}) OVER {run} AS _cc_{s}" for s in sig])
-
-    def stats(s: str, w: int, direction: str) -> str:
-        over = f"(PARTITION BY {part}, _i div {w} ORDER BY _i {direction} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-        return f"named_struct('n', count({q(s)}) OVER {over}, 'm', avg({q(s)}) OVER {over}, 'v', var_pop({q(s)}) OVER {over})"
-
-    for w in spec.rolling_windows:
-        df = df.selectExpr("*", *[f"{stats(s, w, 'ASC')} AS _pre_{w}_{s}" for s in sig])
-        df = df.selectExpr("*", *[f"{stats(s, w, 'DESC')} AS _suf_{w}_{s}" for s in sig])
-    df = df.selectExpr("*", *[f"lag(_suf_{w}_{s}, {w - 1}) OVER ({wo}) AS _old_{w}_{s}" for w in spec.rolling_windows for s in sig],
-                       *[f"coalesce(lag(_cc_{s}, {w - 1}) OVER ({wo}), 0) AS _pc_{w}_{s}" for w in spec.rolling_windows for s in sig])
-    out = []
-    for w in spec.rolling_windows:
-        for s in sig:
-            a, b = f"_old_{w}_{s}", f"_pre_{w}_{s}"
-            whole = f"_i % {w} = {w - 1}"                  # the window is one piece
-            full = f"(CASE WHEN {whole} THEN {b}.n ELSE {a}.n + {b}.n END) = {w}"
-            if spec.has("rolling_mean"):
-                out.append(f"CASE WHEN {full} THEN CASE WHEN {whole} THEN {b}.m "
-                           f"ELSE {a}.m + ({b}.m - {a}.m) * {b}.n / {w}.0D END END AS _ma{w}_{s}")
-            if spec.has("rolling_std"):
-                squares = (f"(CASE WHEN {whole} THEN {b}.v * {w} ELSE {a}.v * {a}.n + {b}.v * {b}.n "
-                           f"+ ({b}.m - {a}.m) * ({b}.m - {a}.m) * {a}.n * {b}.n / {w}.0D END)")
-                out.append(f"CASE WHEN {full} THEN CASE WHEN _cc_{s} - _pc_{w}_{s} = 0 THEN 0.0D "
-                           f"ELSE sqrt({squares} / {w - 1}.0D) END END AS _msd{w}_{s}")
-    return df.selectExpr("*", *out)
-
-
 def _deviations(df: DataFrame, spec: TripSpec) -> DataFrame:
     if not spec.moments:
         return df
@@ -82,23 +33,15 @@ def normal_frame(base: DataFrame, spec: TripSpec) -> DataFrame:
     wo = f"PARTITION BY {k} ORDER BY {spec.order_sql}"
     # same ordered window as the position: one sort, one window operator
     cols = [f"row_number() OVER ({wo}) - 1 AS _i", f"count(1) OVER (PARTITION BY {k}) AS _n"]
-    if spec.rolling_windows:
-        cols += _change_flags(spec, wo)
     cols += [f"avg({q(c)}) OVER (PARTITION BY {k}) AS _mean_{c}" for c in _mean_channels(spec)]
-    frame = base.selectExpr("*", *cols)
-    frame = _deviations(frame, spec)
-    return _rolling_steps(frame, spec, k, spec.order_sql, flags_done=True)
+    return _deviations(base.selectExpr("*", *cols), spec)
 
 
-def hot_frame(hot_rows: DataFrame, spec: TripSpec, block_rows: int) -> DataFrame:
+def hot_frame(hot_rows: DataFrame, spec: TripSpec) -> DataFrame:
     """Frame for huge trips, computed without any per-trip task."""
     pos = ranked_positions(hot_rows, spec.key, list(spec.order))
     means = _mean_channels(spec)
     if means:
         table = hot_rows.groupBy(spec.key).agg(*[F.expr(f"avg({q(c)}) AS _mean_{c}") for c in means])
         pos = join_small(pos, table, spec.key)
-    pos = _deviations(pos, spec)
-    halo = max(spec.rolling_windows) - 1 if spec.rolling_windows else 0
-    blocked = block_with_halo(pos, block_rows, halo)
-    blocked = _rolling_steps(blocked, spec, f"{q(spec.key)}, _blk", "_i")
-    return blocked.filter("NOT _halo").drop("_halo", "_blk")
+    return _deviations(pos, spec)

@@ -3,13 +3,14 @@
 Plan for bounded trips (the usual case)::
 
     scan -> project (NaN -> NULL, norms) -> Exchange hashpartitioning(key)
-         -> Sort(key, order) -> Window(position, trip means, rolling frames)
+         -> Sort(key, order) -> Window(position, trip means)
          -> HashAggregate(key)            (moments, trend, Hann, percentiles, trip arrays)
          -> Filter(last max(n) rows) -> Generate(n) -> HashAggregate(key, n) -> pivot
-         -> join on key (co-partitioned, no exchange) -> Arrow UDF (Hilbert)
+         -> Sort(key, order) of key and signals -> rolling kernel (one Arrow pass, one row a trip)
+         -> join on key -> Arrow UDF (Hilbert)
 
-so the rows of the frame cross the network once; last-n reads the scan again and sends only the
-last rows of each trip. Kurtosis, absolute mean, trend and mean change alone are plain partial
+so the rows of the frame cross the network once, and the narrow rolling frame once; last-n reads the scan again and sends
+only the last rows of each trip. Kurtosis, absolute mean, trend and mean change alone are plain partial
 aggregates without any row exchange. Keys with more than ``max_group_rows``
 rows are split off and processed by the hot path of
 :mod:`tripsense.operators.trip_frame` and :mod:`tripsense.operators.quantiles`.
@@ -28,6 +29,7 @@ from tripsense.operators.hilbert import hilbert_hot
 from tripsense.operators.keyed import DEFAULT_BLOCK_ROWS, DEFAULT_MAX_GROUP_ROWS, split_hot_keys
 from tripsense.operators.lastn import last_n_long, last_n_wide, last_rows
 from tripsense.operators.quantiles import percentile_table
+from tripsense.operators.rolling import rolling_features, rolling_features_hot
 from tripsense.operators.trip_aggregates import (
     TripSpec,
     hilbert_mean_udf,
@@ -123,6 +125,8 @@ def _normal_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
         if spec.moments:
             main = main.selectExpr("*", *named(moment_outputs(spec)))
         pieces.append(main)
+    if spec.rolling_windows:
+        pieces.append(rolling_features(rows, spec))
     if spec.has("last_n"):
         # from the unshuffled rows: the top-n filter runs as a partial group limit before the exchange
         pieces.append(last_n_wide(last_n_long(last_rows(rows, spec), spec), spec))
@@ -136,7 +140,7 @@ def _normal_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
 
 def _hot_features(rows: DataFrame, spec: TripSpec, block_rows: int) -> DataFrame:
     """Huge trips: positions from range partitioning, windows over bounded blocks."""
-    frame = hot_frame(rows, spec, block_rows)
+    frame = hot_frame(rows, spec)
     pieces = []
     aggs = trip_aggs(spec)
     if aggs:
@@ -144,6 +148,8 @@ def _hot_features(rows: DataFrame, spec: TripSpec, block_rows: int) -> DataFrame
         if spec.moments:
             main = main.selectExpr("*", *named(moment_outputs(spec)))
         pieces.append(main)
+    if spec.rolling_windows:
+        pieces.append(rolling_features_hot(frame, spec, block_rows))
     if spec.has("last_n"):
         rows_rd = frame.filter(f"_n - _i <= {max(spec.last_n)}").selectExpr("*", "_n - _i AS _rd")
         pieces.append(last_n_wide(last_n_long(rows_rd, spec), spec))
