@@ -21,6 +21,7 @@ from tripsense.operators.labels import duplicate_labels, join_labels, last_label
 from tripsense.operators.sampling import holdout, kfold, under_sample
 from tripsense.plans import oracle_sql as O
 from tripsense.plans.features import mean_change_rate, trip_features, trip_features_for, trip_last_n_long
+from tripsense.session import materialize
 from tripsense.sources.csv import union_by_name
 from tripsense.sources.tables import (
     EVENTS_SPEC,
@@ -218,33 +219,47 @@ def q_experiment_rank(spark, sf_dir):
     return _norm(P.rank_experiments(exp))
 
 
-def _labelled_trips(spark, sf_dir):
-    feats = trip_features(_v1(spark, sf_dir), LINEITEM_SPEC, families=("primitive", "trend", "abs_mean"))
+def _model_table(spark, sf_dir):
+    """The 100 model inputs of every trip, with the quality label where there is one."""
+    feats = materialize(trip_features_for(_v1(spark, sf_dir), S.TOP_100_FEATURES, LINEITEM_SPEC))
     labels = trip_labels(spark, sf_dir).withColumnRenamed("doc_id", "l_suppkey")
-    return feats, join_labels(feats, labels, "l_suppkey", "label")
+    return feats, join_labels(feats, labels, "l_suppkey", "label").filter("label IS NOT NULL")
 
 
-def _model_cols(df):
-    return [c for c in df.columns if c not in ("l_suppkey", "label")]
+def _final_model(data):
+    """Default parameters, rounds and patience of the batch job."""
+    from tripsense.plans.modeling import fit_final
+    return fit_final(data, S.TOP_100_FEATURES, {}, key="l_suppkey")[0]
 
 
 def q_feature_importance(spark, sf_dir):
-    from tripsense.plans.modeling import build_pipeline, feature_importance, with_missing_flags
-    feats, data = _labelled_trips(spark, sf_dir)
-    cols = _model_cols(feats)
-    train = with_missing_flags(data.filter("label IS NOT NULL"), cols).withColumn("label", F.col("label").cast("double"))
-    model = build_pipeline(cols, "gbt", "label", {"maxIter": 10, "maxDepth": 3}).fit(train)
-    top = feature_importance(model, cols, k=20)
+    from tripsense.plans.modeling import feature_importance
+    top = feature_importance(_final_model(_model_table(spark, sf_dir)[1]), S.TOP_100_FEATURES, k=20)
     return spark.createDataFrame(top, "feature string, importance double")
 
 
 def q_gbt_score(spark, sf_dir):
-    from tripsense.plans.modeling import build_pipeline, score, with_missing_flags
-    feats, data = _labelled_trips(spark, sf_dir)
-    cols = _model_cols(feats)
-    train = with_missing_flags(data.filter("label IS NOT NULL"), cols).withColumn("label", F.col("label").cast("double"))
-    model = build_pipeline(cols, "gbt", "label", {"maxIter": 10, "maxDepth": 3}).fit(train)
-    return score(model, feats, cols, key="l_suppkey")
+    from tripsense.plans.modeling import score
+    feats, data = _model_table(spark, sf_dir)
+    return score(_final_model(data), feats, S.TOP_100_FEATURES, key="l_suppkey")
+
+
+def q_gbt_score_valid(spark, sf_dir):
+    """Every trip has one score, a probability."""
+    return q_gbt_score(spark, sf_dir).select("l_suppkey", F.col("probability").between(0, 1).alias("valid"))
+
+
+PLANTED = "Speed_std"
+
+
+def q_gbt_planted_top(spark, sf_dir):
+    """The feature that decides a planted label comes out as the most important one of the 100 inputs."""
+    from tripsense.plans.modeling import feature_importance
+    feats, _ = _model_table(spark, sf_dir)
+    middle = feats.agg(F.percentile(PLANTED, F.lit(0.5))).first()[0]
+    model = _final_model(feats.withColumn("label", (F.col(PLANTED) > middle).cast("int")))
+    top = feature_importance(model, S.TOP_100_FEATURES, k=1)[0][0]
+    return feats.groupBy(F.lit(top).alias("feature")).agg(F.count(F.lit(1)).alias("trips"))
 
 
 HOT_ROWS = 100   # every lineitem trip exceeds this, so all take the hot path
@@ -302,6 +317,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "experiment_rank": q_experiment_rank,
         "feature_importance_topk": q_feature_importance,
         "gbt_score": q_gbt_score,
+        "gbt_score_valid": q_gbt_score_valid,
+        "gbt_planted_top": q_gbt_planted_top,
         **LLM_QUERIES,
         **({"pipeline": corpus_pipeline.run} if corpus_pipeline else {}),
     }
@@ -416,6 +433,8 @@ SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (ORDER BY {O.
   FROM labels) x""",
         "roc_auc": f"WITH {_auc_sql()}\nSELECT target, {O.norm(_roc_expr())} AS roc_auc FROM cum GROUP BY target",
         "pr_auc": f"WITH {_auc_sql()}\nSELECT target, {O.norm(_pr_expr())} AS pr_auc FROM cum GROUP BY target",
+        "gbt_score_valid": "SELECT DISTINCT l_suppkey, true AS valid FROM lineitem",
+        "gbt_planted_top": f"SELECT '{PLANTED}' AS feature, COUNT(DISTINCT l_suppkey) AS trips FROM lineitem",
         "cv_mean_auc": f"""WITH folds AS (SELECT doc_id, fold FROM {_fold_sql('doc_id', '(SELECT doc_id FROM labels)')} f),
 sc AS (SELECT f.fold, l.quality AS y_true, CAST(d.n_chars AS DOUBLE) AS s FROM labels l JOIN documents d USING (doc_id) JOIN folds f USING (doc_id)),
 pts AS (SELECT fold, s, SUM(y_true) AS pos, COUNT(*) - SUM(y_true) AS neg FROM sc GROUP BY fold, s),
