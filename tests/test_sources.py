@@ -55,6 +55,43 @@ def test_labels_may_be_written_as_floats(spark):
         read_csv_folder(spark, _folder(a="bookingID,label\n1,0.5\n"), S.LABEL_SCHEMA).collect()
 
 
+def test_headers_come_from_one_job(spark):
+    """Many files, some of several splits, an empty one and one without a header line; one pattern stands for files of one header."""
+    from tripsense.sources import csv as C
+    files = {f"part{k:02d}": "bookingID,Speed\n" + f"{k},1.5\n" * (1 if k else 3000) for k in range(30)}
+    root = _folder(**files, empty="")
+    assert C._headers(spark, root) == {("bookingID", "Speed"): [f"{root}/*.csv"]}
+    found = {r["path"].rsplit("/", 1)[1]: r["header"] for r in C.headers(spark, f"{root}/*.csv").collect()}
+    assert found == {f"{n}.csv": "bookingID,Speed" for n in files}
+    split = spark.newSession()
+    split.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # the first file has several splits
+    assert {r["path"].rsplit("/", 1)[1]: r["header"] for r in C.headers(split, f"{root}/*.csv").collect()} == found
+    assert read_csv_folder(spark, root).count() == 3029
+    mixed = C._headers(spark, _folder(a="bookingID,Speed\n1,2\n", b="Speed,bookingID\n3,4\n", c="bookingID,Speed\n", d="\n"))
+    assert {k: [f.rsplit("/", 1)[1] for f in v] for k, v in mixed.items()} == {("bookingID", "Speed"): ["a.csv", "c.csv"], ("Speed", "bookingID"): ["b.csv"]}
+
+
+def test_header_scan_reads_on_where_files_share_a_task(spark):
+    import pyarrow as pa
+
+    from tripsense.sources.csv import _first_lines
+    rows = [("a", 0, "h1"), ("a", 0, "x"), ("b", 0, "h2"), ("b", 0, "y"), ("c", 900, "z"), ("d", 0, "h4")]
+    batches = [pa.RecordBatch.from_pylist([{"path": p, "start": s, "value": v} for p, s, v in rows[k:k + 2]]) for k in (0, 2, 4)]
+    batches.insert(1, pa.RecordBatch.from_pylist([{"path": "a", "start": 0, "value": "more"}]))
+    assert [r["header"] for b in _first_lines(False)(iter(batches)) for r in b.to_pylist()] == ["h1", "h2", "h4"]
+    assert [r["header"] for b in _first_lines(True)(iter(batches)) for r in b.to_pylist()] == ["h1"]
+
+
+def test_whole_numbers_in_any_form(spark):
+    big = 2**60 + 1
+    df = read_csv_folder(spark, _folder(a=f"bookingID,label\n403726925929.0,1\n{big},0\n 7 ,\n"), S.LABEL_SCHEMA)
+    assert sorted((r[S.KEY], r["label"]) for r in df.collect() if r["label"] is not None) == [(403726925929, 1), (big, 0)]
+    assert df.filter("label IS NULL").first()[S.KEY] == 7
+    for text, what in (("bookingID,label\n1.5,1\n", "fraction"), ("bookingID,label\nx,1\n", "no number")):
+        with pytest.raises(Exception, match=what):
+            read_csv_folder(spark, _folder(a=text), S.LABEL_SCHEMA).collect()
+
+
 def test_experiment_table_and_single_file_sink(spark):
     out = tempfile.mkdtemp(prefix="tripsense-exp-") + "/e"
     runs = spark.createDataFrame([(1, "a", 0.7, 0.6), (2, "b", None, 0.8)], S.EXPERIMENT_SCHEMA)
