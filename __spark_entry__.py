@@ -17,6 +17,7 @@ from tripsense import schema as S
 from tripsense.functions.columns import log1p_shift, select_prefix, with_norms
 from tripsense.operators import evaluation as E
 from tripsense.operators import profile as P
+from tripsense.operators import sketches as K
 from tripsense.operators.labels import duplicate_labels, join_labels, last_label
 from tripsense.operators.sampling import holdout, kfold, under_sample
 from tripsense.plans import oracle_sql as O
@@ -219,6 +220,31 @@ def q_experiment_rank(spark, sf_dir):
     return _norm(P.rank_experiments(exp))
 
 
+def q_distinct_trips_sketch(spark, sf_dir):
+    """Users from HLL sketches of each day, merged: within three standard errors of the exact count."""
+    days = K.distinct_sketches(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), ["day"], "user_id")
+    exact = table(spark, sf_dir, "events").agg(F.countDistinct("user_id").alias("trips"))
+    return K.merge_distinct_sketches(days).crossJoin(exact).select(  # two frames of one row
+        "trips", (F.abs(F.col("estimate") - F.col("trips")) <= 3 * K.distinct_error(12) * F.col("trips")).alias("within"))
+
+
+def q_quantiles_sketch(spark, sf_dir):
+    """Quantiles from KLL sketches of each year, merged: per trip and quantile, whether its rank is within twice the error."""
+    trips = with_norms(_v1(spark, sf_dir)).withColumn("year", F.floor(F.col("second") / 366))
+    k = 400
+    merged = K.merge_quantile_sketches(K.quantile_sketches(trips, ["l_suppkey", "year"], S.SIGNALS, k), ["l_suppkey"])
+    long = K.sketched_quantiles(merged, ["l_suppkey"], S.SIGNALS).unpivot(
+        ["l_suppkey"], [S.quantile_name(p, s) for p in S.QUANTILES for s in S.SIGNALS], "name", "value")
+    names = F.create_map(*[F.lit(x) for p in S.QUANTILES for s in S.SIGNALS for x in (S.quantile_name(p, s), s)])
+    shares = F.create_map(*[F.lit(x) for p in S.QUANTILES for s in S.SIGNALS for x in (S.quantile_name(p, s), float(p))])
+    values = trips.select("l_suppkey", *S.SIGNALS).unpivot(["l_suppkey"], list(S.SIGNALS), "signal", "x")
+    ranks = (values.join(long.withColumns({"signal": names[F.col("name")], "p": shares[F.col("name")]}), ["l_suppkey", "signal"])
+             .groupBy("l_suppkey", "name", "p").agg(F.avg((F.col("x") < F.col("value")).cast("int")).alias("below"),
+                                                  F.avg((F.col("x") <= F.col("value")).cast("int")).alias("upto")))
+    off = 2 * K.rank_error(k)
+    return ranks.select("l_suppkey", "name", F.col("p").between(F.col("below") - off, F.col("upto") + off).alias("within"))
+
+
 def _model_table(spark, sf_dir):
     """The 100 model inputs of every trip, with the quality label where there is one."""
     feats = materialize(trip_features_for(_v1(spark, sf_dir), S.TOP_100_FEATURES, LINEITEM_SPEC))
@@ -316,6 +342,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cv_mean_auc": q_cv_mean_auc,
         "experiment_rank": q_experiment_rank,
         "feature_importance_topk": q_feature_importance,
+        "distinct_trips_sketch": q_distinct_trips_sketch,
+        "trip_quantiles_sketch": q_quantiles_sketch,
         "gbt_score": q_gbt_score,
         "gbt_score_valid": q_gbt_score_valid,
         "gbt_planted_top": q_gbt_planted_top,
@@ -433,6 +461,9 @@ SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (ORDER BY {O.
   FROM labels) x""",
         "roc_auc": f"WITH {_auc_sql()}\nSELECT target, {O.norm(_roc_expr())} AS roc_auc FROM cum GROUP BY target",
         "pr_auc": f"WITH {_auc_sql()}\nSELECT target, {O.norm(_pr_expr())} AS pr_auc FROM cum GROUP BY target",
+        "distinct_trips_sketch": "SELECT COUNT(DISTINCT user_id) AS trips, true AS within FROM events",
+        "trip_quantiles_sketch": f"""SELECT DISTINCT l_suppkey, name, true AS within FROM lineitem,
+  (SELECT unnest([{', '.join(f"'{S.quantile_name(p, s)}'" for p in S.QUANTILES for s in S.SIGNALS)}]) AS name) n""",
         "gbt_score_valid": "SELECT DISTINCT l_suppkey, true AS valid FROM lineitem",
         "gbt_planted_top": f"SELECT '{PLANTED}' AS feature, COUNT(DISTINCT l_suppkey) AS trips FROM lineitem",
         "cv_mean_auc": f"""WITH folds AS (SELECT doc_id, fold FROM {_fold_sql('doc_id', '(SELECT doc_id FROM labels)')} f),

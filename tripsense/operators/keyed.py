@@ -40,18 +40,37 @@ def _cols(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+def _row_bytes(df: DataFrame) -> tuple[int, list[Column]]:
+    """Bytes of a row without its variable parts, and the sizes of those (strings, binaries, arrays of numbers)."""
+    fixed, variable = 16, []
+    for name, kind in df.dtypes:
+        fixed += 16
+        if kind in ("string", "binary"):
+            variable.append(F.octet_length(f"`{name}`"))
+        elif kind.startswith("array<") and "<" not in kind[6:] and "string" not in kind:
+            variable.append(F.size(f"`{name}`") * 16)
+        elif kind.startswith(("array", "map", "struct")):
+            variable.append(F.octet_length(F.to_json(f"`{name}`")) * 2)
+    return fixed, variable
+
+
+def fits_broadcast(small: DataFrame, rows: int | None = None, limit: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether ``small`` has at most ``limit`` bytes, variable parts as they are. Reads a row past the limit at
+    most; ``rows``: their number if it is known."""
+    fixed, variable = _row_bytes(small)
+    most = limit // fixed
+    if rows is not None and (rows > most or not variable):
+        return rows <= most
+    sizes = [F.coalesce(F.sum(F.greatest(v, F.lit(0)).cast("long")), F.lit(0)) for v in variable]
+    n, *more = small.limit(most + 1).agg(F.count(F.lit(1)), *sizes).first()
+    return n <= most and n * fixed + sum(more) <= limit
+
+
 def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner",
                small_rows: int | None = None) -> DataFrame:
-    """Join a per-key table onto a large frame, broadcasting it only under a checked size in bytes.
-
-    ``small_rows`` is the known row count of ``small``; when missing, its rows are counted up to
-    the limit.
-    """
-    row_bytes = sum(32 if t == "string" or t.startswith(("array", "map", "struct")) else 8 for _, t in small.dtypes) + 16
-    most = MAX_BROADCAST_BYTES // row_bytes
-    if small_rows is None:
-        small_rows = small.limit(most + 1).count()
-    return big.join(F.broadcast(small) if small_rows <= most else small, on=_cols(on), how=how)
+    """Join a per-key table onto a large frame, broadcasting it only under a checked size in bytes
+    (``small_rows``: the row count of ``small``, where it is known); beyond that both sides are shuffled."""
+    return big.join(F.broadcast(small) if fits_broadcast(small, small_rows) else small, on=_cols(on), how=how)
 
 
 def split_hot_keys(df: DataFrame, key: str | Sequence[str], max_group_rows: int = DEFAULT_MAX_GROUP_ROWS

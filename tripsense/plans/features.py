@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tripsense import schema as S
 from tripsense.functions.columns import nan_to_null, norm3
 from tripsense.operators.hilbert import hilbert_hot
-from tripsense.operators.keyed import DEFAULT_BLOCK_ROWS, DEFAULT_MAX_GROUP_ROWS, split_hot_keys
+from tripsense.operators.keyed import DEFAULT_BLOCK_ROWS, DEFAULT_MAX_GROUP_ROWS, fits_broadcast, split_hot_keys
 from tripsense.operators.lastn import last_n_long, last_n_wide, last_rows
 from tripsense.operators.quantiles import percentile_table
 from tripsense.operators.rolling import rolling_features, rolling_features_hot
@@ -35,6 +35,7 @@ from tripsense.operators.trip_aggregates import (
     hilbert_mean_udf,
     kurtosis_sql,
     mean_change_sql,
+    moment_aggs,
     moment_outputs,
     named,
     percentile_outputs,
@@ -43,6 +44,7 @@ from tripsense.operators.trip_aggregates import (
     trip_aggs,
 )
 from tripsense.operators.trip_frame import hot_frame, normal_frame
+from tripsense.session import materialize
 
 #: families that are partial aggregates of the rows as they are
 LIGHT_FAMILIES = ("kurtosis", "abs_mean", "trend", "mean_change")
@@ -181,6 +183,33 @@ def _light_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
     return _agg(rows, spec.key, aggs)
 
 
+#: families that need trip means and values of channels, but no positions
+MOMENT_FAMILIES = ("primitive", *LIGHT_FAMILIES, "iqr", "quantiles")
+
+
+def _two_scan_features(rows: DataFrame, spec: TripSpec) -> DataFrame | None:
+    """Moments without an exchange of rows: a first scan gives the trip means by a partial aggregate, a second one joins
+    them back and adds up deviations (and value counts of percentiles) per trip in each task before anything is
+    shuffled. None if the table of means is too large to broadcast: then one exchange of the rows is cheaper."""
+    means = materialize(rows.groupBy(spec.key).agg(*[F.expr(f"avg({q(c)}) AS _mean_{c}") for c in spec.channels])
+                        .withColumnRenamed(spec.key, "_of"))
+    if not fits_broadcast(means):
+        return None
+    frame = rows.join(F.broadcast(means), F.col(spec.key).eqNullSafe(F.col("_of"))).drop("_of")
+    frame = frame.selectExpr("*", *[f"{q(c)} - _mean_{c} AS _d_{c}" for c in spec.channels])
+    aggs = moment_aggs(spec)
+    order = f"struct({spec.order_sql})"
+    for s in spec.signals:
+        if spec.has("trend"):
+            aggs[f"{s}_trend"] = trend_sql(s, spec.time)
+        if spec.has("mean_change"):
+            aggs[f"{s}_mean_change"] = mean_change_sql(spec, s, order)
+    channels = {c: spec.percentiles_of(c) for c in spec.percentile_channels()}
+    aggs.update({f"_pq_{c}": f"percentile({q(c)}, array({', '.join(repr(p) for p in ps)}))" for c, ps in channels.items()})
+    out = _agg(frame, spec.key, aggs).selectExpr("*", *named(moment_outputs(spec)))
+    return out.selectExpr("*", *named(percentile_outputs(spec, from_arrays=True))) if channels else out
+
+
 def trip_features(df: DataFrame, spec: TripSpec | None = None, max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
                   block_rows: int | None = None, **spec_kwargs) -> DataFrame:
     """One row per trip: the key and the features of ``spec.families`` (all 696 by default).
@@ -197,8 +226,14 @@ def trip_features(df: DataFrame, spec: TripSpec | None = None, max_group_rows: i
     names = [n for n in output_names(spec) if spec.wants(n)]
     if set(spec.families) <= set(LIGHT_FAMILIES):
         return _light_features(base, spec).select(spec.key, *names)
+    two_scans = spec.moments and set(spec.families) <= set(MOMENT_FAMILIES)
+    if two_scans and not spec.percentile_channels():  # for trips of any size
+        out = _two_scan_features(base, spec)
+        if out is not None:
+            return out.select(spec.key, *names)
     normal, hot, _ = split_hot_keys(base, spec.key, max_group_rows)
-    out = _normal_features(normal, spec).select(spec.key, *names)
+    out = _two_scan_features(normal, spec) if two_scans and spec.percentile_channels() else None
+    out = (out if out is not None else _normal_features(normal, spec)).select(spec.key, *names)
     if hot is not None:
         out = out.unionByName(_hot_features(hot, spec, block_rows or DEFAULT_BLOCK_ROWS).select(spec.key, *names))
     return out

@@ -13,10 +13,8 @@ save -> load -> score) is the same.
 
 from __future__ import annotations
 
-import json
 import math
 import random
-import time
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -32,6 +30,7 @@ from tripsense import schema as S
 from tripsense.operators.keyed import global_rank
 from tripsense.operators.sampling import holdout, kfold, seeded_order
 from tripsense.operators.trip_aggregates import q
+from tripsense.plans import registry
 from tripsense.session import materialize
 
 #: rounds of the two model families and evaluations of the search
@@ -182,30 +181,13 @@ def feature_importance(model: PipelineModel, feature_cols: Sequence[str], k: int
 
 
 def save_model(model: PipelineModel, root: str, params: dict, version: int | None = None) -> str:
-    """Store the model under ``root/<unix time>/model`` and the parameters as JSON beside it."""
-    version = version or int(time.time())
-    path = f"{root.rstrip('/')}/{version}"
-    model.write().overwrite().save(f"{path}/model")
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(json.dumps(params, sort_keys=True),)], "hyperparameters string") \
-        .coalesce(1).write.mode("overwrite").json(f"{path}/hyperparameter")
-    return path
+    """Store and publish the model and its parameters (S6); see :mod:`tripsense.plans.registry`."""
+    return registry.publish(model, root, params, version)
 
 
 def latest_model_path(root: str) -> str:
-    """The lexicographically largest version folder under ``root`` (S7), via the Hadoop file system."""
-    spark = SparkSession.getActiveSession()
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        raise FileNotFoundError(f"no model folder at {root}")
-    versions = sorted(st.getPath().getName() for st in fs.listStatus(path) if st.isDirectory())
-    candidates = [v for v in versions if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{v}/model"))]
-    if not candidates:
-        raise FileNotFoundError(f"no saved model under {root}")
-    return f"{root.rstrip('/')}/{candidates[-1]}/model"
+    """The path of the latest published model under ``root``."""
+    return registry.latest(SparkSession.getActiveSession(), root)
 
 
 def load_model(path: str) -> PipelineModel:
