@@ -275,7 +275,7 @@ def q_gbt_score_valid(spark, sf_dir):
     return q_gbt_score(spark, sf_dir).select("l_suppkey", F.col("probability").between(0, 1).alias("valid"))
 
 
-PLANTED = "Speed_std"
+PLANTED = "Speed_skew"
 
 
 def q_gbt_planted_top(spark, sf_dir):
