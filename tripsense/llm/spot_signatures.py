@@ -15,7 +15,7 @@ the first row of each block is copied to the block before it.
 Defined results: NULL text counts as empty; a text without words but with characters has one
 signature, its own hash; the empty text has none, and two empty sets are alike (1.0); rows of
 the same id are ordered by a hash of the text, rows without an id come last; a single
-document is its own neighbour; an empty table gives an empty result.
+document is its own neighbour; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,32 +42,46 @@ _START = "^"
 _ANY = "*"
 
 
-#: joins a function word to what follows it, so that a run of them and its content word are one token
-_TIE = "\x01"
-_ANCHOR = rf"(?<= )(\^|{'|'.join(ANCHORS)}) "
-_CHAIN = rf"(?<=[ {_TIE}])(?=([^ {_TIE}]++{_TIE}[^ {_TIE}]++ (?:[^ ]++ ){{0,{CHAIN - 1}}}))"
-#: a word of a stretch of untied ones of some length, if another word follows; later words go on where the last match ended
-_UNTIED = rf"(?:\G|(?=(?: [^ {_TIE}]++){{%d}} )) ([^ {_TIE}]++)(?= [^ ])"
-_INNER = rf"(?<=[ {_TIE}])[^ {_TIE}\n]++{_TIE}"
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct signature hashes of a text (array of long, 32 bits each).
+def _signatures_of(words: Column) -> Column:
+    """Signature hashes of an array of words that begins with the start mark, one per chain.
 
-    The patterns repeat character classes only, so they need neither a stack nor quadratic time on long
-    runs of a word.
+    The words between two anchors are a gap. As content words keep their order, the ``k``-th anchor at place ``p`` is
+    followed by the content word number ``p - k``.
     """
-    words = F.concat(F.lit(f" {_START} "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    tied = F.regexp_replace(words, _ANCHOR, f"$1{_TIE}")
-    anchored = F.locate(_TIE, tied, len(_START) + 3) > 0   # by more than the start
-    every = lambda least: F.regexp_replace(tied, _UNTIED % least, f" {_ANY}{_TIE}$1")
-    tied = F.when(anchored, every(SPARSE)).otherwise(every(1))
-    chains = F.array_join(F.regexp_extract_all(tied, F.lit(_CHAIN), F.lit(1)), "\n")
-    clean = F.regexp_replace(chains, _INNER, "")
-    hashes = F.transform(F.split(clean, "\n"), lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))
+    anchor = lambda x: x.isin(_START, *ANCHORS)
+
+    def chains(places: Column, content: Column) -> Column:
+        least = F.when(F.size(places) > 1, SPARSE).otherwise(1)  # by more than the start
+        sign = lambda mark, j: F.xxhash64(mark, F.get(content, j), F.get(content, j + 1)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+        def gap(place: Column, k: Column) -> Column:
+            following = F.coalesce(F.get(places, k + 1), F.size(words))
+            rest = following - place - 2                   # content words of the gap after the first one
+            first = F.when(rest >= 0, F.array(sign(F.get(words, place), place - k))).otherwise(none)
+            # each of a long stretch, if another word follows
+            last = F.least(rest, F.size(words) - place - 3)
+            more = F.when((rest >= least) & (last >= 1), F.transform(F.sequence(F.lit(1), last), lambda m: sign(F.lit(_ANY), place - k + m)))
+            return F.concat(first, F.coalesce(more, none))
+
+        return F.flatten(F.transform(places, gap))
+
+    none = F.array().cast("array<bigint>")
+    places = F.filter(F.transform(words, lambda x, i: F.when(anchor(x), i)), lambda i: i.isNotNull())
+    return _let(places, lambda p: _let(F.filter(words, lambda x: ~anchor(x)), lambda c: chains(p, c)))
+
+
+def signatures(text: Column) -> Column:
+    """Sorted distinct signature hashes of a text (array of long, 32 bits each)."""
+    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    hashes = _let(F.split(F.rtrim(F.concat(F.lit(f"{_START} "), words)), " "), _signatures_of)
     alone = F.when(F.length(text) > 0, F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(
         F.array().cast("array<bigint>"))
-    return F.when(F.length(clean) > 0, F.sort_array(F.array_distinct(hashes))).otherwise(alone)
+    return _let(hashes, lambda h: F.when(F.size(h) > 0, F.sort_array(F.array_distinct(h))).otherwise(alone))
 
 
 def fingerprint(signs: Column) -> Column:
