@@ -18,12 +18,18 @@ from tripsense.llm.common import shuffle_partitions, text_or_empty
 from tripsense.llm.segments import release
 
 
+def dealt(rows: DataFrame, n: int, column: str) -> DataFrame:
+    """``rows`` with block (or shard) ``k`` in partition ``k``: one a task, where hashing its number would put several
+    into some tasks and none into others. Both sides of a cogroup must be dealt alike."""
+    return rows.repartitionById(n, column)
+
+
 def by_block(docs: DataFrame, id_col: str, text_col: str, *more: str) -> tuple[DataFrame, int]:
     """``block, _id, _text`` and further columns, shuffled by block, and the number of blocks."""
     n = shuffle_partitions(docs)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_or_empty(text_col).alias("_text"), *more)
     block = F.pmod(F.xxhash64("_id", "_text"), F.lit(n)).cast("int").alias("block")
-    return rows.select(block, "_id", "_text", *more).repartition(n, "block"), n
+    return dealt(rows.select(block, "_id", "_text", *more), n, "block"), n
 
 
 #: bytes of text that a block holds on average at least
@@ -56,7 +62,7 @@ def packed_blocks(rows: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())],
                                              ["block", "payload"])
 
-    return rows.mapInArrow(pack, "block int, payload binary").repartition(n, "block")
+    return dealt(rows.mapInArrow(pack, "block int, payload binary"), n, "block")
 
 
 def unpack(table, columns: int) -> list[list]:

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripsense.llm.blocks import member_of, packed, packed_blocks, packed_sorted, shard_rows, unpack, unpacked, unpacked_sorted
+from tripsense.llm.blocks import dealt, member_of, packed, packed_blocks, packed_sorted, shard_rows, unpack, unpacked, unpacked_sorted
 from tripsense.llm.common import shuffle_partitions, text_or_empty
 from tripsense.llm.components import components
 from tripsense.llm.segments import SegmentHasher, Words, mix64, ranges, slices, window_hashes
@@ -136,10 +136,10 @@ def _verified(blocks: DataFrame, n: int, pairs: DataFrame, size: int, percent: i
     """The pairs ``(a, b)`` whose sets link."""
     routed = pairs.select("a", "b", _block_of("a", n).alias("from"), _block_of("b", n).alias("block"))
     need = routed.select(F.col("from").alias("block"), F.col("a").alias("id"), F.col("block").alias("target")).distinct()
-    sets = blocks.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(
+    sets = blocks.groupBy("block").cogroup(dealt(need, n, "block").groupBy("block")).applyInArrow(
         _send_sets(size), "block int, a bigint, b bigint, tokens binary")
     asked = routed.select("block", "a", "b", F.lit(None).cast("binary").alias("tokens"))
-    return blocks.groupBy("block").cogroup(sets.unionByName(asked).groupBy("block")).applyInArrow(
+    return blocks.groupBy("block").cogroup(dealt(sets.unionByName(asked), n, "block").groupBy("block")).applyInArrow(
         _verify(size, percent), "a bigint, b bigint")
 
 
@@ -345,11 +345,11 @@ def links(docs: DataFrame, reps: DataFrame, stars: DataFrame, id_col: str, text_
     rooted = (reps.join(near, "node", "left")
               .select(_block_of("node", n).alias("block"), "node", F.coalesce("root", "node").alias("root")).repartition(n, "block"))
     counts = blocks.groupBy("block").cogroup(rooted.groupBy("block")).applyInArrow(_count_tokens(n, size, bits), _ROWS_SCHEMA)
-    often = counts.groupBy("shard").applyInArrow(_frequent(frequent, n), _ROWS_SCHEMA)
+    often = dealt(counts, n, "shard").groupBy("shard").applyInArrow(_frequent(frequent, n), _ROWS_SCHEMA)
     known = rooted.select("block", "node", "root", F.lit(None).cast("binary").alias("keys")).unionByName(
         often.select("block", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("root"), "keys"))
-    index = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_index(n, size, percent, bits), _ROWS_SCHEMA)
-    met = (index.groupBy("shard").applyInArrow(_meet(percent), "a bigint, b bigint, common bigint, strict boolean")
+    index = blocks.groupBy("block").cogroup(dealt(known, n, "block").groupBy("block")).applyInArrow(_index(n, size, percent, bits), _ROWS_SCHEMA)
+    met = (dealt(index, n, "shard").groupBy("shard").applyInArrow(_meet(percent), "a bigint, b bigint, common bigint, strict boolean")
            .groupBy("a", "b").agg(F.sum("common").alias("common"), F.bool_or("strict").alias("strict")))
     sizes = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
     k = F.greatest(F.lit(2), F.ceil(F.least("n_a", "n_b") / 12))

@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripsense.llm.blocks import Positions, block_count, packed, packed_blocks, shard_rows, unpack, unpacked
+from tripsense.llm.blocks import Positions, block_count, dealt, packed, packed_blocks, shard_rows, unpack, unpacked
 from tripsense.llm.common import broadcast_if_small, text_or_empty
 from tripsense.llm.segments import mix64, slices
 from tripsense.session import materialize
@@ -337,7 +337,8 @@ def log_likelihoods(docs: DataFrame, model: DataFrame, unseen: float, id_col: st
     id_type = dict(docs.dtypes)[id_col]
     asked = blocks.groupBy("block").applyInArrow(_needed(n_blocks), _ROWS)
     sharded = model.select("gram", "logp", "logb").mapInArrow(_sharded(n_blocks), "shard int, key bigint, logp double, logb double")
-    answers = asked.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_join, _ROWS)
+    answers = (dealt(asked, n_blocks, "shard").groupBy("shard").cogroup(dealt(sharded, n_blocks, "shard").groupBy("shard"))
+               .applyInArrow(_join, _ROWS))
 
     def score(left, right):
         import pyarrow as pa
@@ -352,7 +353,7 @@ def log_likelihoods(docs: DataFrame, model: DataFrame, unseen: float, id_col: st
 
     from pyspark.sql.pandas.types import to_arrow_type
     id_arrow = to_arrow_type(docs.schema[id_col].dataType)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    return blocks.groupBy("block").cogroup(dealt(answers, n_blocks, "block").groupBy("block")).applyInArrow(
         score, f"_id {id_type}, _lang string, _held boolean, _n bigint, _ll double, _fresh bigint")
 
 

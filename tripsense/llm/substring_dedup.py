@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripsense.llm.blocks import by_block, member_of, packed, shard_rows, unpacked
+from tripsense.llm.blocks import by_block, dealt, member_of, packed, shard_rows, unpacked
 from tripsense.llm.segments import SegmentHasher, Words, mix64, slices
 
 WINDOW = 20
@@ -290,11 +290,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: id, ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space)."""
     blocks, n = by_block(docs, id_col, text_col)
     names = blocks.groupBy("block").applyInArrow(_symbols_of(n, window, rounds), _ROWS_SCHEMA)
-    shared = names.groupBy("shard").applyInArrow(_shared, _ROWS_SCHEMA)
-    windows = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
+    shared = dealt(names, n, "shard").groupBy("shard").applyInArrow(_shared, _ROWS_SCHEMA)
+    windows = blocks.groupBy("block").cogroup(dealt(shared, n, "block").groupBy("block")).applyInArrow(
         _windows_of(n, window, rounds), _ROWS_SCHEMA)
-    firsts = windows.groupBy("shard").applyInArrow(_firsts, _ROWS_SCHEMA)
-    out = blocks.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(
+    firsts = dealt(windows, n, "shard").groupBy("shard").applyInArrow(_firsts, _ROWS_SCHEMA)
+    out = blocks.groupBy("block").cogroup(dealt(firsts, n, "block").groupBy("block")).applyInArrow(
         _removed_of(window), "_id bigint, n_words bigint, n_removed bigint, kept_text string")
     return out.withColumnRenamed("_id", id_col)
 
