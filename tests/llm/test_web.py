@@ -160,6 +160,35 @@ def found(data):
     return [x[3]["warc-record-id"] for x in out if x[0] == "record"], [(x[1], x[2]) for x in out if x[0] == "gap"]
 
 
+def test_salvage_searches_an_archive_once(monkeypatch):
+    """However many members are damaged, the bytes searched for version lines and members stay those of the archive."""
+    searched = []
+
+    class Watch(warc._Forward):
+        def __init__(self, find):
+            super().__init__(lambda k: (out := find(k), searched.append((end if out is None else out) - k))[0])
+
+    monkeypatch.setattr(warc, "_Forward", Watch)
+    for n in (50, 200):
+        parts = [bytearray(warc.member(r)) for r in records(n)]
+        for p in parts[5:-5]:
+            p[len(p) // 2] ^= 0x55
+        data = b"".join(parts)
+        end = len(data)
+        searched.clear()
+        ids, gaps = found(data)
+        assert ids == [f"<urn:page:{k}>" for k in (*range(5), *range(n - 5, n))] and sum(searched) <= 2 * end + n
+        assert gaps == [(sum(map(len, parts[:5])), sum(map(len, parts[5:-5])))]
+
+
+def test_forward_equals_a_search_from_each_place():
+    rng = random.Random(1)
+    data = "".join(rng.choice("ab") for _ in range(300))
+    look = warc._Forward(lambda k: None if (m := data.find("abba", k)) < 0 else m)
+    places = sorted(rng.choices(range(300), k=80)) + rng.choices(range(300), k=40)
+    assert [look(k) for k in places] == [None if data.find("abba", k) < 0 else data.find("abba", k) for k in places]
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_salvage(packed):
     parts = [warc.member(r) if packed else r for r in records()]

@@ -131,18 +131,20 @@ def read_member(data: memoryview, at: int, size: int = 1 << 16) -> tuple[bytes,
     unpacker, out, pos = zlib.decompressobj(31), [], at
     try:
         while not unpacker.eof and pos < len(data):
-            piece = data[pos:pos + size]
+            before, piece = unpacker.copy(), data[pos:pos + size]
             out.append(unpacker.decompress(piece))
             pos += len(piece)
     except zlib.error as e:
-        unpacker = zlib.decompressobj(31)                 # again, the failed piece byte by byte
-        out = [unpacker.decompress(data[at:pos])]
-        try:
-            while True:
-                out.append(unpacker.decompress(data[pos:pos + 1]))
-                pos += 1
-        except zlib.error:
-            return b"".join(out), pos, f"gzip member: {e}"
+        unpacker, piece = before, data[pos:pos + size]    # the failed piece again, by halves
+        while len(piece) > 1:
+            half, trial = piece[:len(piece) // 2], unpacker.copy()
+            try:
+                out.append(trial.decompress(half))
+            except zlib.error:
+                piece = half
+            else:
+                unpacker, pos, piece = trial, pos + len(half), piece[len(half):]
+        return b"".join(out), pos, f"gzip member: {e}"
     if not unpacker.eof:
         return b"".join(out), pos, "gzip member is cut off"
     return b"".join(out), pos - len(unpacker.unused_data), ""
@@ -170,6 +172,19 @@ def member_records(plain: bytes) -> tuple[list[tuple[dict, bytes, int, int]], li
     return found, gaps
 
 
+class _Forward:
+    """The next match at or after a place. What one search has found answers all later ones up to there, so the
+    bytes of an archive are searched once however many records are damaged."""
+
+    def __init__(self, find):
+        self.find, self.begin, self.found = find, None, None
+
+    def __call__(self, at: int) -> int | None:
+        if self.begin is None or at < self.begin or self.found is not None and at > self.found:
+            self.begin, self.found = at, self.find(at)
+        return self.found
+
+
 def salvage(data: bytes):
     """All valid records of an archive and its gaps: ``("record", offset, length, header, block)`` and
     ``("gap", offset, length, reason)``, in order.
@@ -179,6 +194,8 @@ def salvage(data: bytes):
     falls with the member. The length of records of a damaged member is 0.
     """
     view, at, end = memoryview(data), 0, len(data)
+    next_version = _Forward(lambda k: getattr(_VERSION.search(data, k), "start", lambda: None)())
+    next_member = _Forward(lambda k: None if (m := data.find(_MEMBER, k)) < 0 else m)
     bad_from, reason = None, ""
     while at < end:
         found, gaps, wrong, search = [], [], "", at + 1
@@ -200,8 +217,7 @@ def salvage(data: bytes):
                 yield "record", at, 0, head, block
             if bad_from is None:
                 bad_from, reason = at, wrong
-            nexts = [x for x in (data.find(_MEMBER, at + 1), getattr(_VERSION.search(data, search), "start", lambda: -1)()) if x >= 0]
-            at = min(nexts, default=end)
+            at = min((x for x in (next_member(at + 1), next_version(search)) if x is not None), default=end)
             continue
         if bad_from is not None:
             yield "gap", bad_from, at - bad_from, reason, b""
