@@ -180,7 +180,7 @@ def test_pipeline_equals_brute_force(spark, small_folder):
     out = corpus_pipeline.run(spark, small_folder).collect()
     copies = Counter(r["doc_id"] for r in out)
     assert set(copies) <= set(text) and max(copies.values()) <= 2
-    assert all(r["ids"] == library.encode_ordinary(text[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) for r in out)
+    assert all(r["ids"] == library.encode_ordinary(text[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) and r["intact"] for r in out)
     size = {i: len(t.encode().split()) for i, t in text.items()}
     taken = sum(size[i] * n for i, n in copies.items())
     assert 1.5 * sum(size.values()) - max(size.values()) <= taken <= 1.5 * sum(size.values())

@@ -55,6 +55,16 @@ def test_bpe_round_trip_and_digest(spark, reference):
     assert bpe.op8(docs.limit(0)).count() == 0
 
 
+def test_bpe_round_trip_is_compared(spark, reference):
+    path, library = reference
+    texts = EDGE + tricky(60)
+    for r in bpe.bpe_round_trip(documents(spark, texts, extra=True), path).collect():
+        text = (texts[r["doc_id"]] or "").encode()
+        assert r["intact"] and r["decoded_sha256"] == hashlib.sha256(text).hexdigest()
+        assert b"".join(text[a:b] for a, b in zip(r["offsets"], [*r["offsets"][1:], len(text)])) == text
+        assert [library.decode_single_token_bytes(i) for i in r["ids"]] == [text[a:b] for a, b in zip(r["offsets"], [*r["offsets"][1:], len(text)])]
+
+
 @pytest.mark.parametrize("weak", [lambda n: n * 0, lambda n: n, lambda n: n % 3])
 def test_bpe_with_colliding_hashes(reference, weak):
     """Equal hashes of different pieces, in one batch and between batches (by length: pieces of one length collide)."""

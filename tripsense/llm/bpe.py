@@ -343,6 +343,25 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
     return _run(docs, vocabulary_path, "ids array<int>, offsets array<int>", make, id_col, text_col)
 
 
+def bpe_round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: ``ids``, ``offsets``, the sha256 of the bytes decoded from the ids, and ``intact``: whether those are
+    the bytes of the text and every offset is where its token's bytes begin."""
+    def make(pa, encoder, texts):
+        ids, per, offset = encoder.encode(texts)
+        edge = np.concatenate([[0], np.cumsum(per)])
+        size = encoder.vocab.lengths[ids]
+        run = np.concatenate([[0], np.cumsum(size)])
+        plain, at = encoder.decode(ids).tobytes(), run[edge].tolist()
+        placed = offset + np.repeat(run[edge[:-1]], per) == run[:-1]
+        wrong = np.diff(np.concatenate([[0], np.cumsum(~placed)])[edge]) > 0
+        decoded = [plain[a:b] for a, b in zip(at, at[1:])]
+        cuts = pa.array(edge.astype(np.int32))
+        return [*(pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (ids, offset)),
+                pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
+                pa.array([d == t and not w for d, t, w in zip(decoded, texts, wrong)], pa.bool_())]
+    return _run(docs, vocabulary_path, "ids array<int>, offsets array<int>, decoded_sha256 string, intact boolean", make, id_col, text_col)
+
+
 def bpe_decode(rows: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: ``text`` from its ids (invalid UTF-8 is replaced); NULL ids give the empty text."""
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(vocabulary_path)))
