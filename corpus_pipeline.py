@@ -48,8 +48,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return bpe.bpe_encode(docs, bpe.default_vocabulary()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids and byte offsets of every document, and what decoding the ids gives: its hash and whether it is the text."""
+    coded = bpe.bpe_round_trip(docs, bpe.default_vocabulary())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets", "decoded_sha256", "intact")
 
 
 STAGES = [
