@@ -75,7 +75,7 @@ def test_classifier_on_labelled_documents(spark):
     rows = out.join(table(spark, sf, "labels"), "doc_id").select("quality", "kept").collect()
     good = [r["kept"] for r in rows if r["quality"] == 1]
     bad = [r["kept"] for r in rows if r["quality"] == 0]
-    assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.25 * len(bad)
+    assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.02 * len(bad)
 
 
 def test_fresh_characters_equal_brute_force(monkeypatch):

@@ -123,6 +123,66 @@ def test_language_mixture_and_edges(spark):
     assert language_id.op1(docs.limit(0)).count() == 0
 
 
+def brute_mixture(text, letters, model, penalty):
+    """Shares of one text by the method's definition: EM over all languages, then the best penalised prefix of them."""
+    counts = {}
+    for b in language_id.trigrams([text], letters)[0].tolist():
+        counts[b] = counts.get(b, 0) + 1
+    n, total = model.shape[1], sum(counts.values())
+    if not counts:
+        return [0.0] * n
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            new = [0.0] * n
+            for b, c in counts.items():
+                w = [float(model[b, j]) * share[j] for j in range(n)]
+                for j in range(n):
+                    new[j] += c * w[j] / sum(w) / total
+            share = new
+        return share, sum(c * np.log(sum(float(model[b, j]) * share[j] for j in range(n))) for b, c in counts.items())
+
+    share, _ = em([1 / n] * n, language_id._ROUNDS)
+    order = sorted(range(n), key=lambda j: (-share[j], j))
+    size = np.log(max(total, 2))
+    best, best_score = None, -np.inf
+    for k in range(1, n + 1):
+        if k > 1 and share[order[k - 1]] <= 1e-3:
+            break
+        begin = [share[j] if j in order[:k] else 0.0 for j in range(n)]
+        found, like = em([x / sum(begin) for x in begin], 0 if k == 1 else language_id._ROUNDS // 2)
+        if like - 0.5 * penalty * k * size <= best_score:
+            break
+        best, best_score = found, like - 0.5 * penalty * k * size
+    return best
+
+
+def test_mixtures_equal_brute_force(spark):
+    """Texts of one, two and three languages: proportions and chosen sets are those of the definition."""
+    sample = {r["lang"]: r["t"] for r in table(spark, "/root/testdata/sf0.001", "documents").filter("n_chars > 400").groupBy("lang")
+              .agg(F.max_by(F.substring("text", 1, 400), "doc_id").alias("t")).collect()}
+    names, model = language_id.train(table(spark, "/root/testdata/sf0.001", "documents"))
+    letters = language_id.letter_table()
+    assert names == sorted(names) and len(names) == 4 and np.allclose(model.sum(axis=0), 1, atol=1e-3)
+    a, b, c, _ = (sample[x] for x in names)
+    texts = [a, b, a + " " + b, a[:200] + " " + b + " " + c, a[:30], "x", "12", c * 3, a[:60] + " " + c]
+    got = language_id.infer(texts, letters, model)
+    want = np.array([brute_mixture(t, letters, model, language_id.PENALTY) for t in texts])
+    assert np.allclose(got, want, atol=1e-6) and ((got > 0) == (want > 0)).all()
+    assert [(g > 0).sum() for g in got[:3]] == [1, 1, 2]
+
+
+def test_language_ties_long_texts_and_repeated_rows(spark):
+    model = np.full((language_id.BINS, 3), 1 / language_id.BINS, np.float32)  # three languages that explain all alike
+    long = "Some words of a long text, again and again. " * 20_000
+    docs = documents(spark, ["any text", long, "any text", "any text"], extra=True, ids=[1, 2, 1, 3])
+    rows = language_id.identify(docs, ["aa", "bb", "cc"], model).collect()
+    assert [(r["doc_id"], r["lang_pred"], r["score"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == [(i, "aa", 1.0) for i in (1, 1, 2, 3)]
+    many = documents(spark, ["text"] * (language_id.MAX_LANGUAGES + 1)).withColumn("lang", F.col("doc_id").cast("string"))
+    with pytest.raises(ValueError):
+        language_id.train(many)
+
+
 # ------------------------------------------------------------------------------------------- spot signatures
 def brute_signatures(text):
     import re

@@ -13,7 +13,8 @@ boundary on either side. All documents of a slice go through EM together.
 Defined results: NULL text or text without a letter gives ``und`` with score 0; documents
 without a language, or with empty text, teach nothing; without any training rows every
 document is ``und``; repeated rows repeat their result; more than ``MAX_LANGUAGES``
-distinct language values is an error (the model is broadcast: bins x languages x 4 bytes).
+distinct language values is an error (the model is broadcast: bins x languages x 4 bytes); languages that
+explain a text equally well are taken in the order of their names; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -83,21 +84,18 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
     rows = docs.select(F.col(lang_col).cast("string"), F.col(text_col)).filter(
         F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = (rows.mapInArrow(count, "lang string, bin int, n bigint")
-              .groupBy("lang", "bin").agg(F.sum("n").alias("n")))
-    # at most BINS rows a language, whatever the corpus
-    most = BINS * MAX_LANGUAGES
-    table = counts.limit(most + 1).toArrow()
-    names = sorted(set(table.column("lang").to_pylist()))
-    if len(names) > MAX_LANGUAGES:
+    if rows.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    model = np.zeros((BINS, len(names)), np.float64)
-    column = {x: k for k, x in enumerate(names)}
-    where = np.array([column[x] for x in table.column("lang").to_pylist()], np.int64)
-    if len(names):
-        model[table.column("bin").to_numpy(), where] = table.column("n").to_numpy()
-        model = (model + SMOOTHING) / (model.sum(axis=0) + SMOOTHING * BINS)
-    return names, model.astype(np.float32)
+    # BINS entries a language at most, whatever the corpus; one language at a time comes to the driver
+    counts = (rows.mapInArrow(count, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+              .groupBy("lang").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts")))
+    columns = {}
+    for row in counts.toLocalIterator():
+        column = np.full(BINS, SMOOTHING)
+        column[np.array(row["bins"], np.int64)] += np.array(row["counts"], np.float64)
+        columns[row["lang"]] = (column / column.sum()).astype(np.float32)
+    names = sorted(columns)
+    return names, np.stack([columns[x] for x in names], axis=1) if names else np.zeros((BINS, 0), np.float32)
 
 
 def _em(p: np.ndarray, c: np.ndarray, owner: np.ndarray, first: np.ndarray, share: np.ndarray, rounds: int):
