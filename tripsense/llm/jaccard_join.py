@@ -366,10 +366,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = materialize(info.filter("n > 0 AND _id IS NOT NULL").groupBy("print", "n")
                        .agg(F.min("_id").alias("node"), F.first("keys").alias("keys")))
     by_key = reps.select("node", "n", F.explode("keys").alias("key"))
-    shared = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # tables of keys are stored before they are joined: a join of two plain exchanges is one that Spark splits where a key
+    # is hot, which it can't where an aggregate holds the rows of a key together
+    shared = materialize(by_key.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
     by_key = by_key.join(shared, "key")
     known = materialize(by_key.join(by_key.groupBy("node").agg(F.sum("c").alias("weight")), "node"))
-    pivots = known.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("first"), "n")).alias("top"))
+    pivots = materialize(known.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("first"), "n")).alias("top")))
     stars = (known.join(pivots.select("key", (-F.col("top.first")).alias("a"), F.col("top.n").alias("m")), "key")
              .filter(F.col("a") != F.col("node"))
              .filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
