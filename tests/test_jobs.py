@@ -28,7 +28,7 @@ def test_train_then_predict(spark, monkeypatch):
     assert telemetry.count() == trips.count() and lab.filter("_block = 0").count() == lab.count()
     monkeypatch.setattr(jobs, "FEATURES", list(S.TOP_100_FEATURES[:6]))
     jobs.main(["-m", "training", "-if", f"{root}/features", "-il", f"{root}/labels", "-md", f"{root}/models",
-               "--trials", "1", "--rounds", "2", "--scale_pos_weight", "2"])
+               "--trials", "1", "--rounds", "2", "--scale_pos_weight", "2", "--families", "gbt,forest"])
     assert glob.glob(f"{root}/models/gbt/*/model") and glob.glob(f"{root}/models/forest/*/model")
     jobs.main(["-m", "predict", "-if", f"{root}/features", "-o", f"{root}/out2", "-md", f"{root}/models", "--family", "forest"])
     pred = jobs.predict(spark, telemetry, f"{root}/models", f"{root}/out")

@@ -68,7 +68,7 @@ def test_patience_stops_at_the_best_stage(spark):
 def test_final_fit_uses_patience(spark):
     x, y = planted(150)
     df, names = table(spark, x, y)
-    model, held = M.fit_final(df, names, {"maxDepth": 3.0, "stepSize": 0.4}, rounds=40, patience=3)
+    model, held = M.fit_final(df, names, {"maxDepth": 3.0, "stepSize": 0.4, "maxBins": 200.0}, "gbt2", rounds=40, patience=3)
     assert 1 <= model.stages[-1].getNumTrees < 40 and held.count() == 30
     assert held.columns == [S.KEY, "y_true", "y_pred"]
 

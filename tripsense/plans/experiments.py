@@ -22,7 +22,7 @@ from tripsense.operators.evaluation import cv_mean_auc
 from tripsense.operators.profile import rank_experiments
 from tripsense.operators.sampling import holdout, kfold, under_sample
 from tripsense.plans.boosting import fit_with_patience
-from tripsense.plans.modeling import FOREST_TREES, GBT_ROUNDS, PATIENCE, build_pipeline, feature_importance, nullable_features, typed
+from tripsense.plans.modeling import BOOSTED, FOREST_TREES, PATIENCE, build_pipeline, feature_importance, nullable_features, typed
 from tripsense.session import ensure_checkpoint_dir
 
 
@@ -50,30 +50,31 @@ EXPERIMENTS = (
     Experiment(8, "top 200 features", top=200),
 )
 #: model family -> AUC column of the experiment table
-COLUMNS = {"gbt": "average_roc_auc_xgboost", "forest": "average_roc_auc_lightgbm"}
+COLUMNS = {"gbt": "average_roc_auc_xgboost", "gbt2": "average_roc_auc_lightgbm", "forest": "average_roc_auc_lightgbm"}
 
 
 def _fit(train: DataFrame, columns: Sequence[str], family: str, params: dict, rounds: int | None, patience: int, label: str, key: str):
     nullable = nullable_features(train, columns)
 
     def pipeline(n):
-        return build_pipeline(columns, family, label, {**typed(params), "maxIter" if family == "gbt" else "numTrees": n}, nullable=nullable)
+        return build_pipeline(columns, family, label, {**typed(params), "maxIter" if family in BOOSTED else "numTrees": n}, nullable=nullable)
 
-    if family != "gbt":
+    if family not in BOOSTED:
         return pipeline(rounds or FOREST_TREES).fit(train)
     split = holdout(train, key).persist()  # boosting stops on rows of the training folds, never on the scored fold
     try:
-        return fit_with_patience(split.filter(~F.col("is_test")), split.filter(F.col("is_test")), pipeline, rounds or GBT_ROUNDS, patience, label)[0]
+        return fit_with_patience(split.filter(~F.col("is_test")), split.filter(F.col("is_test")), pipeline, rounds or BOOSTED[family], patience, label)[0]
     finally:
         split.unpersist()
 
 
 def run_experiments(features: DataFrame, feature_cols: Sequence[str], experiments: Sequence[Experiment] = EXPERIMENTS,
-                    families: Sequence[str] = ("gbt", "forest"), label: str = S.LABEL, key: str = S.KEY, folds: int = S.KFOLD_COUNT,
+                    families: Sequence[str] = ("gbt", "gbt2"), label: str = S.LABEL, key: str = S.KEY, folds: int = S.KFOLD_COUNT,
                     log1p_cols: Sequence[str] = S.LOG1P_COLUMNS, params: dict[str, dict] | None = None, rounds: int | None = None,
                     patience: int = PATIENCE) -> DataFrame:
     """``experiment_id, changes`` and the mean fold AUC of each family, from labelled rows (no NULL label).
 
+    ``families``: one for each AUC column (the second one of boosted trees, ``gbt2``, or ``forest``).
     ``params``: fixed parameters per family (e.g. the best of ``cross_validate``). Rows are scored by models that
     have not seen their fold. A ``top`` run needs its base run before it in ``experiments``.
     """
@@ -103,10 +104,10 @@ def run_experiments(features: DataFrame, feature_cols: Sequence[str], experiment
                 held = model.transform(rows.filter(F.col("fold") == fold))
                 scored.append(held.select("fold", F.col(label).cast("int").alias("y_true"), vector_to_array("probability")[1].alias("y_pred")))
             aucs[family] = cv_mean_auc(reduce(DataFrame.unionByName, scored)).first()["mean_auc"]
-        out.append((e.experiment_id, e.changes, *[aucs.get(f) for f in COLUMNS]))
+        out.append((e.experiment_id, e.changes, *[next((aucs[f] for f in families if COLUMNS[f] == c), None) for c in dict.fromkeys(COLUMNS.values())]))
     return spark.createDataFrame(out, S.EXPERIMENT_SCHEMA)
 
 
 def ranked_experiments(table: DataFrame) -> DataFrame:
     """All runs of an experiment table by falling AUC."""
-    return rank_experiments(table, value_cols=tuple(COLUMNS.values()))
+    return rank_experiments(table, value_cols=tuple(dict.fromkeys(COLUMNS.values())))

@@ -15,6 +15,7 @@ from tripsense import schema as S
 from tripsense.operators.labels import drop_unlabelled, join_labels, last_label
 from tripsense.plans.features import trip_features_for
 from tripsense.plans.modeling import (
+    SPACES,
     TRIALS,
     cross_validate,
     fit_final,
@@ -30,7 +31,7 @@ FEATURES = list(S.TOP_100_FEATURES)
 
 
 def train(spark: SparkSession, telemetry: DataFrame, labels: DataFrame, model_root: str,
-          families=("gbt", "forest"), trials: int = TRIALS, rounds: int | None = None, scale_pos_weight: float = 1.0,
+          families=("gbt", "gbt2"), trials: int = TRIALS, rounds: int | None = None, scale_pos_weight: float = 1.0,
           label_order=("_file", "_block", "_row")) -> dict[str, dict]:
     """Features -> last label per trip -> (search by 5-fold AUC -> final fit -> save) for each family.
 
@@ -70,7 +71,8 @@ def main(argv=None):
     p.add_argument("--trials", type=int, default=TRIALS)
     p.add_argument("--rounds", type=int, help="boosting rounds or trees (default: 1000 and 500)")
     p.add_argument("--scale_pos_weight", type=float, default=1.0)
-    p.add_argument("--family", default="gbt", choices=["gbt", "forest"], help="the model that predicts")
+    p.add_argument("--families", default="gbt,gbt2", help="the models that are trained (gbt, gbt2, forest)")
+    p.add_argument("--family", default="gbt", choices=sorted(SPACES), help="the model that predicts")
     args = p.parse_args(argv)
     spark = get_session("tripsense-job")
     telemetry = read_csv_folder(spark, args.input_features_folder)
@@ -78,7 +80,7 @@ def main(argv=None):
         if not args.input_label_folder:
             raise SystemExit("training needs --input_label_folder")
         labels = read_csv_folder(spark, args.input_label_folder, S.LABEL_SCHEMA, with_file_order=True)
-        print(train(spark, telemetry, labels, args.model_root, trials=args.trials, rounds=args.rounds,
+        print(train(spark, telemetry, labels, args.model_root, families=args.families.split(","), trials=args.trials, rounds=args.rounds,
                     scale_pos_weight=args.scale_pos_weight))
     else:
         if not args.output_path:

@@ -33,8 +33,9 @@ from tripsense.operators.trip_aggregates import q
 from tripsense.plans import registry
 from tripsense.session import materialize
 
-#: rounds of the two model families and evaluations of the search
+#: rounds of the model families and evaluations of the search
 GBT_ROUNDS = 1000
+SECOND_GBT_ROUNDS = 500
 FOREST_TREES = 500
 TRIALS = 100
 #: rounds without a better AUC after which boosting stops
@@ -43,9 +44,16 @@ PATIENCE = 50
 #: ("quniform", low, high, step) are draws
 GBT_SPACE = {"maxDepth": ("quniform", 2, 6, 1), "stepSize": ("loguniform", 0.01, 0.3), "subsamplingRate": ("uniform", 0.5, 1.0),
              "minInstancesPerNode": ("quniform", 1, 6, 1)}
+#: the second boosted family: deeper trees on finer bins, held back by the rows a leaf needs
+SECOND_GBT_SPACE = {"maxDepth": ("quniform", 4, 8, 1), "stepSize": ("loguniform", 0.01, 0.2), "subsamplingRate": ("uniform", 0.5, 1.0),
+                    "minInstancesPerNode": ("quniform", 5, 40, 5), "maxBins": ("quniform", 200, 300, 10)}
 FOREST_SPACE = {"maxDepth": ("quniform", 4, 10, 1), "subsamplingRate": ("uniform", 0.5, 1.0),
                 "minInstancesPerNode": ("quniform", 5, 40, 5), "maxBins": ("quniform", 200, 300, 10)}
 
+#: parameter space of each family, and the rounds of the boosted ones
+SPACES = {"gbt": GBT_SPACE, "gbt2": SECOND_GBT_SPACE, "forest": FOREST_SPACE}
+BOOSTED = {"gbt": GBT_ROUNDS, "gbt2": SECOND_GBT_ROUNDS}
+
 
 #: where NULL stands beside the values of a feature: below all and above all
 _FILLS = {"__low": -1e300, "__high": 1e300}
@@ -70,15 +78,15 @@ def _features_stage(feature_cols: Sequence[str], nullable: Sequence[str]) -> lis
 
 def build_pipeline(feature_cols: Sequence[str], family: str = "gbt", label: str = S.LABEL,
                    params: dict | None = None, seed: int = 11, nullable: Sequence[str] | None = None) -> Pipeline:
-    """Filling + assembler + classifier; ``family`` is ``gbt`` (M3) or ``forest`` (M4). ``nullable``: the features that may
+    """Filling + assembler + classifier; ``family`` is ``gbt`` (M3), ``gbt2`` or ``forest`` (M4). ``nullable``: the features that may
     send NULL either way (all, unless named); NULL in another one counts as lowest."""
     params = dict(params or {})
-    if family == "gbt":
+    if family in BOOSTED:
         clf = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, **params)
     elif family == "forest":
         clf = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed, **params)
     else:
-        raise ValueError("family must be 'gbt' or 'forest'")
+        raise ValueError(f"family must be one of {sorted(SPACES)}")
     return Pipeline(stages=[*_features_stage(feature_cols, feature_cols if nullable is None else nullable), clf])
 
 
@@ -111,7 +119,7 @@ def with_class_weight(df: DataFrame, label: str = S.LABEL, scale_pos_weight: flo
 
 
 def _rounds(family: str, rounds: int | None) -> dict:
-    return {"maxIter": rounds or GBT_ROUNDS} if family == "gbt" else {"numTrees": rounds or FOREST_TREES}
+    return {"maxIter": rounds or BOOSTED[family]} if family in BOOSTED else {"numTrees": rounds or FOREST_TREES}
 
 
 def cross_validate(train: DataFrame, feature_cols: Sequence[str], family: str = "gbt", label: str = S.LABEL,
@@ -128,11 +136,11 @@ def cross_validate(train: DataFrame, feature_cols: Sequence[str], family: str =
     data = (ranked.withColumn("_stop", F.col("_rank") < F.ceil(F.col("_size") * 0.1)).drop("_ord", "_rank", "_size")
             .withColumn(label, F.col(label).cast("double")))
     fixed = {**_rounds(family, rounds), "weightCol": "_weight"}
-    if family == "gbt":
+    if family in BOOSTED:
         fixed.update(validationIndicatorCol="_stop", validationTol=validation_tol)
     pipe = build_pipeline(feature_cols, family, label, fixed, nullable=nullable_features(train, feature_cols))
     clf = pipe.getStages()[-1]
-    draws = sample_params(GBT_SPACE if family == "gbt" else FOREST_SPACE, trials, seed)
+    draws = sample_params(SPACES[family], trials, seed)
     grid = []
     for d in draws:
         pm = ParamGridBuilder()
@@ -162,9 +170,9 @@ def fit_final(train: DataFrame, feature_cols: Sequence[str], params: dict, famil
     fit, held = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     params = {"weightCol": "_weight", **typed(params)}
     nullable = nullable_features(split, feature_cols)
-    if family == "gbt":
+    if family in BOOSTED:
         model, _ = fit_with_patience(fit, held, lambda n: build_pipeline(feature_cols, family, label, {**params, "maxIter": n}, nullable=nullable),
-                                     rounds or GBT_ROUNDS, patience, label)
+                                     rounds or BOOSTED[family], patience, label)
     else:
         model = build_pipeline(feature_cols, family, label, {**_rounds(family, rounds), **params}, nullable=nullable).fit(fit)
     val = model.transform(held)
