@@ -262,3 +262,25 @@ def test_warc_reader_logs_gaps(spark, tmp_path):
     gap = [r for r in rows if r["kind"] == "gap"]
     assert [r["record_id"] for r in rows if r["kind"] == "record"] == ["0", "2"]
     assert [(r["byte_offset"], r["byte_length"]) for r in gap] == [(len(parts[0]), len(parts[1]) - 9)] and gap[0]["reason"]
+
+
+def test_archives_are_cut_by_their_bytes(spark, tmp_path):
+    """Large pages that lie together do not share an archive."""
+    import os
+
+    noise = lambda n: "".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    rows = [(k, "u", noise(20_000 + k) if 30 <= k < 40 else f"<p>{k}") for k in range(100)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    warc.write_warc(pages, str(tmp_path / "w"), archive_bytes=30_000)
+    sizes = [os.path.getsize(tmp_path / "w" / f) for f in os.listdir(tmp_path / "w") if f.startswith("part")]
+    assert len(sizes) >= 5 and max(sizes) < 30_000 + 16_000 and sorted(sizes)[1] > 25_000
+    got = {x["record_id"]: x["payload"].decode() for x in warc.read_warc(spark, str(tmp_path / "w")).filter("kind = 'record'").collect()}
+    assert got == {str(k): h for k, _, h in rows}
+
+
+def test_repeated_rows_with_the_largest_id(spark):
+    rows = [(1, "u", "same"), (9, "u", "same"), (9, "u", "same"), (4, "v", "same"), (None, "w", "same"), (2, "x", "other"), (2, "x", "other")]
+    got = warc.op6(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in got) == sorted([
+        ("1", "revisit", 9), ("9", "response", None), ("9", "response", None), ("4", "revisit", 9), ("None", "revisit", 9),
+        ("2", "response", None), ("2", "response", None)])

@@ -1,8 +1,8 @@
 """WARC archives: writing pages as records, and a salvage reader.
 
 Writing. Every record is a gzip member of its own. The members go through Spark's text writer,
-so any store Spark can write to will do; between two members it puts an empty member, which a
-gzip stream may hold anywhere. Of equal payloads (sha1 and length) of at least ``min_revisit_bytes``,
+so any store Spark can write to will do; it ends each archive with an empty member, which a gzip stream may
+hold anywhere. An archive is cut by the bytes it holds, however large pages lie. Of equal payloads (sha1 and length) of at least ``min_revisit_bytes``,
 the record with the largest id is the response and the others are revisits that refer to it.
 
 Reading. Archives are read as binary files, one a row. Each record is checked: member checksum,
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tripsense.llm.common import broadcast_if_small, scratch, text_or_empty
 
-#: uncompressed bytes of records that an archive file holds on average at most
+#: bytes of members at which an archive file is full
 ARCHIVE_BYTES = 32 << 20
 #: a gzip member without content (RFC 1952)
 _EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
@@ -62,7 +62,8 @@ def member(data: bytes) -> bytes:
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
                min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write all rows of ``pages`` as archives under ``path``."""
+    """Write all rows of ``pages`` as archives under ``path``: each row of text is an archive, cut once its members
+    reach ``archive_bytes`` (so it exceeds them by less than its last record)."""
     rows = pages.select(F.col(id_col).cast("string").alias("_id"), F.col(id_col).alias("_order"),
                         F.coalesce(F.col(url_col), F.lit("")).alias("_url"), text_or_empty(payload_col).alias("_payload"))
     rows = rows.withColumn("_size", F.octet_length("_payload").cast("long")).withColumn(
@@ -71,22 +72,27 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
              .agg(F.max("_order").cast("string").alias("_first"), F.count(F.lit(1)).alias("_copies")))
     copies = sizes.filter("_copies > 1").drop("_copies")
     copies = broadcast_if_small(copies, row_bytes=64)
-    stats = rows.agg(F.count(F.lit(1)), F.avg("_size")).first()
-    per_file = max(1, int(archive_bytes / (1000 + (stats[1] or 0))))
     linked = (rows.drop("_order").join(copies, ["_digest", "_size"], "left")
               .select("_id", "_url", "_payload", F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("_refers")))
 
     def pack(stream):
         import pyarrow as pa
 
+        archive, size = [], 0
+        whole = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(archive)], pa.binary())], ["value"])
         for batch in stream:
-            out = [member(record_bytes("" if i is None else i, u, p.encode("utf-8"), r))
-                   for i, u, p, r in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for i, u, p, r in zip(*(c.to_pylist() for c in batch.columns)):
+                archive.append(member(record_bytes("" if i is None else i, u, p.encode("utf-8"), r)))
+                size += len(archive[-1])
+                if size >= archive_bytes:
+                    yield whole()
+                    archive, size = [], 0
+        if archive:
+            yield whole()
 
     (linked.mapInArrow(pack, "value binary").select(F.col("value").cast("string"))
      .write.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
-     .option("maxRecordsPerFile", per_file).mode("overwrite").text(path))
+     .option("maxRecordsPerFile", 1).mode("overwrite").text(path))
 
 
 class _Bad(Exception):
