@@ -2,13 +2,15 @@
 
 import glob
 import tempfile
+from dataclasses import replace
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tripsense import schema as S
 from tripsense.plans import jobs
-from tripsense.sources.csv import read_csv_folder
+from tripsense.sources.csv import read_csv_folder, read_experiments
 from tripsense.sources.tables import lineitem_trips, trip_labels
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +39,15 @@ def test_train_then_predict(spark, monkeypatch):
     assert list(out.columns) == [S.KEY, "probability"]
     assert len(out) == trips.select(S.KEY).distinct().count()
     assert out["probability"].between(0, 1).all()
+
+    # the experiment table over the same folders: two of the eight runs, written as CSV and ranked
+    monkeypatch.setattr(jobs, "ALL_FEATURES", list(S.TOP_100_FEATURES[:6]))
+    monkeypatch.setattr(jobs, "EXPERIMENTS", (jobs.EXPERIMENTS[0], replace(jobs.EXPERIMENTS[4], top=2)))
+    run = jobs.run_experiments
+    monkeypatch.setattr(jobs, "run_experiments", lambda *a, **k: run(*a, **k, folds=2, params={"forest": {"maxDepth": 2.0}}))
+    ranked = jobs.experiments(spark, telemetry, lab, f"{root}/runs", ["forest"], rounds=2).collect()
+    table = read_experiments(spark, f"{root}/runs").collect()
+    assert [(r["experiment_id"], r["changes"]) for r in table] == [(1, "more features"), (5, "top 50 features")]
+    assert {r["experiment_id"] for r in ranked} == {1, 5} and min(r["rank"] for r in ranked) == 1
+    with pytest.raises(SystemExit):
+        jobs.main(["-m", "experiments", "-if", f"{root}/features", "-o", f"{root}/x"])
