@@ -342,8 +342,8 @@ def links(docs: DataFrame, reps: DataFrame, stars: DataFrame, id_col: str, text_
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), text_or_empty(text_col).alias("_text"))
     blocks = packed_blocks(rows.select(_block_of("_id", n).alias("block"), "_id", "_text"), n)
     near = _verified(blocks, n, stars, size, percent).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-    rooted = (reps.join(near, "node", "left")
-              .select(_block_of("node", n).alias("block"), "node", F.coalesce("root", "node").alias("root")).repartition(n, "block"))
+    rooted = dealt(reps.join(near, "node", "left")
+                   .select(_block_of("node", n).alias("block"), "node", F.coalesce("root", "node").alias("root")), n, "block")
     counts = blocks.groupBy("block").cogroup(rooted.groupBy("block")).applyInArrow(_count_tokens(n, size, bits), _ROWS_SCHEMA)
     often = dealt(counts, n, "shard").groupBy("shard").applyInArrow(_frequent(frequent, n), _ROWS_SCHEMA)
     known = rooted.select("block", "node", "root", F.lit(None).cast("binary").alias("keys")).unionByName(
