@@ -61,6 +61,7 @@ _STARTS = np.vstack([_STARTS, np.ones((8, 8), bool)])
 _COLUMN = 256          # characters a column
 _SHORT = 48            # bytes up to which pre-tokens merge in matrices
 _CACHE = 500_000     # pre-tokens kept by a task
+_SLICE = 1 << 20     # bytes of text encoded at once (a longer document alone)
 _NONE = np.int32(2**31 - 1)
 
 
@@ -221,10 +222,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # places and lengths in 32 bits: the cache of a worker is bounded by _CACHE pre-tokens and forgotten beyond 2 GB of bytes
+        self.keys, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
         #: the bytes of the kept pre-tokens, and where and how long each is
-        self.kept, self.begin, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.kept, self.begin, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def pieces(self, texts: list[bytes]):
         """Bytes of all texts; byte starts of pre-tokens; how many each text has."""
@@ -277,7 +279,7 @@ class Encoder:
         known[known] = self.keys[found[known]] == keys[known]
         old = found[known]
         if not (_same_bytes(data, starts[rep][inverse], lengths[rep][inverse], data, starts, lengths)
-                and _same_bytes(self.kept, self.begin[old], self.size[old], data, starts[rep[known]], lengths[rep[known]])):
+                and _same_bytes(self.kept, self.begin[old].astype(np.int64), self.size[old].astype(np.int64), data, starts[rep[known]], lengths[rep[known]])):
             rep, inverse = np.arange(len(starts)), np.arange(len(starts))        # a hash collision: every piece on its own
             self._forget()
             flat, at, count = self._merge(data, starts, lengths)
@@ -288,7 +290,8 @@ class Encoder:
             at[known], count[known] = self.at[old], self.count[old]
             at[new], count[new] = a + len(self.flat), c
             flat = np.concatenate([self.flat, f])
-            if len(self.keys) + len(new) > _CACHE:
+            fresh = int(lengths[rep[new]].sum())
+            if len(self.keys) + len(new) > _CACHE or max(len(self.kept) + fresh, len(flat)) >= 2**31:
                 self._forget()
             else:
                 merged = np.concatenate([self.keys, keys[new]])
@@ -298,7 +301,7 @@ class Encoder:
                 self.kept = np.concatenate([self.kept, data[ranges(starts[rep[new]], size)]])
                 self.keys, self.flat = merged[order], flat
                 for name, more in (("at", at[new]), ("count", count[new]), ("begin", begin), ("size", size)):
-                    setattr(self, name, np.concatenate([getattr(self, name), more])[order])
+                    setattr(self, name, np.concatenate([getattr(self, name), more.astype(np.int32)])[order])
         n = count[inverse]
         ids = flat[ranges(at[inverse], n)]
         total = np.concatenate([[0], np.cumsum(n)])
@@ -324,7 +327,7 @@ def _run(docs: DataFrame, vocabulary_path: str, schema: str, make, id_col: str,
         encoder = Encoder(*shared.value)
         for batch in stream:
             texts = [(t or "").encode("utf-8") for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, _SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *make(pa, encoder, texts[a:b])], names)
         del encoder
         release()
