@@ -54,13 +54,26 @@ def last_n_long(rows: DataFrame, spec: TripSpec) -> DataFrame:
     for s in spec.signals:
         aggs[f"_mc_{s}"] = mean_change_sql(spec, s, pos="_rd")
     out = ln.groupBy(spec.key, "n").agg(*[F.expr(e) for e in named(aggs)])
+    stats = _stats(spec, "_l_", "_mc_")
+    return out.selectExpr(k, "n", *named(stats))
+
+
+def _stats(spec: TripSpec, sums: str, change: str) -> dict[str, str]:
+    """The statistics of the last records from their sums ``<sums><c>_<sum>`` and mean changes ``<change><s>``."""
     stats = {}
     for c in spec.channels:
-        p = f"_l_{c}"
+        p = f"{sums}{c}"
         stats.update({f"{c}_min": f"{p}_min", f"{c}_max": f"{p}_max", f"{c}_mean": f"{p}_sx / {p}_n",
                       f"{c}_std": std_sql(p), f"{c}_mad": f"{p}_da / {p}_n", f"{c}_skew": skew_sql(p)})
-    stats.update({f"{s}_mean_change": f"_mc_{s}" for s in spec.signals})
-    return out.selectExpr(k, "n", *named(stats))
+    stats.update({f"{s}_mean_change": f"{change}{s}" for s in spec.signals})
+    return stats
+
+
+def last_n_outputs(spec: TripSpec, n: int) -> dict[str, str]:
+    """The wide layout for one ``n`` from the columns of :func:`tripsense.operators.trip_kernel.last_sums_sql`."""
+    stats = [f"{c}_{a}" for c in spec.channels for a in S.LAST_N_AGGS] + [f"{s}_mean_change" for s in spec.signals]
+    found = _stats(spec, f"_l_{n}_", f"_mc_{n}_")
+    return {name: found[stat] for name, stat in zip(S.last_n_names(n, spec.channels, spec.signals), stats)}
 
 
 def last_n_wide(long: DataFrame, spec: TripSpec) -> DataFrame:

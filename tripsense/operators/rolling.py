@@ -175,7 +175,7 @@ def _moments_of(rows: DataFrame, spec: TripSpec, groups: list[str], skip: str |
     return rows.select(*groups, *([skip] if skip else []), *signals).mapInArrow(run, schema)
 
 
-def _outputs(spec: TripSpec) -> list[str]:
+def rolling_outputs(spec: TripSpec) -> list[str]:
     out = []
     for k, (w, s) in enumerate((w, s) for w in spec.rolling_windows for s in spec.signals):
         if spec.has("rolling_mean"):
@@ -189,7 +189,7 @@ def rolling_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
     """Rolling features of bounded trips: one exchange of key, order and signals, one sort, one pass."""
     narrow = list(dict.fromkeys([spec.key, *spec.order, *spec.signals]))
     ordered = rows.select(*narrow).repartition(spec.key).sortWithinPartitions(spec.key, *spec.order)
-    return _moments_of(ordered, spec, [spec.key], None).selectExpr(q(spec.key), *_outputs(spec))
+    return _moments_of(ordered, spec, [spec.key], None).selectExpr(q(spec.key), *rolling_outputs(spec))
 
 
 def rolling_features_hot(frame: DataFrame, spec: TripSpec, block_rows: int) -> DataFrame:
@@ -208,4 +208,4 @@ def rolling_features_hot(frame: DataFrame, spec: TripSpec, block_rows: int) -> D
     spread = (join_small(parts.withColumnRenamed("sd_mean", "_mean").selectExpr(q(spec.key), "sd_n", "sd_m2", "_mean AS sd_mean"),
                          total.select(spec.key, F.col("sd_mean").alias("_all")), spec.key)
               .groupBy(spec.key).agg(F.expr(f"{listed(off)} AS sd_m2")))
-    return total.join(spread, spec.key).selectExpr(q(spec.key), *_outputs(spec))
+    return total.join(spread, spec.key).selectExpr(q(spec.key), *rolling_outputs(spec))

@@ -27,12 +27,11 @@ from tripsense import schema as S
 from tripsense.functions.columns import nan_to_null, norm3
 from tripsense.operators.hilbert import hilbert_hot
 from tripsense.operators.keyed import DEFAULT_BLOCK_ROWS, DEFAULT_MAX_GROUP_ROWS, fits_broadcast, split_hot_keys
-from tripsense.operators.lastn import last_n_long, last_n_wide, last_rows
+from tripsense.operators.lastn import last_n_long, last_n_outputs, last_n_wide, last_rows
 from tripsense.operators.quantiles import percentile_table
-from tripsense.operators.rolling import rolling_features, rolling_features_hot
+from tripsense.operators.rolling import rolling_features, rolling_features_hot, rolling_outputs
 from tripsense.operators.trip_aggregates import (
     TripSpec,
-    hilbert_mean_udf,
     kurtosis_sql,
     mean_change_sql,
     moment_aggs,
@@ -43,7 +42,8 @@ from tripsense.operators.trip_aggregates import (
     trend_sql,
     trip_aggs,
 )
-from tripsense.operators.trip_frame import hot_frame, normal_frame
+from tripsense.operators.trip_frame import hot_frame
+from tripsense.operators.trip_kernel import ROLLING, last_sums_sql, percentile_sql, signal_outputs, sums_sql, trip_sums
 from tripsense.session import materialize
 
 #: families that are partial aggregates of the rows as they are
@@ -108,36 +108,23 @@ def _join_pieces(pieces: list[DataFrame], key: str) -> DataFrame:
 
 
 def _normal_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
-    """Bounded trips: one hash exchange on the key, one aggregate (also of the exact percentiles and
-    the Hilbert trip arrays), and the last-n branch joined on the key."""
-    part = rows.repartition(spec.key)
-    pieces = []
-    aggs = trip_aggs(spec)
-    sig = [s for s in spec.signals if spec.wants(f"{s}_hilbert_mean")] if spec.has("hilbert_hann") else []
-    # the frame carries the trip position _i, a cheaper sort key than the order columns
-    arrays = {f"_arr_{s}": f"transform(sort_array(collect_list(struct(_i, {q(s)} AS _v))), e -> e._v)" for s in sig}
-    pct_channels = {c: spec.percentiles_of(c) for c in spec.percentile_channels()}
-    # bounded keys: Spark's exact percentile aggregate (its buffer holds one trip's values,
-    # at most max_group_rows); measured faster than value-rank windows. Hot keys use ranks.
-    pcts = {f"_pq_{c}": f"percentile({q(c)}, array({', '.join(repr(p) for p in ps)}))"
-            for c, ps in pct_channels.items()}
-    extra = {**arrays, **pcts}
-    if aggs or extra:
-        main = _agg(normal_frame(part, spec), spec.key, {**aggs, **extra})
-        if spec.moments:
-            main = main.selectExpr("*", *named(moment_outputs(spec)))
-        pieces.append(main)
-    if spec.rolling_windows:
-        pieces.append(rolling_features(rows, spec))
-    if spec.has("last_n"):
-        # from the unshuffled rows: the top-n filter runs as a partial group limit before the exchange
-        pieces.append(last_n_wide(last_n_long(last_rows(rows, spec), spec), spec))
-    out = _join_pieces(pieces, spec.key)
-    if arrays:
-        out = out.withColumns({f"{s}_hilbert_mean": hilbert_mean_udf(F.col(f"_arr_{s}")) for s in sig})
-    if pct_channels:
-        out = out.selectExpr("*", *named(percentile_outputs(spec, from_arrays=True)))
-    return out
+    """Bounded trips: one hash exchange and one sort, one Arrow pass that leaves the sums of a trip, and projections of them."""
+    if set(spec.families) <= {"rolling_mean", "rolling_std"}:
+        return rolling_features(rows, spec)
+    out = trip_sums(rows, spec)
+    main = spec.moments or spec.percentile_channels() or spec.has("trend", "mean_change", "hilbert_hann")
+    later = [*(ROLLING if main and spec.rolling_windows else []), *(["last"] if spec.has("last_n") and (main or spec.rolling_windows) else [])]
+    if later:  # trips without a key have no rolling and last-n features beside others
+        out = out.selectExpr(*[f"CASE WHEN {q(spec.key)} IS NOT NULL THEN {c} END AS {c}" if c in later else q(c) for c in out.columns])
+    steps = {**(sums_sql(spec) if spec.moments else {}), **percentile_sql(spec)}
+    for n in spec.last_n if spec.has("last_n") else ():
+        steps.update(last_sums_sql(spec, n))
+    outputs = {**(moment_outputs(spec) if spec.moments else {}), **signal_outputs(spec), **percentile_outputs(spec, from_arrays=True)}
+    for n in spec.last_n if spec.has("last_n") else ():
+        outputs.update(last_n_outputs(spec, n))
+    wanted = [e for name, e in zip(outputs, named(outputs)) if spec.wants(name)]
+    rolling = rolling_outputs(spec) if spec.rolling_windows else []
+    return out.selectExpr("*", *named(steps)).selectExpr(q(spec.key), *wanted, *rolling)
 
 
 def _hot_features(rows: DataFrame, spec: TripSpec, block_rows: int) -> DataFrame:
