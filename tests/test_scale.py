@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from tripsense import schema as S
+from tripsense.operators import profile as P
 from tripsense.operators import trip_kernel
 from tripsense.operators.trip_aggregates import TripSpec
 from tripsense.plans.features import trip_features
@@ -45,3 +46,16 @@ def test_kernel_does_not_depend_on_chunks(monkeypatch):
     for f in whole.column_names[1:]:
         for a, b in zip(whole.column(f).to_pylist(), parts.column(f).to_pylist()):
             assert plain(a) == pytest.approx(plain(b), nan_ok=True)
+
+
+def test_histogram_computes_its_features_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    features = spark.range(50).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id % 5 AS DOUBLE) AS b").mapInArrow(count, "a double, b double")
+    rows = P.histogram(features, ["a", "b"], 5).collect()
+    assert sum(r["count"] for r in rows) == 100 and seen.value == 50

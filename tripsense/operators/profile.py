@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tripsense import schema as S
 from tripsense.operators.keyed import global_rank, join_small, prefix_sums
 from tripsense.operators.trip_aggregates import q
+from tripsense.session import materialize
 
 
 def trip_lengths(df: DataFrame, key: str = S.KEY) -> DataFrame:
@@ -72,10 +73,11 @@ def histogram(features: DataFrame, columns: Sequence[str], bins: int = S.HISTOGR
     ``column, bin, lo, hi, count, density`` with density = count / (n width),
     the normalised (``normed=True``) form. NULLs are skipped.
     """
+    features = materialize(features.selectExpr(*[q(c) for c in columns]))  # read by the ranges, their check and the counts
     structs = ", ".join(f"struct('{c}' AS column, CAST({q(c)} AS DOUBLE) AS x)" for c in columns)
     long = features.selectExpr(f"inline(array({structs}))").filter("x IS NOT NULL AND NOT isnan(x)")
-    rng = long.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
-                                     F.count(F.lit(1)).alias("n"))
+    rng = materialize(long.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
+                                                 F.count(F.lit(1)).alias("n")))
     width = "(hi - lo) / {b}".format(b=bins)
     binned = (join_small(long, rng, "column")
               .selectExpr("column", "lo", "hi", "n",
