@@ -6,7 +6,7 @@ import pytest
 
 from tripsense import schema as S
 from tripsense.operators import profile as P
-from tripsense.operators import trip_kernel
+from tripsense.operators import trip_frame, trip_kernel
 from tripsense.operators.trip_aggregates import TripSpec
 from tripsense.plans.features import trip_features
 from tripsense.session import materialize
@@ -59,3 +59,17 @@ def test_histogram_computes_its_features_once(spark):
     features = spark.range(50).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id % 5 AS DOUBLE) AS b").mapInArrow(count, "a double, b double")
     rows = P.histogram(features, ["a", "b"], 5).collect()
     assert sum(r["count"] for r in rows) == 100 and seen.value == 50
+
+
+def test_hot_moments_put_no_rows_in_order(spark, monkeypatch):
+    rows = materialize(telemetry(spark))
+    wanted = {r[0]: r for r in trip_features(rows, families=("primitive",)).collect()}
+
+    def never(*a, **k):
+        raise AssertionError("positions are not needed")
+
+    monkeypatch.setattr(trip_frame, "ranked_positions", never)
+    got = trip_features(rows, families=("primitive",), max_group_rows=1).collect()
+    assert len(got) == len(wanted)
+    for r in got:
+        assert plain(r) == pytest.approx(plain(wanted[r[0]]), rel=1e-9, abs=1e-12, nan_ok=True)

@@ -148,8 +148,8 @@ def block_with_halo(df: DataFrame, block_rows: int, halo: int) -> DataFrame:
 
 
 def prefix_sums(df: DataFrame, key: str | Sequence[str] | None, order: Sequence[Column | str],
-                values: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums ``_cum_<v>`` of ``values`` along ``order`` within each key.
+                values: Sequence[str], partitions: int | None = None, totals: bool = False) -> DataFrame:
+    """Inclusive running sums ``_cum_<v>`` of ``values`` along ``order`` within each key, and its totals ``_all_<v>`` if ``totals``.
 
     Distributed like :func:`ranked_positions`: range partitioning on
     ``(key, order)`` bounds every task, running sums inside each range
@@ -170,8 +170,9 @@ def prefix_sums(df: DataFrame, key: str | Sequence[str] | None, order: Sequence[
     ranged = ranged.withColumns({f"_loc_{v}": F.sum(v).over(local) for v in values})
     tot = ranged.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = [F.sum(f"_tot_{v}").over(Window.partitionBy(*keys)).alias(f"_all_{v}") for v in values] if totals else []
     tot = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_tot_{v}").over(before), F.lit(0)).alias(f"_off_{v}")
-                                      for v in values])
+                                      for v in values], *whole)
     out = join_small(ranged, tot, ["_pid", *keys])
     return (out.withColumns({f"_cum_{v}": F.col(f"_off_{v}") + F.col(f"_loc_{v}") for v in values})
             .drop("_pid", "_mono", *[f"_loc_{v}" for v in values], *[f"_off_{v}" for v in values]))

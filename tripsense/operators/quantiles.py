@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripsense.operators.keyed import join_small, prefix_sums
+from tripsense.operators.keyed import prefix_sums
 from tripsense.operators.trip_aggregates import named, q
 
 
@@ -31,8 +31,7 @@ def percentile_table(df: DataFrame, key: str, channels: dict[str, Sequence[float
     structs = ", ".join(f"struct({i} AS _ch, CAST({q(c)} AS DOUBLE) AS _x)" for i, c in enumerate(names))
     stacked = df.selectExpr(q(key), f"inline(array({structs}))").filter("_x IS NOT NULL")
     counts = stacked.groupBy(key, "_ch", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    totals = stacked.groupBy(key, "_ch").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = join_small(prefix_sums(counts, [key, "_ch"], ["_x"], ["_c"]), totals, [key, "_ch"])
+    ranked = prefix_sums(counts, [key, "_ch"], ["_x"], ["_c"], totals=True).withColumnRenamed("_all__c", "_n")
 
     def covers(pos: str) -> str:
         return f"({pos} >= _cum__c - _c AND {pos} < _cum__c)"

@@ -266,13 +266,13 @@ def mean_change_sql(spec: TripSpec, s: str, pos: str = "_i") -> str:
             f"(max_by({q(s)}, {pos}) - min_by({q(s)}, {pos})) / (count(1) - 1) END)")
 
 
-def trip_aggs(spec: TripSpec) -> dict[str, str]:
-    """Aggregates requested by ``spec``, except percentiles and trip arrays."""
+def trip_aggs(spec: TripSpec, pos: str = "_i") -> dict[str, str]:
+    """Aggregates requested by ``spec``, except percentiles and trip arrays; ``pos`` orders the rows of a trip."""
     out = moment_aggs(spec) if spec.moments else {}
     if spec.has("trend"):
         out.update({f"{s}_trend": trend_sql(s, spec.time) for s in spec.signals})
     if spec.has("mean_change"):
-        out.update({f"{s}_mean_change": mean_change_sql(spec, s) for s in spec.signals})
+        out.update({f"{s}_mean_change": mean_change_sql(spec, s, pos) for s in spec.signals})
     if spec.has("hilbert_hann"):
         w = hann_weight_sql()
         out.update({f"{s}_hann_mean": f"(CASE WHEN {_complete(s)} THEN avg({q(s)} * {w}) END)"

@@ -1,11 +1,6 @@
-"""Per-row trip frames: telemetry rows plus the helper columns the aggregates read.
+"""Per-row frames of hot trips (more rows than ``max_group_rows``): telemetry rows plus the helper columns the aggregates read.
 
-Normal trips: one hash exchange on the key; every window (position, trip
-mean) shares it and the later ``groupBy(key)`` and joins
-on the key reuse the same partitioning.
-
-Hot trips (more rows than ``max_group_rows``): exact positions from
-:func:`ranked_positions`, trip means from a bounded per-key table.
+Exact positions come from :func:`ranked_positions`, trip means from a bounded per-key table.
 """
 
 from __future__ import annotations
@@ -15,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tripsense.operators.keyed import join_small, ranked_positions
 from tripsense.operators.trip_aggregates import TripSpec, q
+from tripsense.session import materialize
 
 
 def _mean_channels(spec: TripSpec) -> list[str]:
@@ -27,21 +23,19 @@ def _deviations(df: DataFrame, spec: TripSpec) -> DataFrame:
     return df.selectExpr("*", *[f"{q(c)} - _mean_{c} AS _d_{c}" for c in spec.channels])
 
 
-def normal_frame(base: DataFrame, spec: TripSpec) -> DataFrame:
-    """Frame for bounded trips: all helper columns from windows partitioned by the key."""
-    k = q(spec.key)
-    wo = f"PARTITION BY {k} ORDER BY {spec.order_sql}"
-    # same ordered window as the position: one sort, one window operator
-    cols = [f"row_number() OVER ({wo}) - 1 AS _i", f"count(1) OVER (PARTITION BY {k}) AS _n"]
-    cols += [f"avg({q(c)}) OVER (PARTITION BY {k}) AS _mean_{c}" for c in _mean_channels(spec)]
-    return _deviations(base.selectExpr("*", *cols), spec)
-
-
 def hot_frame(hot_rows: DataFrame, spec: TripSpec) -> DataFrame:
     """Frame for huge trips, computed without any per-trip task."""
-    pos = ranked_positions(hot_rows, spec.key, list(spec.order))
+    return _with_means(ranked_positions(hot_rows, spec.key, list(spec.order)), hot_rows, spec)
+
+
+def unordered_frame(hot_rows: DataFrame, spec: TripSpec) -> DataFrame:
+    """Frame for features of huge trips that need trip means but no positions: the rows are not put in order."""
+    return _with_means(hot_rows, hot_rows, spec)
+
+
+def _with_means(frame: DataFrame, hot_rows: DataFrame, spec: TripSpec) -> DataFrame:
     means = _mean_channels(spec)
     if means:
         table = hot_rows.groupBy(spec.key).agg(*[F.expr(f"avg({q(c)}) AS _mean_{c}") for c in means])
-        pos = join_small(pos, table, spec.key)
-    return _deviations(pos, spec)
+        frame = join_small(frame, materialize(table), spec.key)
+    return _deviations(frame, spec)

@@ -42,7 +42,7 @@ from tripsense.operators.trip_aggregates import (
     trend_sql,
     trip_aggs,
 )
-from tripsense.operators.trip_frame import hot_frame
+from tripsense.operators.trip_frame import hot_frame, unordered_frame
 from tripsense.operators.trip_kernel import ROLLING, last_sums_sql, percentile_sql, signal_outputs, sums_sql, trip_sums
 from tripsense.session import materialize
 
@@ -128,10 +128,11 @@ def _normal_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
 
 
 def _hot_features(rows: DataFrame, spec: TripSpec, block_rows: int) -> DataFrame:
-    """Huge trips: positions from range partitioning, windows over bounded blocks."""
-    frame = hot_frame(rows, spec)
+    """Huge trips: positions from range partitioning, windows over bounded blocks; moments and percentiles alone need neither."""
+    positions = not (spec.moments and set(spec.families) <= set(MOMENT_FAMILIES))
+    frame = hot_frame(rows, spec) if positions else unordered_frame(rows, spec)
     pieces = []
-    aggs = trip_aggs(spec)
+    aggs = trip_aggs(spec, "_i" if positions else f"struct({spec.order_sql})")
     if aggs:
         main = _agg(frame, spec.key, aggs)
         if spec.moments:
