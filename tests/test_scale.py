@@ -8,6 +8,7 @@ from tripsense import schema as S
 from tripsense.operators import profile as P
 from tripsense.operators import trip_frame, trip_kernel
 from tripsense.operators.trip_aggregates import TripSpec
+from tripsense.plans import modeling as M
 from tripsense.plans.features import trip_features
 from tripsense.session import materialize
 
@@ -73,3 +74,9 @@ def test_hot_moments_put_no_rows_in_order(spark, monkeypatch):
     assert len(got) == len(wanted)
     for r in got:
         assert plain(r) == pytest.approx(plain(wanted[r[0]]), rel=1e-9, abs=1e-12, nan_ok=True)
+
+
+def test_training_data_lies_in_few_partitions(spark):
+    table = materialize(spark.range(1000).repartition(64))
+    assert M.gathered(table, 100).rdd.getNumPartitions() == 1
+    assert M.gathered(table, 4000).rdd.getNumPartitions() == 4

@@ -38,6 +38,8 @@ GBT_ROUNDS = 1000
 SECOND_GBT_ROUNDS = 500
 FOREST_TREES = 500
 TRIALS = 100
+#: values a partition of the training data has at least
+PARTITION_CELLS = 1 << 20
 #: rounds without a better AUC after which boosting stops
 PATIENCE = 50
 #: parameter spaces: a list is a choice, ("uniform", low, high), ("loguniform", low, high) and
@@ -159,6 +161,12 @@ def typed(params: dict) -> dict:
     return {k: v if k in ("stepSize", "subsamplingRate") else int(v) for k, v in params.items()}
 
 
+def gathered(table: DataFrame, columns: int) -> DataFrame:
+    """``table`` (stored) in partitions of ``PARTITION_CELLS`` values at least: every level of every tree is a job over all
+    partitions, so partitions of a few rows cost more than the rows."""
+    return table.coalesce(max(1, -(-table.count() * max(columns, 1) // PARTITION_CELLS)))
+
+
 def fit_final(train: DataFrame, feature_cols: Sequence[str], params: dict, family: str = "gbt",
               label: str = S.LABEL, key: str = S.KEY, rounds: int | None = None, scale_pos_weight: float = 1.0,
               patience: int = PATIENCE) -> tuple[PipelineModel, DataFrame]:
@@ -167,6 +175,7 @@ def fit_final(train: DataFrame, feature_cols: Sequence[str], params: dict, famil
     rows (``key, y_true, y_pred``)."""
     from tripsense.plans.boosting import fit_with_patience
     split = materialize(with_class_weight(holdout(train, key), label, scale_pos_weight).withColumn(label, F.col(label).cast("double")))
+    split = gathered(split, len(feature_cols))
     fit, held = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     params = {"weightCol": "_weight", **typed(params)}
     nullable = nullable_features(split, feature_cols)
