@@ -33,6 +33,15 @@ def test_all_features_take_one_exchange(spark):
     assert "Join" not in plan and "Window" not in plan and plan.count("MapInArrow") == 1
 
 
+def test_trips_without_a_key_have_no_last_records(spark):
+    rows = telemetry(spark, (5, 40)).selectExpr(f"nullif({S.KEY}, 0) AS {S.KEY}", *S.RAW_CHANNELS)
+    got = {r[0]: r for r in trip_features(rows, families=("kurtosis", "trend", "last_n", "rolling_mean")).collect()}
+    assert set(got) == {None, 1}
+    later = [c for c in got[1].asDict() if "_last_" in c or c.startswith("MA")]
+    assert all(got[None][c] is None for c in later) and got[1]["Speed_skew_last_30_sec"] is not None
+    assert got[None]["Speed_trend"] is not None
+
+
 def test_kernel_does_not_depend_on_chunks(monkeypatch):
     rng = np.random.default_rng(1)
     lengths = [5, 1, 37, 4, 64, 2]

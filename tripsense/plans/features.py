@@ -2,15 +2,10 @@
 
 Plan for bounded trips (the usual case)::
 
-    scan -> project (NaN -> NULL, norms) -> Exchange hashpartitioning(key)
-         -> Sort(key, order) -> Window(position, trip means)
-         -> HashAggregate(key)            (moments, trend, Hann, percentiles, trip arrays)
-         -> Filter(last max(n) rows) -> Generate(n) -> HashAggregate(key, n) -> pivot
-         -> Sort(key, order) of key and signals -> rolling kernel (one Arrow pass, one row a trip)
-         -> join on key -> Arrow UDF (Hilbert)
-
-so the rows of the frame cross the network once, and the narrow rolling frame once; last-n reads the scan again and sends
-only the last rows of each trip. Kurtosis, absolute mean, trend and mean change alone are plain partial
+    scan -> project (NaN -> NULL, norms) -> Exchange hashpartitioning(key) -> Sort(key, order)
+         -> trip kernel (one Arrow pass, one row of sums a trip) -> projections
+
+so the rows cross the network once. Kurtosis, absolute mean, trend and mean change alone are plain partial
 aggregates without any row exchange. Keys with more than ``max_group_rows``
 rows are split off and processed by the hot path of
 :mod:`tripsense.operators.trip_frame` and :mod:`tripsense.operators.quantiles`.
@@ -113,15 +108,15 @@ def _normal_features(rows: DataFrame, spec: TripSpec) -> DataFrame:
         return rolling_features(rows, spec)
     out = trip_sums(rows, spec)
     main = spec.moments or spec.percentile_channels() or spec.has("trend", "mean_change", "hilbert_hann")
-    later = [*(ROLLING if main and spec.rolling_windows else []), *(["last"] if spec.has("last_n") and (main or spec.rolling_windows) else [])]
-    if later:  # trips without a key have no rolling and last-n features beside others
-        out = out.selectExpr(*[f"CASE WHEN {q(spec.key)} IS NOT NULL THEN {c} END AS {c}" if c in later else q(c) for c in out.columns])
+    keyed = lambda e: f"CASE WHEN {q(spec.key)} IS NOT NULL THEN {e} END"
+    if main and spec.rolling_windows:  # trips without a key have no rolling and last-n features beside others
+        out = out.selectExpr(*[f"{keyed(c)} AS {c}" if c in ROLLING else q(c) for c in out.columns])
     steps = {**(sums_sql(spec) if spec.moments else {}), **percentile_sql(spec)}
     for n in spec.last_n if spec.has("last_n") else ():
         steps.update(last_sums_sql(spec, n))
     outputs = {**(moment_outputs(spec) if spec.moments else {}), **signal_outputs(spec), **percentile_outputs(spec, from_arrays=True)}
     for n in spec.last_n if spec.has("last_n") else ():
-        outputs.update(last_n_outputs(spec, n))
+        outputs.update({name: keyed(e) if main or spec.rolling_windows else e for name, e in last_n_outputs(spec, n).items()})
     wanted = [e for name, e in zip(outputs, named(outputs)) if spec.wants(name)]
     rolling = rolling_outputs(spec) if spec.rolling_windows else []
     return out.selectExpr("*", *named(steps)).selectExpr(q(spec.key), *wanted, *rolling)
